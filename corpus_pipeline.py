@@ -38,7 +38,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose ``doc_id`` is not in ``gone``; a null id never is."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Each segment of a test item is stood for by its rarest n-gram, by document frequency over the whole corpus, so even an
-item that very many documents hold keeps seeds. Wherever a seed occurs in a document, the words around it are aligned
+Each segment of a test item is stood for by its rarest n-grams, by document frequency over the whole corpus, so even an
+item that very many documents hold keeps seeds, and phrases of the language don't become any. Wherever a seed occurs in a document, the words around it are aligned
 with the item's; the score of the best local alignment finds exact, edited and paraphrased copies alike.
 """
 
@@ -61,15 +61,15 @@ class Items:
             ok &= w[i : i + m] >= 0
         return np.where(ok, key, -1)
 
-    def choose(self, frequency: dict[int, int], segment: int) -> None:
-        """The rarest n-gram of every ``segment`` places in a row; the first of those that are equally rare."""
+    def choose(self, frequency: dict[int, int], segment: int, spread: int) -> None:
+        """Of every ``segment`` places in a row, the rarest n-gram and all that are at most ``spread`` times as frequent."""
         seeds = []
         for item, w in enumerate(self.words):
             k = self.keys(w)
             rare = np.array([frequency.get(int(x), 0) for x in k])
             for a in range(0, len(k), segment):
-                at = a + int(rare[a : a + segment].argmin())
-                seeds.append((int(k[at]), item, at))
+                most = spread * max(1, int(rare[a : a + segment].min()))
+                seeds += [(int(k[at]), item, at) for at in range(a, min(a + segment, len(k))) if rare[at] <= most]
         seeds.sort()
         self.seed_gram, self.seed_item, self.seed_at = (np.array([s[i] for s in seeds], np.int64) for i in range(3))
 
@@ -119,7 +119,7 @@ def leaks(doc: np.ndarray, items: Items, least: float) -> Iterator[tuple[int, fl
             yield item, score / len(w), begin + start, begin + stop
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, segment: int = 6, least: float = 0.5, block_bytes: int = BROADCAST_BYTES // 8) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, segment: int = 6, spread: int = 4, least: float = 0.5, block_bytes: int = BROADCAST_BYTES // 8) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word of every document and item whose alignment scores ``least`` or more.
 
     The score is the alignment's, divided by the item's number of words. Items go through in blocks of about
@@ -136,10 +136,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    return reduce(DataFrame.unionByName, (_block(text, [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()], n, segment, least) for i in range(blocks)))
+    return reduce(DataFrame.unionByName, (_block(text, [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()], n, segment, spread, least) for i in range(blocks)))
 
 
-def _block(text: DataFrame, rows: list[tuple[int, str]], n: int, segment: int, least: float) -> DataFrame:
+def _block(text: DataFrame, rows: list[tuple[int, str]], n: int, segment: int, spread: int, least: float) -> DataFrame:
     context = text.sparkSession.sparkContext
     items = Items(rows, n)
     first = context.broadcast(items)
@@ -158,7 +158,7 @@ def _block(text: DataFrame, rows: list[tuple[int, str]], n: int, segment: int, l
 
     # One row for each n-gram of the items: bounded by the block of items, not by the corpus.
     frequency = text.select("text").mapInArrow(count, "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents"))
-    items.choose({r["gram"]: r["documents"] for r in frequency.collect()}, segment)
+    items.choose({r["gram"]: r["documents"] for r in frequency.collect()}, segment, spread)
     second = context.broadcast(items)
 
     def search(batch: pa.RecordBatch) -> dict:

@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, size: int, minmax: MinMax) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id and its shingle set, for the documents in ``ids``.
+    """doc_id, a digest and the shingle set, for the documents in ``ids``.
 
     Up to a checked size the ids are broadcast, so that no text is shuffled; beyond it both sides are shuffled.
     """
@@ -89,9 +89,10 @@ def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> dict:
         if not hashes:
             hashes.append(WordHashes())
-        return {"doc_id": batch.column("doc_id"), "shingles": [shingles(t, size, hashes[0]).tobytes() for t in utf8(batch.column("text"))]}
+        sets = [shingles(t, size, hashes[0]).tobytes() for t in utf8(batch.column("text"))]
+        return {"doc_id": batch.column("doc_id"), "set_key": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "shingles": sets}
 
-    return map_rows(text, make, "doc_id long, shingles binary")
+    return map_rows(text, make, "doc_id long, set_key binary, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,7 +149,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
     band = checkpointed(classes.select("doc_id", "n_shingles", F.explode("bands").alias("band")))
     full = band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     band = checkpointed(band.join(full.select("band"), "band"))
-    sets = checkpointed(whole_sets(docs, band.select("doc_id").distinct(), size).dropDuplicates(["doc_id"]))
+    # An id that stands in rows with different texts keeps all of its sets; any of them can make a link.
+    sets = checkpointed(whole_sets(docs, band.select("doc_id").distinct(), size).dropDuplicates(["doc_id", "set_key"]))
     n = F.col("n_shingles")
     fits = (100 * F.least(n, "n_centre") >= percent * F.greatest(n, "n_centre"))
     tested = None

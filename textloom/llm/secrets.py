@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -24,11 +25,12 @@ BASE = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
-#: Kinds that become spans only where the ownership aggregate calls their value live.
+#: Kinds that become spans only where the ownership aggregate calls their value live. Each starts at a boundary or at
+#: a mark that cannot repeat inside it, so a search stays linear in the text.
 WIDER = {
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}"),
-    "url": re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s/@]{6,}@"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}"),
+    "url": re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,40}://[^\s:/@]{1,256}:[^\s/@]{6,256}@"),
     "random": re.compile(r"[A-Za-z0-9+/_-]{28,}={0,2}"),
 }
 KINDS = [*BASE, *WIDER]
@@ -55,12 +57,14 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         if kind == 0 and not any(w in low for w in _ASSIGN_WORDS) or kind == 1 and "AKIA" not in text:
             continue
         out += [(kind, m.start(), m.end(), m[group]) for m in pattern.finditer(text) if len(m[group]) >= least]
-    base = [(s, e) for _, s, e, _ in out]
+    # Base spans of one kind never overlap each other, so the last that starts before a match is the one to look at.
+    base = [([x[1] for x in own], [x[2] for x in own]) for k in range(len(BASE)) if (own := [x for x in out if x[0] == k])]
+    meets = lambda a, b: any((i := bisect_left(starts, b)) and ends[i - 1] > a for starts, ends in base)
     for kind, (name, pattern) in enumerate(WIDER.items(), len(BASE)):
         if name == "jwt" and "eyJ" not in text or name == "pem" and "PRIVATE KEY" not in text or name == "url" and "://" not in text:
             continue
         for m in pattern.finditer(text):
-            if (name != "random" or looks_random(m[0])) and not any(s < m.end() and m.start() < e for s, e in base):
+            if (name != "random" or looks_random(m[0])) and not meets(m.start(), m.end()):
                 out.append((kind, m.start(), m.end(), m[0]))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
