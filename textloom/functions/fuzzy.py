@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -22,3 +23,13 @@ def ratio(a: Column, b: Column) -> Column:
 def bound(a: Column, b: Column) -> Column:
     """What the ratio cannot exceed, from the lengths alone: lets pairs be left out before ``ratio`` runs."""
     return F.coalesce(2.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(0.0))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _ratios(a: pd.Series, many: pd.Series) -> pd.Series:
+    return pd.Series([[SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for y in ys] for x, ys in zip(a, many, strict=True)])
+
+
+def ratios(a: Column, many: Column) -> Column:
+    """``ratio`` of a text with each of an array."""
+    return _ratios(a, many)

@@ -93,7 +93,8 @@ def structured_headings(headings: Column) -> dict[str, Column]:
     """Columns of the heading path: its text, the last chapter, section and article on it, and the anchor."""
     out = {"nearest_heading": F.coalesce(F.get(headings, F.size(headings) - 1), F.lit("")), "heading_path_text": F.array_join(headings, " > ")}
     for kind in ("chapter", "section", "article"):
-        hits = F.filter(headings, lambda h, kind=kind: h.rlike(fixed.STRUCTURED_HEADING[kind]))
+        pattern = fixed.STRUCTURED_HEADING[kind]
+        hits = F.filter(headings, lambda h: h.rlike(pattern))  # noqa: B023  called at once
         last = F.coalesce(F.get(hits, F.size(hits) - 1), F.lit(""))
         for part in ("heading", "number", "title"):
             out[f"{kind}_{part}"] = parse_structured_heading(last, kind)[part]

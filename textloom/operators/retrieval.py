@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import fixed, ids
 from ..functions import text as T
@@ -111,7 +113,7 @@ def vector_search(questions: DataFrame, vectors: DataFrame, *, qid: str = "qid",
     keep = questions.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"), (F.col(same[0]) if same else F.lit(0)).cast("string").alias("same"))
     blocks = max(1, -(-keep.count() // QUERY_BLOCK))
     text = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(same[1]) if same else F.lit(0)).cast("string").alias("same"))
-    kinds = dict(keep.dtypes) | {"id": dict(text.dtypes)["id"]}
+    kind = StructType([keep.schema["qid"], text.schema["id"], StructField("score", DoubleType())])
     out = []
     for b in range(blocks):
         rows = keep.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
@@ -119,16 +121,16 @@ def vector_search(questions: DataFrame, vectors: DataFrame, *, qid: str = "qid",
             continue
         m = np.array([r["v"] for r in rows])
         n = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((pa.array([r["qid"] for r in rows]), np.where(n > 0, m / np.where(n > 0, n, 1), np.nan), np.array([r["same"] or "" for r in rows])))
-        out.append(text.mapInArrow(_best_of(shared, limit), f"qid {kinds['qid']}, id {kinds['id']}, score double"))
+        shared = spark.sparkContext.broadcast((pa.array([r["qid"] for r in rows], to_arrow_schema(kind).field("qid").type), np.where(n > 0, m / np.where(n > 0, n, 1), np.nan), np.array([r["same"] or "" for r in rows])))
+        out.append(text.mapInArrow(_best_of(shared, limit, to_arrow_schema(kind)), kind))
     if not out:
-        return text.select(F.lit(None).cast(kinds["qid"]).alias(qid), F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return text.select(F.lit(None).cast(kind["qid"].dataType).alias(qid), F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     best = reduce(DataFrame.unionByName, out).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return best.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "score", "rank")
 
 
-def _best_of(shared, limit: int):
+def _best_of(shared, limit: int, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries, same = shared.value
         for batch in batches:
@@ -144,7 +146,7 @@ def _best_of(shared, limit: int):
                 rows, cols = np.nonzero((score >= least[None, :] - 1e-12) & np.isfinite(score))
             else:
                 rows, cols = np.nonzero(np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(cols)), batch.column("id").take(pa.array(rows)), pa.array(score[rows, cols])], ["qid", "id", "score"])
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(cols)), batch.column("id").take(pa.array(rows)), pa.array(score[rows, cols])], schema=out)
 
     return run
 
