@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import BROADCAST_BYTES, WordHashes, checkpointed, map_rows, mixed, utf8
 
+#: Values that are permuted at once.
+BLOCK_VALUES = 1 << 15
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -35,11 +37,11 @@ def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
 class MinMax:
     """Bands of ``rows`` values from minima and maxima under random permutations of 64-bit hashes.
 
-    With the defaults, 36 permutations give 72 values in 24 bands of 3: two sets with a similarity of 0.8 share no
-    band with a probability of about (1 - 0.8 ** 3) ** 24 = 3e-8.
+    With the defaults, 90 permutations give 180 values in 36 bands of 5: two sets with a similarity of 0.8 share no
+    band with a probability of about (1 - 0.8 ** 5) ** 36 = 6e-7, and two with 0.3 share one in a twelfth of cases.
     """
 
-    def __init__(self, bands: int = 24, rows: int = 3, seed: int = 11):
+    def __init__(self, bands: int = 36, rows: int = 5, seed: int = 11):
         rng = np.random.default_rng(seed)
         n = (bands * rows + 1) // 2
         self.bands, self.rows = bands, rows
@@ -51,11 +53,14 @@ class MinMax:
         if not len(s):
             return []
         low, high = np.empty(len(self.a), np.uint64), np.empty(len(self.a), np.uint64)
-        for i in range(len(self.a)):
-            x = s * self.a[i] + self.b[i]
+        block = max(1, BLOCK_VALUES // len(s))
+        for i in range(0, len(self.a), block):
+            x = self.a[i : i + block, None] * s
+            x += self.b[i : i + block, None]
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
-            low[i], high[i] = x.min(), x.max()
+            x.min(1, out=low[i : i + block])
+            x.max(1, out=high[i : i + block])
         # A band takes at most one value of a permutation, which keeps its values independent.
         values = np.concatenate([low, high])[: self.bands * self.rows].reshape(self.rows, self.bands)
         out = np.arange(self.bands, dtype=np.uint64)
@@ -96,8 +101,11 @@ def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    """The pairs (a, b) with 100 * intersection >= percent * union. Only the sets that they need are shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    few = ids.count() * 16 <= BROADCAST_BYTES
+    own = sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
 
     def compare(batch: pa.RecordBatch) -> dict:
         ok, key, held = [], None, None
@@ -138,17 +146,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 3) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 3, first_bands: int = 4) -> DataFrame:
     """Links (a, b) between class representatives that connect all that are linked.
 
-    ``rounds`` times, every bucket of a band links its members to one of them, its centre, a new one each time; after
-    the first round only members whose component differs from the centre's are compared. Whatever is still apart in a
-    bucket is then compared pair by pair, unless it was before: so a pair that shares a band stays uncompared only if
-    other links have already joined its two documents.
+    ``rounds`` times, every bucket of a band links its members to one of them, its centre, a new one each time. The
+    first round takes ``first_bands`` bands only, which joins most of a large group; from then on only members whose
+    component differs from the centre's are compared. Whatever is still apart in a bucket is then compared pair by
+    pair, unless it was before: so a pair that shares a band stays uncompared only if other links have already joined
+    its two documents.
     """
-    band = checkpointed(classes.select("doc_id", "n_shingles", F.explode("bands").alias("band")))
-    full = band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    band = checkpointed(band.join(full.select("band"), "band"))
+    each = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("k", "band"))
+    full = each.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    band = checkpointed(each.join(full.select("band"), "band"))
     # An id that stands in rows with different texts keeps all of its sets; any of them can make a link.
     sets = checkpointed(whole_sets(docs, band.select("doc_id").distinct(), size).dropDuplicates(["doc_id", "set_key"]))
     n = F.col("n_shingles")
@@ -156,7 +165,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
     tested = None
     comp = None
     for k in range(rounds + 1):
-        own = band.withColumn("component", F.col("doc_id")) if comp is None else band.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        own = band.where(F.col("k") < first_bands).withColumn("component", F.col("doc_id")) if comp is None else band.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         if k < rounds:
             order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
             centre = own.groupBy("band").agg(F.min(F.struct(order.alias("order"), F.col("doc_id").alias("centre"), n.alias("n_centre"), F.col("component").alias("of"))).alias("c")).select("band", "c.centre", "c.n_centre", "c.of")
@@ -169,14 +178,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
         pairs = pairs.where(fits).select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = checkpointed(confirmed(pairs, sets, percent))
+        found = checkpointed(confirmed(checkpointed(pairs), sets, percent))
         tested = found if tested is None else tested.unionByName(found)
         if k < rounds:
             comp = components(tested.where("linked"))
     return tested.where("linked").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (whether it is that) of every row.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of distinct ``shingle``-word
