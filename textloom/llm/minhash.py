@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import BROADCAST_BYTES, WordHashes, checkpointed, map_rows, mixed, utf8
 
-#: Values that are permuted at once.
-BLOCK_VALUES = 1 << 15
+#: Values that are permuted at once; links in a partition.
+BLOCK_VALUES, EDGES = 1 << 15, 1 << 18
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -121,33 +121,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok.append(100 * same >= percent * (len(one) + len(held) - same))
         return {"a": batch.column("a"), "b": batch.column("b"), "linked": ok}
 
-    return map_rows(both.select("a", "b", "left", "right"), compare, "a long, b long, linked boolean")
+    return map_rows(both.select("a", "b", F.struct("ca", "cb").alias("of"), "left", "right"), compare, "a long, b long, linked boolean", carry="of")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the graph of ``edges`` (a, b): the component is its smallest node.
+    """(node, component) of the graph of ``edges`` (a, b): the component is its smallest node, which has no row itself.
 
-    Large-star and small-star steps by turns: the number of rounds grows with the logarithm of the longest path.
+    Large-star and small-star steps by turns: the number of rounds grows with the logarithm of the longest path. Edges
+    stand in partitions of EDGES rows, so small graphs don't make many small files.
     """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first()
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
+        now = now.coalesce(max(1, state[0] // EDGES))
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = checkpointed(small.where("u <> v").distinct())
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 3, first_bands: int = 4) -> DataFrame:
-    """Links (a, b) between class representatives that connect all that are linked.
+def merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components after more links, whose ends ``of.ca`` and ``of.cb`` are components so far: only those are joined up."""
+    new = checkpointed(components(found.where("linked").select(F.col("of.ca").alias("a"), F.col("of.cb").alias("b"))))
+    if comp is None:
+        return new
+    to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return checkpointed(comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(new))
+
+
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 2, first_bands: int = 4) -> DataFrame:
+    """(node, component) of the class representatives that links join to a smaller one.
 
     ``rounds`` times, every bucket of a band links its members to one of them, its centre, a new one each time. The
     first round takes ``first_bands`` bands only, which joins most of a large group; from then on only members whose
@@ -175,14 +186,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
             own = own.join(apart, "band")
             other = own.select("band", F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("of"))
             pairs = own.join(other, "band").where(F.col("component") < F.col("of"))
-        pairs = pairs.where(fits).select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
+        ends = [F.struct(F.col(x).alias("id"), F.col(c).alias("of")) for x, c in (("doc_id", "component"), ("centre", "of"))]
+        pairs = pairs.where(fits).select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.of").alias("ca"), F.col("y.of").alias("cb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = checkpointed(confirmed(checkpointed(pairs), sets, percent))
         tested = found if tested is None else tested.unionByName(found)
-        if k < rounds:
-            comp = components(tested.where("linked"))
-    return tested.where("linked").select("a", "b")
+        comp = merged(comp, found)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
@@ -200,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = checkpointed(signatures(text, shingle, MinMax(bands, rows)))
     known = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = checkpointed(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("c")).select("set_key", "c.*"))
-    found = links(text.where("doc_id IS NOT NULL"), classes.drop("set_key"), shingle, percent)
+    found = links(text.where("doc_id IS NOT NULL"), classes.drop("set_key"), shingle, percent).select(F.col("node").alias("a"), F.col("component").alias("b"))
     # An id that stands in several classes joins them.
     member = known.join(classes.select("set_key", F.col("doc_id").alias("first")), "set_key").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     comp = components(found.union(member))
