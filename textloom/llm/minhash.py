@@ -160,15 +160,18 @@ def merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 2, first_bands: int = 4) -> DataFrame:
     """(node, component) of the class representatives that links join to a smaller one.
 
-    ``rounds`` times, every bucket of a band links its members to one of them, its centre, a new one each time. The
-    first round takes ``first_bands`` bands only, which joins most of a large group; from then on only members whose
+    ``rounds`` times, every bucket of a band links its members to one of them, its centre: the one that meets the most
+    others over all bands. The first round takes ``first_bands`` bands only, which joins most of a large group; from then on only members whose
     component differs from the centre's are compared. Whatever is still apart in a bucket is then compared pair by
     pair, unless it was before: so a pair that shares a band stays uncompared only if other links have already joined
     its two documents.
     """
     each = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("k", "band"))
     full = each.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    band = checkpointed(each.join(full.select("band"), "band"))
+    shared = each.join(full, "band")
+    # The original of many near copies, which may be far from each other, meets the most others over all its bands.
+    met = shared.groupBy("doc_id").agg(F.sum("members").alias("met"))
+    band = checkpointed(shared.drop("members").join(met, "doc_id"))
     # An id that stands in rows with different texts keeps all of its sets; any of them can make a link.
     sets = checkpointed(whole_sets(docs, band.select("doc_id").distinct(), size).dropDuplicates(["doc_id", "set_key"]))
     n = F.col("n_shingles")
@@ -178,8 +181,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
     for k in range(rounds + 1):
         own = band.where(F.col("k") < first_bands).withColumn("component", F.col("doc_id")) if comp is None else band.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         if k < rounds:
-            order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
-            centre = own.groupBy("band").agg(F.min(F.struct(order.alias("order"), F.col("doc_id").alias("centre"), n.alias("n_centre"), F.col("component").alias("of"))).alias("c")).select("band", "c.centre", "c.n_centre", "c.of")
+            centre = own.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("order"), F.col("doc_id").alias("centre"), n.alias("n_centre"), F.col("component").alias("of"))).alias("c")).select("band", "c.centre", "c.n_centre", "c.of")
             pairs = own.join(centre, "band").where(F.col("component") != F.col("of"))
         else:
             apart = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
