@@ -137,6 +137,41 @@ def test_near_duplicates_at_the_threshold_and_in_chains(spark):
     assert want[59] == 0
 
 
+@pytest.mark.parametrize("small", [1, 16])
+def test_near_duplicates_in_a_large_group_of_edited_copies(spark, monkeypatch, small):
+    """Copies around the threshold from their original and from each other, some with common edits."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    edits = [(rng.randrange(120), f"e{i}") for i in range(80)]
+    rows = [(500, " ".join(base))]
+    for i in range(140):
+        words = list(base)
+        for at, word in rng.sample(edits, rng.randint(4, 11)) if i % 3 else edits[i % 20 : i % 20 + 9]:
+            words[at] = word
+        for at in rng.sample(range(120), rng.randint(0, 4)):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words[: rng.randint(112, 120)])))
+    want = brute.components(rows, 2)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), shingle=2).collect()} == want
+    assert len({c for c in want.values() if list(want.values()).count(c) > 1}) > 1 and 20 < len(set(want.values())) < 130
+
+
+def test_differences_meet_for_every_link(spark):
+    """Any two linked sets of which one is not linked to the centre share a value of probe and index."""
+    rng = np.random.default_rng(2)
+    centre = np.unique(rng.integers(1, 1 << 62, 60, np.uint64))
+    more = np.unique(rng.integers(1, 1 << 62, 25, np.uint64))
+    each = [centre] + [np.unique(np.concatenate([rng.permutation(centre)[: rng.integers(44, 61)], more[rng.random(len(more)) < rng.random() * 0.9]])) for _ in range(150)]
+    like = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    far = [not like(x, centre) for x in each]
+    sets = spark.createDataFrame([(i, hashlib.md5(x.tobytes()).digest(), x.tobytes()) for i, x in enumerate(each)], "doc_id long, set_key binary, shingles binary")
+    rows = spark.createDataFrame([(i, len(x), 1 if far[i] else 0, 0, 0) for i, x in enumerate(each)], "doc_id long, n_shingles long, component long, centre long, of long")
+    got = {r["doc_id"]: r for r in minhash.differences(rows, sets, 80).collect()}
+    linked = [(i, j) for i in range(len(each)) for j in range(len(each)) if i != j and far[j] and like(each[i], each[j])]
+    assert len(linked) > 50 and all(set(got[i]["probe"]) & set(got[j]["index"]) for i, j in linked)
+
+
 def test_min_max_values_estimate_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 500, np.uint64), rng.integers(0, 1 << 63, 500, np.uint64)

@@ -11,13 +11,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_BYTES, WordHashes, checkpointed, map_rows, mixed, utf8
 
-#: Values that are permuted at once; links in a partition.
-BLOCK_VALUES, EDGES = 1 << 15, 1 << 18
+#: Values that are permuted at once; links in a partition; members of a bucket that are paired directly.
+BLOCK_VALUES, EDGES, SMALL = 1 << 15, 1 << 18, 16
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -124,6 +124,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", F.struct("ca", "cb").alias("of"), "left", "right"), compare, "a long, b long, linked boolean", carry="of")
 
 
+def differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Elements by which members of a bucket that are linked to each other, but not both to its centre, must meet.
+
+    Let D(x) be the symmetric difference of the set x and the centre's c, k = (100 - percent) / (100 + percent). Two sets
+    are linked if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= k (|x| + |y|). An x that is not linked to c has |D(x)| > k (|x| + |c|),
+    so they share more than (|D(y)| + k (|c| - |y|)) / 2 differences; and at least |D(x)| - |x| (100 - percent) / percent of
+    them, because they share no more than |D(y)|. In an order that is the same for all, here what c lacks first, the
+    first |D| - (what they must share) + 1 differences of both have one in common: ``probe`` for any member, ``index``
+    for one of another component than the centre's. The edits of two copies seldom agree, so few members meet.
+    """
+    ids = rows.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
+    own = sets.join(ids, "doc_id", "left_semi")
+    both = rows.join(own.select("doc_id", F.col("shingles").alias("left")), "doc_id").join(own.select(F.col("doc_id").alias("centre"), F.col("set_key").alias("key"), F.col("shingles").alias("right")), "centre")
+
+    def differ(batch: pa.RecordBatch) -> dict:
+        probe, index = [], []
+        for x, y, key, other in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "key", "other")), strict=True):
+            one, centre = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            d = np.concatenate([np.setdiff1d(one, centre, assume_unique=True), np.setdiff1d(centre, one, assume_unique=True)])
+            slack = (100 - percent) * len(one) // percent
+            share = ((100 + percent) * len(d) + (100 - percent) * (len(centre) - len(one))) // (2 * (100 + percent)) + 1
+            # The centre's digest keeps the differences from different centres apart.
+            d = mixed(d ^ np.uint64(int.from_bytes(key[:8], "little"))).view(np.int64)
+            probe.append(d[: max(0, len(d) - max(1, share, len(d) - slack) + 1)].tolist())
+            index.append(d[: slack + 1].tolist() if other else [])
+        return {"probe": probe, "index": index}
+
+    kept = F.struct("doc_id", "n_shingles", "component").alias("of")
+    return map_rows(both.select(kept, (F.col("component") != F.col("of")).alias("other"), "key", "left", "right"), differ, "probe array<long>, index array<long>", carry="of").select("of.*", "probe", "index")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph of ``edges`` (a, b): the component is its smallest node, which has no row itself.
 
@@ -157,14 +188,36 @@ def merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
     return checkpointed(comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(new))
 
 
+def centre_of_bucket() -> Column:
+    """The member that meets the most others, with its component: n_centre, centre and of."""
+    return F.min(F.struct((-F.col("met")).alias("order"), F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("of"))).alias("c")
+
+
+def apart(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of one bucket in different components that can be linked: doc_id, n_shingles and component of one, centre, n_centre and of of the other.
+
+    Up to SMALL members are paired with each other, so that a member has fewer than SMALL pairs for each band. Members of larger
+    buckets, in which no link to the centre is untested, meet by their differences from it.
+    """
+    bucket = own.groupBy("band").agg(centre_of_bucket(), F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = checkpointed(own.select("band", "doc_id", "n_shingles", "component").join(bucket.select("band", "members", "c.centre", "c.of"), "band"))
+    named = [F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("of")]
+    small = rows.where(F.col("members") <= SMALL).select("band", "doc_id", "n_shingles", "component")
+    direct = small.join(small.select("band", *named), "band").where("component < of").drop("band")
+    far = checkpointed(differences(rows.where(F.col("members") > SMALL).select("doc_id", "n_shingles", "component", "centre", "of").distinct(), sets, percent))
+    one = far.select("doc_id", "n_shingles", "component", F.explode("probe").alias("element"))
+    met = one.join(far.select(*named, F.explode("index").alias("element")), "element").where("component <> of").drop("element")
+    return direct.unionByName(met)
+
+
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 2, first_bands: int = 4) -> DataFrame:
     """(node, component) of the class representatives that links join to a smaller one.
 
     ``rounds`` times, every bucket of a band links its members to one of them, its centre: the one that meets the most
     others over all bands. The first round takes ``first_bands`` bands only, which joins most of a large group; from then on only members whose
-    component differs from the centre's are compared. Whatever is still apart in a bucket is then compared pair by
-    pair, unless it was before: so a pair that shares a band stays uncompared only if other links have already joined
-    its two documents.
+    component differs from the centre's are compared. Of what is still apart in a bucket, ``apart`` gives all pairs that
+    can be linked, which are then compared: so a pair that shares a band stays uncompared only if other links have
+    already joined its two documents, or their differences from the centre rule it out.
     """
     each = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("k", "band"))
     full = each.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
@@ -181,13 +234,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
     for k in range(rounds + 1):
         own = band.where(F.col("k") < first_bands).withColumn("component", F.col("doc_id")) if comp is None else band.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         if k < rounds:
-            centre = own.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("order"), F.col("doc_id").alias("centre"), n.alias("n_centre"), F.col("component").alias("of"))).alias("c")).select("band", "c.centre", "c.n_centre", "c.of")
-            pairs = own.join(centre, "band").where(F.col("component") != F.col("of"))
+            pairs = own.join(own.groupBy("band").agg(centre_of_bucket()).select("band", "c.*"), "band").where(F.col("component") != F.col("of"))
         else:
-            apart = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-            own = own.join(apart, "band")
-            other = own.select("band", F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("of"))
-            pairs = own.join(other, "band").where(F.col("component") < F.col("of"))
+            pairs = apart(own, sets, percent)
         ends = [F.struct(F.col(x).alias("id"), F.col(c).alias("of")) for x, c in (("doc_id", "component"), ("centre", "of"))]
         pairs = pairs.where(fits).select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.of").alias("ca"), F.col("y.of").alias("cb")).distinct()
         if tested is not None:
