@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let
+from ._common import let, stored
 
 #: Tokens that are variable wherever they stand; the possessive part keeps the search linear.
 VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*"
@@ -48,7 +48,8 @@ def drop_template_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         *([F.struct("*").alias("document")] if carry else []),
     ).withColumn("__text", F.xxhash64("text"))
     line = text.select("__doc", "__text", F.posexplode(F.split("text", "\n")).alias("__line", "line"))
-    key = line.select("__doc", "__text", "__line", F.explode(templates(F.col("line"), depth, least_tokens)).alias("key"))
+    # Written once, as numbers only: three joins and counts read it, and cutting lines into templates is most of the work.
+    key = stored(line.select("__doc", "__text", "__line", F.explode(templates(F.col("line"), depth, least_tokens)).alias("key")), "line-keys")
     # Smallest and largest document first: most templates have one document and go before documents are counted.
     spread = key.groupBy("key").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last")
     several = key.join(spread, "key")
