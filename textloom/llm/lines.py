@@ -19,7 +19,8 @@ VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*"
 
 def templates(line: Column, depth: int, least_tokens: int) -> Column:
     """Hashes of the templates of a line; none of a blank line."""
-    tokens = F.split(F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), r"[ \t\r\f\x0b]+", " ")), " ")
+    fixed = F.when(line.rlike("[0-9@]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    tokens = F.split(F.trim(F.regexp_replace(fixed, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " ")), " ")
     return F.when(F.trim(F.translate(line, "\t\r\f\x0b", "    ")) != "", let(tokens, lambda t: _keys(t, depth, least_tokens)))
 
 
