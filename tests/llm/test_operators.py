@@ -213,6 +213,36 @@ def test_decontamination(spark):
     assert blocks == want.keys()
 
 
+@pytest.mark.parametrize("copies", [5, 1000])
+def test_decontamination_of_an_edited_copy_that_many_documents_have(spark, copies):
+    """An edit in each segment of the item, or a word put in after each two words, in ever more documents."""
+    w = [f"q{i}" for i in range(24)]
+    changed = " ".join("other" if i % 6 == 5 else x for i, x in enumerate(w))
+    wider = " ".join(x + " more" * (i % 2) for i, x in enumerate(w))
+    rows = [(i, f"text before {i} {(changed, wider)[i % 2]} text after") for i in range(copies * 2)] + [(9000, " ".join(w))]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.find_leaks(frame(spark, rows), bench).collect()}
+    assert got == {d: brute.alignment(w, brute.leak_words(t)) / 24 for d, t in rows} and min(got.values()) >= 0.5
+
+
+def test_count_bound_loses_no_alignment():
+    """Few words and many edits: parts and scores against the alignment with whole documents."""
+    rng = random.Random(11)
+    seen = 0
+    for least in (0.1, 0.5, 0.7):
+        for _ in range(400):
+            vocab = [f"w{i}" for i in range(rng.choice([2, 6, 40]))]
+            say = lambda k: [rng.choice(vocab) for _ in range(k)]
+            each = [say(rng.randint(3, 20)) for _ in range(4)]
+            doc = [x for w in each for x in (*say(rng.randint(0, 9)), *(y for x in w for y in rng.choice([[x]] * 5 + [[], ["new"], [x, "new"]])))]
+            items = decontam.Items(list(enumerate(map(" ".join, each))), 3, least)
+            got = {items.ids[i]: score for i, score, _, _ in decontam.leaks(items.number(" ".join(doc)), items)}
+            want = {i: brute.alignment(w, doc) / len(w) for i, w in enumerate(each)}
+            assert got == {i: x for i, x in want.items() if x >= least}
+            seen += len(got)
+    assert seen > 100
+
+
 def test_line_dedup(spark):
     rows = [(i, t) for i, (_, t) in enumerate(pool())]
     log = "user %d logged in from host%d with the session id s%d at the given time of day"

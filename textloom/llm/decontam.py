@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: a count bound of common word pairs, then Smith-Waterman alignment.
 
-Each segment of a test item is stood for by its rarest n-grams, by document frequency over the whole corpus, so even an
-item that very many documents hold keeps seeds, and phrases of the language don't become any. Wherever a seed occurs in a document, the words around it are aligned
-with the item's; the score of the best local alignment finds exact, edited and paraphrased copies alike.
+An alignment of m matches and e errors has at least m - e - 1 pairs of matches in a row, and errors move it over at
+most e diagonals. So whatever scores enough shares that many of the item's word pairs with the document, near one
+diagonal; only such places are aligned, and none is left out because a passage is frequent. The score of the best
+local alignment finds exact, edited and paraphrased copies alike.
 """
 
 from __future__ import annotations
@@ -31,19 +32,34 @@ def words(text: str) -> list[bytes]:
 
 
 class Items:
-    """Test items as word numbers, with the n-grams of their words. Fits a broadcast: see ``find_leaks``."""
+    """Test items as word numbers, with the places of their word pairs. Fits a broadcast: see ``find_leaks``.
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.n, self.vocabulary = n, {}
-        self.ids, self.words = [], []
+    ``wanted`` is the lowest score that counts, and ``drift`` the most errors, so the most diagonals, that it allows.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], n: int, least: float):
+        self.vocabulary, self.ids, self.words = {}, [], []
         for item, text in sorted(rows):
             w = words(text)
             if len(w) >= n:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64))
         assert len(self.vocabulary) < 1 << _BITS, "a block of items has too many different words"
-        self.grams = np.unique(np.concatenate([self.keys(w) for w in self.words])) if self.words else np.zeros(0, np.int64)
-        self.seed_gram = self.seed_item = self.seed_at = np.zeros(0, np.int64)
+        size = np.array([len(w) for w in self.words], np.int64)
+        # A little less, as rounding must not lose a score that is just enough.
+        self.wanted = np.maximum(np.ceil(size * least - 1e-6).astype(np.int64), 1)
+        self.drift = np.maximum(size - self.wanted, 1)
+        # A score of 1 needs no pair: then single words are counted.
+        self.n = 1 if (self.wanted < 2).any() else 2
+        self.least = self.wanted - (self.n - 1)
+        each = [self.keys(w) for w in self.words]
+        gram = np.concatenate([np.zeros(0, np.int64), *each])
+        item = np.repeat(np.arange(len(each)), [len(k) for k in each])
+        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in each)])
+        order = np.argsort(gram, kind="stable")
+        self.grams, first = np.unique(gram[order], return_index=True)
+        self.first = np.append(first, len(gram))
+        self.gram_item, self.gram_at = item[order], at[order]
 
     def number(self, text: str) -> np.ndarray:
         w = words(text)
@@ -51,7 +67,7 @@ class Items:
         return np.fromiter((get(x, -1) for x in w), np.int64, len(w))
 
     def keys(self, w: np.ndarray) -> np.ndarray:
-        """A number for each n-gram; -1 where it has a word that no item has. n is 3 at most."""
+        """A number for each n-gram; -1 where it has a word that no item has. n is 2 at most."""
         if len(w) < self.n:
             return np.zeros(0, np.int64)
         m = len(w) - self.n + 1
@@ -61,17 +77,11 @@ class Items:
             ok &= w[i : i + m] >= 0
         return np.where(ok, key, -1)
 
-    def choose(self, frequency: dict[int, int], segment: int, spread: int) -> None:
-        """Of every ``segment`` places in a row, the rarest n-gram and all that are at most ``spread`` times as frequent."""
-        seeds = []
-        for item, w in enumerate(self.words):
-            k = self.keys(w)
-            rare = np.array([frequency.get(int(x), 0) for x in k])
-            for a in range(0, len(k), segment):
-                most = spread * max(1, int(rare[a : a + segment].min()))
-                seeds += [(int(k[at]), item, at) for at in range(a, min(a + segment, len(k))) if rare[at] <= most]
-        seeds.sort()
-        self.seed_gram, self.seed_item, self.seed_at = (np.array([s[i] for s in seeds], np.int64) for i in range(3))
+    def places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place of each n-gram in items: the index in ``grams``, and the index in ``gram_item`` and ``gram_at``."""
+        count = self.first[grams + 1] - self.first[grams]
+        of = np.repeat(np.arange(len(grams)), count)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + self.first[grams][of]
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -88,38 +98,63 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks(doc: np.ndarray, items: Items, least: float) -> Iterator[tuple[int, float, int, int]]:
-    """(item, score, first word, last word + 1) of the best alignment of each item with a document that has its seeds."""
+def regions(doc: np.ndarray, items: Items) -> Iterator[tuple[int, list[list[int]]]]:
+    """(item, [[first word, last word + 1]]): parts of a document that hold all alignments that score enough."""
     keys = items.keys(doc)
-    low, high = np.searchsorted(items.seed_gram, keys), np.searchsorted(items.seed_gram, keys, "right")
-    hits = np.flatnonzero(low < high)
-    regions: dict[int, list[list[int]]] = {}
-    for at in hits:
-        for s in range(low[at], high[at]):
-            item = int(items.seed_item[s])
-            size = len(items.words[item])
-            slack = max(4, size // 3)
-            begin = int(at - items.seed_at[s]) - slack
-            own = regions.setdefault(item, [])
-            if own and begin <= own[-1][1]:
-                own[-1][0], own[-1][1] = min(own[-1][0], begin), max(own[-1][1], begin + size + 2 * slack)
-            else:
-                own.append([begin, begin + size + 2 * slack])
-    for item, spans in regions.items():
+    at = np.flatnonzero(keys >= 0)
+    if not len(at) or not len(items.grams):
+        return
+    gram = np.minimum(np.searchsorted(items.grams, keys[at]), len(items.grams) - 1)
+    have = items.grams[gram] == keys[at]
+    at, gram = at[have], gram[have]
+    # Items of which enough n-grams are anywhere in the document.
+    found = items.places(np.unique(gram))[1]
+    able = np.bincount(items.gram_item[found], minlength=len(items.ids)) >= items.least
+    if not able.any():
+        return
+    found = found[able[items.gram_item[found]]]
+    found = found[np.argsort(items.gram_item[found], kind="stable")]
+    order = np.argsort(gram, kind="stable")
+    at, gram = at[order], gram[order]
+    edges = np.flatnonzero(np.diff(items.gram_item[found], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own, item = found[a:b], int(items.gram_item[found[a]])
+        g = np.searchsorted(items.first, own, "right") - 1
+        low, high = np.searchsorted(gram, g), np.searchsorted(gram, g, "right")
+        count = high - low
+        of = np.repeat(np.arange(len(own)), count)
+        j = at[np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + low[of]]
+        # Diagonals in bands as wide as an alignment can drift: any alignment lies in two bands in a row.
+        drift, size = int(items.drift[item]), len(items.words[item])
+        band, many = np.unique((j - items.gram_at[own[of]]) // drift, return_counts=True)
+        much = dict(zip(band.tolist(), many.tolist(), strict=True))
+        spans: list[list[int]] = []
+        for k in sorted({*much, *(x - 1 for x in much)}):
+            if much.get(k, 0) + much.get(k + 1, 0) >= items.least[item]:
+                begin, end = max(k * drift, 0), min((k + 2) * drift + size, len(doc))
+                if spans and begin <= spans[-1][1]:
+                    spans[-1][1] = end
+                else:
+                    spans.append([begin, end])
+        if spans:
+            yield item, spans
+
+
+def leaks(doc: np.ndarray, items: Items) -> Iterator[tuple[int, float, int, int]]:
+    """(item, score, first word, last word + 1) of the best alignment of each item that scores enough."""
+    for item, spans in regions(doc, items):
         w, found = items.words[item], (0, 0, 0)
         for begin, end in spans:
-            begin = max(begin, 0)
-            part = doc[begin:end]
-            score, stop = align(w, part)
+            score, stop = align(w, doc[begin:end])
             if score > found[0]:
                 found = (score, begin, stop)
         score, begin, stop = found
-        if score >= least * len(w):
+        if score >= items.wanted[item]:
             start = stop - align(w[::-1], doc[begin : begin + stop][::-1])[1]
             yield item, score / len(w), begin + start, begin + stop
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, segment: int = 6, spread: int = 4, least: float = 0.5, block_bytes: int = BROADCAST_BYTES // 8) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least: float = 0.5, block_bytes: int = BROADCAST_BYTES // 8) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word of every document and item whose alignment scores ``least`` or more.
 
     The score is the alignment's, divided by the item's number of words. Items go through in blocks of about
@@ -129,43 +164,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     null or empty texts. Items that share an id are judged each for itself, and the best score of the id counts. Rows
     with the same or a null ``doc_id`` are each reported. No items or no documents give an empty result.
     """
-    assert 1 <= n <= 3
+    assert n >= 1
     spark = docs.sparkSession
     ship(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    return reduce(DataFrame.unionByName, (_block(text, [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()], n, segment, spread, least) for i in range(blocks)))
-
-
-def _block(text: DataFrame, rows: list[tuple[int, str]], n: int, segment: int, spread: int, least: float) -> DataFrame:
-    context = text.sparkSession.sparkContext
-    items = Items(rows, n)
-    first = context.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = first.value
-        total = np.zeros(len(own.grams), np.int64)
-        for batch in batches:
-            for t in strings(batch.column("text")):
-                k = own.keys(own.number(t))
-                k = np.unique(k[k >= 0])
-                at = np.minimum(np.searchsorted(own.grams, k), len(own.grams) - 1) if len(own.grams) else k[:0]
-                total[at[own.grams[at] == k[: len(at)]]] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.grams[at]), pa.array(total[at])], ["gram", "documents"])
-
-    # One row for each n-gram of the items: bounded by the block of items, not by the corpus.
-    frequency = text.select("text").mapInArrow(count, "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents"))
-    items.choose({r["gram"]: r["documents"] for r in frequency.collect()}, segment, spread)
-    second = context.broadcast(items)
+    return reduce(DataFrame.unionByName, (_block(text, [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()], n, least) for i in range(blocks)))
+
+
+def _block(text: DataFrame, rows: list[tuple[int, str]], n: int, least: float) -> DataFrame:
+    items = text.sparkSession.sparkContext.broadcast(Items(rows, n, least))
 
     def search(batch: pa.RecordBatch) -> dict:
-        own, out = second.value, []
+        own, out = items.value, []
         for d, t in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
             best: dict[int, tuple] = {}
-            for item, score, a, b in leaks(own.number(t), own, least):
+            for item, score, a, b in leaks(own.number(t), own):
                 if (i := own.ids[item]) not in best or score > best[i][0]:
                     best[i] = (score, a, b)
             out += [(d, i, *x) for i, x in best.items()]
