@@ -2,8 +2,9 @@
 
 A line goes down the tree by its number of tokens and then by its leading tokens. Tokens that hold a digit or an @ are
 variable fields from the start. In its leaf, a long line stands under three templates: itself, and itself with the
-first or the second half of the rest as one variable field. A template that recurs in enough documents is boilerplate:
-its lines are dropped everywhere but in the first document that has it.
+first or the second half of the rest as one variable field. A template of which fewer than one token in four is
+constant tells nothing, so rows of numbers or addresses recur only by their exact text. A template that recurs in enough
+documents is boilerplate: its lines are dropped everywhere but in the first document that has it.
 """
 
 from __future__ import annotations
@@ -17,21 +18,32 @@ from ._common import let, stored
 VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*"
 
 
+#: A template counts from this share of constant tokens on, one in so many.
+CONSTANT = 4
+
+
 def templates(line: Column, depth: int, least_tokens: int) -> Column:
     """Hashes of the templates of a line; none of a blank line."""
-    fixed = F.when(line.rlike("[0-9@]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    tokens = F.split(F.trim(F.regexp_replace(fixed, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " ")), " ")
-    return F.when(F.trim(F.translate(line, "\t\r\f\x0b", "    ")) != "", let(tokens, lambda t: _keys(t, depth, least_tokens)))
+    cut = lambda x: F.split(F.trim(F.regexp_replace(x, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " ")), " ")
+    masked = let(cut(F.regexp_replace(line, VARIABLE, "<*>")), lambda t: _keys(t, depth, least_tokens, line))
+    keys = F.when(line.rlike("[0-9@]"), masked).otherwise(let(cut(line), lambda t: _keys(t, depth, least_tokens)))
+    return F.when(F.trim(F.translate(line, "\t\r\f\x0b", "    ")) != "", keys)
 
 
-def _keys(tokens: Column, depth: int, least_tokens: int) -> Column:
+def _keys(tokens: Column, depth: int, least_tokens: int, line: Column | None = None) -> Column:
+    """With ``line``, tokens may be variable: a key of too few constant ones gives way, that of the whole line to its exact text."""
     n = F.size(tokens)
-    half = F.floor((n - depth) / 2).cast("int")
+    half = F.greatest(F.floor((n - depth) / 2).cast("int"), F.lit(0))
     lead = F.slice(tokens, 1, depth)
-    whole = F.xxhash64(F.lit(0), n, tokens)
-    first = F.xxhash64(F.lit(1), n, lead, F.slice(tokens, depth + 1, F.greatest(half, F.lit(0))))
-    second = F.xxhash64(F.lit(2), n, lead, F.slice(tokens, F.lit(depth + 1) + F.greatest(half, F.lit(0)), F.greatest(n, F.lit(0))))
-    return F.when(n >= least_tokens, F.array(whole, first, second)).otherwise(F.array(whole))
+    before, after = F.slice(tokens, depth + 1, half), F.slice(tokens, F.lit(depth + 1) + half, F.greatest(n, F.lit(0)))
+    constants = lambda *parts: sum((F.size(F.array_remove(x, "<*>")) for x in parts), F.lit(0)) * CONSTANT
+    whole, first, second = F.xxhash64(F.lit(0), n, tokens), F.xxhash64(F.lit(1), n, lead, before), F.xxhash64(F.lit(2), n, lead, after)
+    if line is not None:
+        whole = F.when(constants(tokens) >= n, whole).otherwise(F.xxhash64(F.lit(3), line))
+        first = F.when(constants(lead, before) >= F.size(lead) + F.size(before), first)
+        second = F.when(constants(lead, after) >= F.size(lead) + F.size(after), second)
+    long = F.array(whole, first, second)
+    return F.when(n >= least_tokens, long if line is None else F.array_compact(long)).otherwise(F.array(whole))
 
 
 def drop_template_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_tokens: int = 12, least_documents: int = 3, carry: bool = False) -> DataFrame:
