@@ -180,10 +180,20 @@ def test_differences_meet_for_every_link(spark):
     like = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
     far = [not like(x, centre) for x in each]
     sets = spark.createDataFrame([(i, hashlib.md5(x.tobytes()).digest(), x.tobytes()) for i, x in enumerate(each)], "doc_id long, set_key binary, shingles binary")
-    rows = spark.createDataFrame([(i, len(x), 1 if far[i] else 0, 0, 0) for i, x in enumerate(each)], "doc_id long, n_shingles long, component long, centre long, of long")
-    got = {r["doc_id"]: r for r in minhash.differences(rows, sets, 80).collect()}
-    linked = [(i, j) for i in range(len(each)) for j in range(len(each)) if i != j and far[j] and like(each[i], each[j])]
-    assert len(linked) > 50 and all(set(got[i]["probe"]) & set(got[j]["index"]) for i, j in linked)
+    rows = spark.createDataFrame([(i, len(x), i + 1 if far[i] else 0, 0, len(centre), 0) for i, x in enumerate(each)], "doc_id long, n_shingles long, component long, centre long, n_centre long, of long")
+    apart = minhash.differences(rows, sets)
+    sketch = minhash.frequency_sketch(apart)
+    at = minhash.places(apart, sketch, 80)
+    got = {r["doc_id"]: r for r in at.collect()}
+    linked = {(max(i, j), min(i, j)) for i in range(len(each)) for j in range(i) if (far[j] or far[i]) and like(each[i], each[j])}
+    assert len(linked) > 50 and all({x["element"] for x in got[i]["probe"]} & {x["element"] for x in got[j]["index"]} for p in linked for i, j in (p, p[::-1]) if far[j])
+    met = {(r["a"], r["b"]) for r in minhash.met_by_differences(at, 80).collect()}
+    assert linked <= met and len(met) < len(each) * (len(each) - 1) // 2
+    true: dict = {}
+    for r in apart.collect():
+        for e in np.frombuffer(r["differ"], np.uint64).tolist():
+            true[e] = true.get(e, 0) + 1
+    assert all(sketch[e & (minhash.CELLS - 1)] >= n for e, n in true.items()) and sketch.sum() == sum(true.values())
 
 
 def test_min_max_values_estimate_similarity():

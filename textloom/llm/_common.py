@@ -43,6 +43,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder. Each is read from there, so a lost executor loses nothing of it, and goes once its readers have ended."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}.parquet"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS, carry: str | None = None) -> DataFrame:
     """``fn`` over slices of at most ``rows`` rows; it returns the columns of ``schema`` by name.
 

@@ -2,7 +2,9 @@
 
 Each permutation of the shingle hashes gives two values of the signature, its minimum and its maximum, so half as
 many hash evaluations fill the bands. Documents that share a band are candidates; their whole shingle sets confirm
-each link. Links are followed to connected components by joins, never on the driver.
+each link. In a bucket of a band every member is compared with one of them, its centre, which joins up most of a group
+of copies; members that are still apart then meet by what they do not share with the centre, rarest first. Links are
+followed to connected components by joins, never on the driver.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, WordHashes, checkpointed, map_rows, mixed, utf8
+from ..shipping import ship
+from ._common import BROADCAST_BYTES, Scratch, WordHashes, map_rows, mixed, utf8
 
 #: Values that are permuted at once; links in a partition; members of a bucket that are paired directly.
 BLOCK_VALUES, EDGES, SMALL = 1 << 15, 1 << 18, 16
+#: Counters of the frequency sketch (4 bytes each, broadcast as a whole), and those in a row of it.
+CELLS, CELL_BLOCK = 1 << 20, 1 << 10
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -100,11 +105,15 @@ def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return map_rows(text, make, "doc_id long, set_key binary, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union. Only the sets that they need are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(scratch: Scratch, ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """Just the sets that are needed, as a table of its own: so Spark shuffles both sides of a join with it and can split a hot key."""
     few = ids.count() * 16 <= BROADCAST_BYTES
-    own = sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return scratch.write(sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+
+
+def confirmed(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) for each of ``pairs``: whether 100 * intersection >= percent * union."""
+    own = sets_of(scratch, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), sets)
     both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
 
     def compare(batch: pa.RecordBatch) -> dict:
@@ -121,130 +130,182 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok.append(100 * same >= percent * (len(one) + len(held) - same))
         return {"a": batch.column("a"), "b": batch.column("b"), "linked": ok}
 
-    return map_rows(both.select("a", "b", F.struct("ca", "cb").alias("of"), "left", "right"), compare, "a long, b long, linked boolean", carry="of")
+    out = scratch.write(map_rows(both.select("a", "b", "left", "right"), compare, "a long, b long, linked boolean"))
+    scratch.drop(own)
+    return out
+
+
+def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with ``differ``: the symmetric difference of the set and its centre's, as 64-bit numbers."""
+    both = rows.join(sets.select("doc_id", F.col("shingles").alias("left")), "doc_id").join(sets.select(F.col("doc_id").alias("centre"), F.col("set_key").alias("key"), F.col("shingles").alias("right")), "centre")
+
+    def differ(batch: pa.RecordBatch) -> dict:
+        out = []
+        for x, y, key in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "key")), strict=True):
+            d = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
+            # The centre's digest keeps the differences from different centres apart.
+            out.append(mixed(d ^ np.uint64(int.from_bytes(key[:8], "little"))).tobytes())
+        return {"differ": out}
+
+    return map_rows(both.select(F.struct(*rows.columns).alias("of"), "left", "right", "key"), differ, "differ binary", carry="of").select("of.*", "differ")
+
 
+def frequency_sketch(far: DataFrame) -> np.ndarray:
+    """How often each difference occurs, in CELLS counters by its low bits: never less than the truth, at most more.
 
-def differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Elements by which members of a bucket that are linked to each other, but not both to its centre, must meet.
+    A task adds up its own rows and sends blocks of its counters, which are summed by block: what moves does not depend
+    on the rows, and what reaches the driver is CELLS numbers.
+    """
+
+    def count(batches):
+        held = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                d = np.frombuffer(b"".join(batch.column("differ")[at : at + 1024].to_pylist()), np.uint64)
+                cell, n = np.unique(d & np.uint64(CELLS - 1), return_counts=True)
+                held[cell] += n.astype(np.uint32)
+        blocks = held.reshape(-1, CELL_BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        held = np.zeros(CELL_BLOCK, np.uint32)
+        for x in table["counts"].to_pylist():
+            held += np.frombuffer(x, np.uint32)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([held.tobytes()], pa.binary())})
+
+    ship(far.sparkSession)
+    out = np.zeros(CELLS, np.uint32)
+    for r in far.select("differ").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        out[r["block"] * CELL_BLOCK : (r["block"] + 1) * CELL_BLOCK] = np.frombuffer(r["counts"], np.uint32)
+    return out
+
+
+def places(far: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """``far`` with the differences by which members of a bucket that are linked to each other, but not both to its centre, must meet.
 
     Let D(x) be the symmetric difference of the set x and the centre's c, k = (100 - percent) / (100 + percent). Two sets
     are linked if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= k (|x| + |y|). An x that is not linked to c has |D(x)| > k (|x| + |c|),
     so they share more than (|D(y)| + k (|c| - |y|)) / 2 differences; and at least |D(x)| - |x| (100 - percent) / percent of
-    them, because they share no more than |D(y)|. In an order that is the same for all, here what c lacks first, the
-    first |D| - (what they must share) + 1 differences of both have one in common: ``probe`` for any member, ``index``
-    for one of another component than the centre's. The edits of two copies seldom agree, so few members meet.
+    them, because they share no more than |D(y)|. In an order that is the same for all, here the rarest by the sketch
+    first, the first |D| - (what they must share) + 1 differences of both have one in common: ``probe`` for any member,
+    ``index`` for one of another component than the centre's. Each comes with its place in the order. One that the
+    sketch counts once cannot be shared and is left out.
     """
-    ids = rows.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
-    own = sets.join(ids, "doc_id", "left_semi")
-    both = rows.join(own.select("doc_id", F.col("shingles").alias("left")), "doc_id").join(own.select(F.col("doc_id").alias("centre"), F.col("set_key").alias("key"), F.col("shingles").alias("right")), "centre")
-
-    def differ(batch: pa.RecordBatch) -> dict:
-        probe, index = [], []
-        for x, y, key, other in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "key", "other")), strict=True):
-            one, centre = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            d = np.concatenate([np.setdiff1d(one, centre, assume_unique=True), np.setdiff1d(centre, one, assume_unique=True)])
-            slack = (100 - percent) * len(one) // percent
-            share = ((100 + percent) * len(d) + (100 - percent) * (len(centre) - len(one))) // (2 * (100 + percent)) + 1
-            # The centre's digest keeps the differences from different centres apart.
-            d = mixed(d ^ np.uint64(int.from_bytes(key[:8], "little"))).view(np.int64)
-            probe.append(d[: max(0, len(d) - max(1, share, len(d) - slack) + 1)].tolist())
-            index.append(d[: slack + 1].tolist() if other else [])
-        return {"probe": probe, "index": index}
-
-    kept = F.struct("doc_id", "n_shingles", "component").alias("of")
-    return map_rows(both.select(kept, (F.col("component") != F.col("of")).alias("other"), "key", "left", "right"), differ, "probe array<long>, index array<long>", carry="of").select("of.*", "probe", "index")
+    held = far.sparkSession.sparkContext.broadcast(sketch)
+
+    def order(batch: pa.RecordBatch) -> dict:
+        probe, index, many = [], [], []
+        for x, other, n, centre in zip(*(batch.column(c).to_pylist() for c in ("differ", "other", "n_shingles", "n_centre")), strict=True):
+            d = np.frombuffer(x, np.uint64)
+            often = held.value[d & np.uint64(CELLS - 1)]
+            by = np.lexsort((d, often))
+            d, often = d[by].view(np.int64), often[by]
+            slack = (100 - percent) * n // percent
+            share = ((100 + percent) * len(d) + (100 - percent) * (centre - n)) // (2 * (100 + percent)) + 1
+            at = np.flatnonzero(often > 1)
+            each = [{"element": e, "at": i} for e, i in zip(d[at].tolist(), at.tolist(), strict=True)]
+            probe.append(each[: int(np.searchsorted(at, len(d) - max(1, share, len(d) - slack) + 1))])
+            index.append(each[: int(np.searchsorted(at, slack + 1))] if other else [])
+            many.append(len(d))
+        return {"n_differ": many, "probe": probe, "index": index}
+
+    kind = "array<struct<element:long,at:int>>"
+    rows = far.select(F.struct("doc_id", "n_shingles", "component").alias("of"), "differ", "n_shingles", "n_centre", (F.col("component") != F.col("of")).alias("other"))
+    return map_rows(rows, order, f"n_differ int, probe {kind}, index {kind}", carry="of").select("of.*", "n_differ", "probe", "index")
+
+
+def fits(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def met_by_differences(at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a place and, as both orders are the same, can share enough after it."""
+    one, two = (at.select(*(F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n_shingles", "component", "n_differ")), F.explode(side).alias("e")).select("*", F.col("e.element").alias("element"), F.col("e.at").alias(f"at{k}")).drop("e") for k, side in ((1, "probe"), (2, "index")))
+    need = (100 + percent) * (F.col("n_differ1") + F.col("n_differ2")) - (100 - percent) * (F.col("n_shingles1") + F.col("n_shingles2"))
+    able = F.least(F.col("n_differ1") - F.col("at1"), F.col("n_differ2") - F.col("at2"))
+    on = [one["element"] == two["element"], F.col("component1") != F.col("component2"), fits(F.col("n_shingles1"), F.col("n_shingles2"), percent), 2 * (100 + percent) * able >= need]
+    return one.join(two, on).select(F.greatest("doc_id1", "doc_id2").alias("a"), F.least("doc_id1", "doc_id2").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph of ``edges`` (a, b): the component is its smallest node, which has no row itself.
 
-    Large-star and small-star steps by turns: the number of rounds grows with the logarithm of the longest path. Edges
-    stand in partitions of EDGES rows, so small graphs don't make many small files.
+    Large-star and small-star steps by turns: the number of rounds grows with the logarithm of the longest path. The
+    smallest neighbours are a table of their own, so Spark can split the many rows of a hot node. Edges stand in
+    partitions of EDGES rows, so small graphs don't make many small files.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
-        now = now.coalesce(max(1, state[0] // EDGES))
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.where("u <> v").distinct())
+        parts = max(1, state[0] // EDGES)
+        # Each edge's larger end goes to the smallest neighbour of its smaller end, if that is smaller still.
+        low = scratch.write(now.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
+        large = now.join(low.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = scratch.write(large.distinct().coalesce(parts))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        after = scratch.write(small.where("u <> v").distinct().coalesce(parts))
+        scratch.drop(now, low, large)
+        now = after
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
-    """Components after more links, whose ends ``of.ca`` and ``of.cb`` are components so far: only those are joined up."""
-    new = checkpointed(components(found.where("linked").select(F.col("of.ca").alias("a"), F.col("of.cb").alias("b"))))
-    if comp is None:
-        return new
-    to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return checkpointed(comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(new))
-
-
 def centre_of_bucket() -> Column:
-    """The member that meets the most others, with its component: n_centre, centre and of."""
+    """The member that meets the most others: centre, n_centre and of, its component."""
     return F.min(F.struct((-F.col("met")).alias("order"), F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("of"))).alias("c")
 
 
-def apart(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of one bucket in different components that can be linked: doc_id, n_shingles and component of one, centre, n_centre and of of the other.
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) that join up all class representatives which links connect.
 
-    Up to SMALL members are paired with each other, so that a member has fewer than SMALL pairs for each band. Members of larger
-    buckets, in which no link to the centre is untested, meet by their differences from it.
+    Every bucket of a band links its members to one of them, its centre: the one that meets the most others over all
+    bands. Of buckets whose members are then still in several components, those of up to SMALL members are compared
+    in pairs, so a member has fewer than SMALL pairs for each band; in larger ones the members meet by their differences
+    from the centre. So a pair that shares a band stays uncompared only if other links have already joined its two
+    documents, or their differences from the centre rule it out.
     """
-    bucket = own.groupBy("band").agg(centre_of_bucket(), F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = checkpointed(own.select("band", "doc_id", "n_shingles", "component").join(bucket.select("band", "members", "c.centre", "c.of"), "band"))
-    named = [F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("of")]
-    small = rows.where(F.col("members") <= SMALL).select("band", "doc_id", "n_shingles", "component")
-    direct = small.join(small.select("band", *named), "band").where("component < of").drop("band")
-    far = checkpointed(differences(rows.where(F.col("members") > SMALL).select("doc_id", "n_shingles", "component", "centre", "of").distinct(), sets, percent))
-    one = far.select("doc_id", "n_shingles", "component", F.explode("probe").alias("element"))
-    met = one.join(far.select(*named, F.explode("index").alias("element")), "element").where("component <> of").drop("element")
-    return direct.unionByName(met)
-
-
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 2, first_bands: int = 4) -> DataFrame:
-    """(node, component) of the class representatives that links join to a smaller one.
-
-    ``rounds`` times, every bucket of a band links its members to one of them, its centre: the one that meets the most
-    others over all bands. The first round takes ``first_bands`` bands only, which joins most of a large group; from then on only members whose
-    component differs from the centre's are compared. Of what is still apart in a bucket, ``apart`` gives all pairs that
-    can be linked, which are then compared: so a pair that shares a band stays uncompared only if other links have
-    already joined its two documents, or their differences from the centre rule it out.
-    """
-    each = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("k", "band"))
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    each = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     full = each.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     shared = each.join(full, "band")
     # The original of many near copies, which may be far from each other, meets the most others over all its bands.
     met = shared.groupBy("doc_id").agg(F.sum("members").alias("met"))
-    band = checkpointed(shared.drop("members").join(met, "doc_id"))
+    band = scratch.write(shared.drop("members").join(met, "doc_id"))
     # An id that stands in rows with different texts keeps all of its sets; any of them can make a link.
-    sets = checkpointed(whole_sets(docs, band.select("doc_id").distinct(), size).dropDuplicates(["doc_id", "set_key"]))
-    n = F.col("n_shingles")
-    fits = (100 * F.least(n, "n_centre") >= percent * F.greatest(n, "n_centre"))
-    tested = None
-    comp = None
-    for k in range(rounds + 1):
-        own = band.where(F.col("k") < first_bands).withColumn("component", F.col("doc_id")) if comp is None else band.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        if k < rounds:
-            pairs = own.join(own.groupBy("band").agg(centre_of_bucket()).select("band", "c.*"), "band").where(F.col("component") != F.col("of"))
-        else:
-            pairs = apart(own, sets, percent)
-        ends = [F.struct(F.col(x).alias("id"), F.col(c).alias("of")) for x, c in (("doc_id", "component"), ("centre", "of"))]
-        pairs = pairs.where(fits).select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.of").alias("ca"), F.col("y.of").alias("cb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = checkpointed(confirmed(checkpointed(pairs), sets, percent))
-        tested = found if tested is None else tested.unionByName(found)
-        comp = merged(comp, found)
-    return comp
+    sets = scratch.write(whole_sets(docs, band.select("doc_id").distinct(), size).dropDuplicates(["doc_id", "set_key"]))
+    ordered = [F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")]
+
+    bucket = scratch.write(band.withColumn("component", F.col("doc_id")).groupBy("band").agg(centre_of_bucket()).select("band", "c.centre", "c.n_centre"))
+    to_centre = band.join(bucket, "band").where((F.col("doc_id") != F.col("centre")) & fits(F.col("n_shingles"), F.col("n_centre"), percent))
+    pairs = scratch.write(to_centre.select(*ordered).distinct())
+    tested = confirmed(scratch, pairs, sets, percent)
+    comp = scratch.write(components(tested.where("linked")))
+    scratch.drop(bucket, pairs)
+
+    named = scratch.write(band.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    open_ = scratch.write(named.groupBy("band").agg(centre_of_bucket(), F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "members", "c.centre", "c.n_centre", "c.of"))
+    rows = scratch.write(named.drop("met").join(open_, "band"))
+    scratch.drop(band, named, open_)
+    small = rows.where(F.col("members") <= SMALL).select("band", "doc_id", "n_shingles", "component")
+    other = small.select("band", F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("of"))
+    direct = small.join(other, "band").where(F.col("component") < F.col("of")).where(fits(F.col("n_shingles"), F.col("n_centre"), percent)).select(*ordered)
+    large = rows.where(F.col("members") > SMALL).drop("band", "members").distinct()
+    own = sets_of(scratch, large.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct(), sets)
+    far = scratch.write(differences(large, own))
+    at = scratch.write(places(far, frequency_sketch(far), percent))
+    pairs = scratch.write(direct.union(met_by_differences(at, percent)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    scratch.drop(rows, own, far, at)
+    found = confirmed(scratch, pairs, sets, percent)
+    scratch.drop(pairs, sets, tested)
+    return comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
@@ -256,16 +317,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null or empty text, or text of white space: an empty set, linked with nothing. Rows that repeat a ``doc_id`` count
     as one document for links, each with its own n_shingles. Rows with a null ``doc_id`` are linked with nothing and
-    kept. An empty table gives an empty result.
+    kept. An empty table gives an empty result. Texts of any length count as a whole.
     """
+    scratch = Scratch(docs.sparkSession, "signatures")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpointed(signatures(text, shingle, MinMax(bands, rows)))
+    signed = scratch.write(signatures(text, shingle, MinMax(bands, rows)))
     known = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = checkpointed(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("c")).select("set_key", "c.*"))
-    found = links(text.where("doc_id IS NOT NULL"), classes.drop("set_key"), shingle, percent).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    classes = scratch.write(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("c")).select("set_key", "c.*"))
+    found = links(text.where("doc_id IS NOT NULL"), classes.drop("set_key"), shingle, percent)
     # An id that stands in several classes joins them.
     member = known.join(classes.select("set_key", F.col("doc_id").alias("first")), "set_key").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     comp = components(found.union(member))
+    scratch.drop(classes)
     out = signed.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
