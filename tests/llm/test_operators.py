@@ -286,6 +286,20 @@ def test_lines_without_constant_tokens_go_only_by_their_exact_text(spark):
     assert got == {i: t if not i else t.rpartition("\n7 7 7")[0] for i, t in rows}
 
 
+def test_slices_of_contexts_hold_whole_grams(monkeypatch):
+    rng = np.random.default_rng(4)
+    gram, n = rng.integers(0, 40, 500).astype(np.uint64), rng.integers(50, 81, 500).astype(np.uint8)
+    context = rng.integers(0, 256, int(n.sum(dtype=np.int64))).astype(np.uint8)
+    begin = np.r_[0, np.cumsum(n, dtype=np.int64)]
+    for most in (1, 3000, 1 << 20):
+        monkeypatch.setattr(suffix, "SORT_BYTES", most)
+        each = list(suffix._slices(gram, n, context))
+        assert sorted(np.concatenate([i for i, _ in each]).tolist()) == list(range(500))
+        assert all(own.tobytes() == b"".join(context[begin[j] : begin[j + 1]].tobytes() for j in i) for i, own in each)
+        assert len({int(g) for i, _ in each for g in np.unique(gram[i])}) == sum(len(np.unique(gram[i])) for i, _ in each) and (most > 1 or len(each) == 40)
+    assert list(suffix._slices(gram[:0], n[:0], context[:0])) == []
+
+
 def test_suffix_dedup(spark):
     rows = pool(n=80)
     rng = random.Random(2)

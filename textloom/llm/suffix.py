@@ -33,9 +33,10 @@ from ._common import mixed, utf8
 
 GRAM = 20
 #: Bytes of text that one numpy pass handles, anchors that a task gathers before it sends them.
-SLICE_BYTES, FLUSH_ANCHORS = 1 << 21, 1 << 20
-#: Bytes of text for each bucket and each block of documents.
-BUCKET_BYTES = 12 << 20
+SLICE_BYTES, FLUSH_ANCHORS = 1 << 20, 1 << 20
+#: Bytes of text for each bucket and each block of documents; bytes of contexts that are sorted at once (a pass takes
+#: about a hundred times as much memory).
+BUCKET_BYTES, SORT_BYTES = 8 << 20, 1 << 19
 _POS = np.uint64(22)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -364,9 +365,11 @@ def _span_rows(window: int, blocks: int):
                     part.append(np.frombuffer(raw, kind, n, at))
                     at += np.dtype(kind).itemsize * n
                 parts.append(part), context.append(np.frombuffer(raw, np.uint8, -1, at))
-            doc, gram, tag, low, left, n = _joined(parts, _CONTEXT)
-            if len(doc):
-                spans = _sorted_spans(window, doc, gram, tag, low, left.astype(np.int64), n.astype(np.int64), np.concatenate(context))
+            columns, context = _joined(parts, _CONTEXT), np.concatenate(context or [np.zeros(0, np.uint8)])
+            del parts, counts, blobs
+            for i, own in _slices(columns[1], columns[5], context):
+                doc, gram, tag, low, left, n = (c[i] for c in columns)
+                spans += _sorted_spans(window, doc, gram, tag, low, left.astype(np.int64), n.astype(np.int64), own)
         doc, tag, low, high = _joined(spans, _SPAN)
         rows = [(b, 0, len(i), _pack(doc[i], tag[i], low[i], high[i])) for b, i in _by(_block_of(doc, blocks))]
         return pa.Table.from_batches([_rows(rows)])
@@ -374,6 +377,23 @@ def _span_rows(window: int, blocks: int):
     return run
 
 
+def _slices(gram: np.ndarray, n: np.ndarray, context: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Records of whole anchor grams, about SORT_BYTES of context at a time, and their contexts."""
+    n = n.astype(np.int64)
+    begin = np.r_[0, np.cumsum(n)[:-1]]
+    order = np.argsort(gram, kind="stable")
+    ends = np.cumsum(n[order])
+    cuts = np.append(np.flatnonzero(gram[order][1:] != gram[order][:-1]) + 1, len(order))  # ends of grams
+    full, at = ends[cuts - 1] if len(order) else ends, 0
+    while at < len(order):
+        most = ends[at] - n[order[at]] + SORT_BYTES
+        k = max(int(np.searchsorted(full, most, "right")) - 1, int(np.searchsorted(cuts, at, "right")))
+        i = order[at : cuts[k]]
+        at = int(cuts[k])
+        own = n[i]
+        yield i, context[np.repeat(begin[i] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())]
+
+
 def _sorted_spans(window: int, doc, gram, tag, low, left, n, context) -> list[list[np.ndarray]]:
     begin = np.r_[0, np.cumsum(n)[:-1]]
     hashes = PrefixHashes(context)
