@@ -26,7 +26,7 @@ def paragraphs(spark, docs):
 
 def test_point_numbers_and_skipped_paragraphs(spark):
     texts = ["{3} Требование", "3. Требование", "1.1 Настоящий стандарт", "пункт 3 должен", "Требование", None]
-    assert each(spark, texts, T.extract_point_number) == ["3", "3", "1.1", "3", "", ""] or each(spark, texts[:5], T.extract_point_number) == ["3", "3", "1.1", "3", ""]
+    assert each(spark, texts, T.extract_point_number) == ["3", "3", "1.1", "3", "", ""]
     assert each(spark, ["", "- 12 -", "Страница 4", "Переход к Содержанию документа осуществляется по ссылке", "12 норм"], T.should_skip_paragraph) == [True, True, True, True, False]
 
 
@@ -46,7 +46,7 @@ def test_units_follow_headings_and_numbers(spark):
 
 def test_splitting_keeps_sentences_and_cuts_long_ones(spark):
     parts = each(spark, ["Aa bb. Cc dd! Ee?", "x" * 25, "", None, "short"], lambda v: T.split_text(v, 10))
-    assert parts == [["Aa bb.", "Cc dd! Ee?"] if len("Cc dd! Ee?") + 0 <= 10 else parts[0], ["x" * 10, "x" * 10, "x" * 5], [], [], ["short"]]
+    assert parts == [["Aa bb.", "Cc dd! Ee?"], ["x" * 10, "x" * 10, "x" * 5], [], [], ["short"]]
 
 
 def test_metadata_of_an_order_and_a_law(spark):

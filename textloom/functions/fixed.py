@@ -148,3 +148,42 @@ REQUIRED_PAYLOAD = (
     "retrieval_anchor_heading", "point_number", "point_scope", "point_anchor", "point_identity_key", "chunk_index",
     "chunk_start", "part_index", "total_parts", "is_split",
 )
+
+# Knowledge tables and document candidates.
+MOST_ABBREVIATIONS, MOST_TERMS, MOST_GRAPH_ABBREVIATIONS = 2500, 4000, 1500
+ABBREVIATION = r"^[A-Za-zА-Яа-яЁё0-9.\-]+$"
+NO_TERM = ("Таблице", "Стандарт [")
+KNOWLEDGE_SCORES = {
+    "doc_name_contains_query": 0.45,
+    "query_contains_doc_name": 0.35,
+    "doc_name_token_overlap": 0.5,
+    "annotation_contains_query": 0.35,
+    "annotation_token_overlap": 0.45,
+    "topic_alias": 0.72,
+    "abbreviation": 0.48,
+    "term": 0.42,
+}
+
+# Query plans and runtime profiles (default limit, tools, fusion).
+MOST_QUERIES = 4
+PROFILES = {
+    "fast": {"limit": 5, "tools": ("point", "payload", "vector"), "hybrid": False},
+    "balanced": {"limit": 10, "tools": ("point", "payload", "vector"), "hybrid": True},
+    "deep": {"limit": 20, "tools": ("point", "payload", "vector"), "hybrid": True},
+}
+EXPECTED_PAYLOAD_INDEXES = {
+    "chunk_id": "keyword",
+    "doc_name": "keyword",
+    "filename": "keyword",
+    "point_identity_key": "keyword",
+    "point_number": "keyword",
+    "text": "text",
+    "heading_path_text": "text",
+}
+INDEX_DEFECTS = (
+    ("chunks_total", "no_chunks", "indexing"),
+    ("chunks_missing_required_payload_keys", "missing_required_payload_keys", "payload"),
+    ("payload_errors", "payload_errors", "payload"),
+    ("empty_text_chunks", "empty_vector_text", "embedding"),
+    ("duplicate_index_ids", "duplicate_index_ids", "index"),
+)

@@ -107,26 +107,31 @@ def split_text(text: Column, most: int) -> Column:
 
     The markers are cleaned first. Empty text has no parts.
     """
-    clean = clean_marker_text(text)
-    # The state is (parts, current). A sentence that fits joins current; else current is done, all whole cuts of the
-    # sentence are, too, and what is left of it (never nothing) is the new current.
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("current"))
-
-    def step(s: Column, sentence: Column) -> Column:
-        size = F.length(sentence)
-        joined = F.when(s["current"] == "", sentence).when(sentence == "", s["current"]).otherwise(F.concat_ws(" ", s["current"], sentence))
-        cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / most).cast("int") - 1, F.lit(0))), lambda i: F.substring(sentence, i * most + 1, F.lit(most)))
-        done = F.concat(s["parts"], F.when(s["current"] != "", F.array(s["current"])).otherwise(F.array().cast("array<string>")), F.slice(cuts, F.lit(1), F.size(cuts) - 1))
-        fits = F.length(s["current"]) + size + 1 <= most
-        return F.struct(F.when(fits, s["parts"]).otherwise(done).alias("parts"), F.when(fits, joined).otherwise(F.element_at(cuts, -1)).alias("current"))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["current"] != "", F.concat(s["parts"], F.array(s["current"]))).otherwise(s["parts"])
+    # After cleaning, one space parts any two sentences, so a part is a slice of the text. The fold runs over lengths
+    # only; its state is (slices done, where the current one begins, its length, where the next sentence begins). A
+    # sentence that fits joins the current slice; else that is done, all whole cuts of the sentence are, too, and what
+    # is left of it (never nothing) is the new current slice.
+    slices = "array<struct<begin:int,size:int>>"
+    start = F.struct(F.array().cast(slices).alias("done"), F.lit(0).alias("begin"), F.lit(0).alias("size"), F.lit(0).alias("at"))
+    piece = lambda begin, size: F.struct(begin.cast("int").alias("begin"), size.cast("int").alias("size"))
+    ended = lambda s: F.when(s["size"] > 0, F.concat(s["done"], F.array(piece(s["begin"], s["size"])))).otherwise(s["done"])
+
+    def step(s: Column, n: Column) -> Column:
+        fits = s["size"] + n + 1 <= most
+        full = F.greatest(F.ceil(n / most).cast("int") - 1, F.lit(0))
+        cuts = F.when(full > 0, F.transform(F.sequence(F.lit(0), full - 1), lambda i: piece(s["at"] + i * most, F.lit(most)))).otherwise(F.array().cast(slices))
+        begin = F.when(~fits, s["at"] + full * most).when(s["size"] == 0, s["at"]).otherwise(s["begin"])
+        size = F.when(~fits, n - full * most).when(n == 0, s["size"]).when(s["size"] == 0, n).otherwise(s["size"] + 1 + n)
+        return F.struct(F.when(fits, s["done"]).otherwise(F.concat(ended(s), cuts)).alias("done"), begin.alias("begin"), size.alias("size"), (s["at"] + n + 1).alias("at"))
+
+    def cut(t: Column) -> Column:
+        lengths = F.transform(F.split(t, r"(?<=[.!?])\s+"), F.length)
+        return F.transform(F.aggregate(lengths, start, step, ended), lambda x: F.substring(t, x["begin"] + 1, x["size"]))
 
     def of(t: Column) -> Column:
-        return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(F.aggregate(F.split(t, r"(?<=[.!?])\s+"), start, step, finish))
+        return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(cut(t))
 
-    return let(clean, of)
+    return let(clean_marker_text(text), of)
 
 
 def has_service_markers(text: Column) -> Column:
@@ -161,9 +166,11 @@ def doc_kind_label(kind: Column) -> Column:
 
 
 def doc_number(registration: Column, name: Column, kind: Column) -> Column:
-    standard = F.when(kind == "gost", F.regexp_extract(first_filled(name, registration), fixed.STANDARD_NUMBER, 1))
-    law = F.upper(F.regexp_replace(F.regexp_extract(registration, fixed.LAW_CODE, 1), r"(?U)\s+", ""))
-    return first_filled(standard, F.regexp_extract(registration, fixed.ANY_NUMBER, 1), F.regexp_extract(registration, fixed.STANDARD_NUMBER, 1), law)
+    """A standard's number, a number after its sign, or a law's code. Standards and laws are looked for in the name, and in the registration only if there is no name."""
+    named = first_filled(name, registration)
+    standard = F.regexp_extract(named, fixed.STANDARD_NUMBER, 1)
+    law = F.upper(F.regexp_replace(F.regexp_extract(named, fixed.LAW_CODE, 1), r"(?U)\s+", ""))
+    return first_filled(F.when(kind == "gost", standard), F.regexp_extract(F.coalesce(registration, F.lit("")), fixed.ANY_NUMBER, 1), standard, law)
 
 
 def doc_date(registration: Column) -> Column:

@@ -69,9 +69,10 @@ def extract_metadata(paragraphs: DataFrame, *, head: int = 80, act_lines: int =
     title = T.first_filled(F.col("title_scored"), F.col("title_bracket"), F.col("title_subject"))
     title_source = F.when(has("title_scored"), "initial_lines_title").when(has("title_bracket"), "preamble_bracketed_subject").when(has("title_subject"), "preamble_o_subject").otherwise("not_extracted")
     docs = docs.select("doc_key", title.alias("doc_name"), reg.alias("doc_reg"), reg_source.alias("reg_source"), title_source.alias("title_source"))
+    docs = docs.withColumn("kind", T.doc_kind(F.col("doc_name"), F.col("doc_reg")))
     rules = F.col("reg_source") == "pue_seventh_edition_canonical"
     confidence = F.when((F.col("reg_source") == "not_extracted") & (F.col("title_source") == "not_extracted"), "low").when(F.col("reg_source").startswith("initial") & F.col("title_source").startswith("initial"), "high").otherwise("medium")
-    kind = T.doc_kind(F.col("doc_name"), F.col("doc_reg"))
+    kind = F.col("kind")
     manifest = F.when(rules, "pue_canonical").when(F.col("title_source").startswith("preamble") | (confidence == "low"), "title_fallback").otherwise("")
     return docs.select(
         "doc_key", "doc_name", "doc_reg", F.col("doc_name").alias("doc_title_full"), F.col("doc_reg").alias("approving_act"),

@@ -19,12 +19,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import fixed, ids
 from ..functions import text as T
+from ..functions.vectors import cosine
 from ..shipping import ship
+from ..sources.tables import staged
 from . import predicates as P
 
 ITEM_FIELDS = ("chunk_id", "doc_id", "point_id", "filename", "doc_name", "heading_path_text", "point_number", "text", "point_identity_key")
 #: Query vectors of one pass: a bound on what is broadcast.
 QUERY_BLOCK = 4096
+#: Most bytes of scores that a task holds at once.
+SCORE_BYTES = 32 << 20
 
 
 def with_item_fields(chunks: DataFrame) -> DataFrame:
@@ -32,10 +36,11 @@ def with_item_fields(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in chunks.columns else F.lit("") for c in ITEM_FIELDS})
 
 
-def _ranked(found: DataFrame, tool: str) -> DataFrame:
+def _ranked(found: DataFrame, chunks: DataFrame, tool: str) -> DataFrame:
+    """Hits (qid, limit, chunk_id) in the order of their index id; the chunks' columns join those that stay."""
     w = Window.partitionBy("qid").orderBy(ids.index_point_id(F.col("chunk_id")))
-    hits = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("limit"))
-    return hits.select("qid", F.lit(tool).alias("tool"), "rank", F.lit(None).cast("double").alias("score"), *ITEM_FIELDS)
+    best = found.select("qid", "limit", "chunk_id").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("limit"))
+    return best.join(chunks, "chunk_id").select("qid", F.lit(tool).alias("tool"), "rank", F.lit(None).cast("double").alias("score"), *ITEM_FIELDS)
 
 
 def _lookup(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -62,28 +67,40 @@ def point_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     chosen = F.when(one("chunk_id"), F.map_filter(f, lambda k, _: k == "chunk_id")).when(one("point_identity_key"), F.map_filter(f, lambda k, _: k == "point_identity_key")).otherwise(
         F.map_filter(f, lambda k, _: k.isin("doc_name", "point_number", "heading_path_text", "filename")))
     q = questions.where(P.is_point_lookup(f)).withColumns({"filters": chosen, "limit": P.clamp_limit(F.col("limit"))}).select("qid", "filters", "limit")
-    heading = q.where(f["chunk_id"].isNull() & f["point_identity_key"].isNull() & f["point_number"].isNull() & f["doc_name"].isNull() & f["filename"].isNull())
-    # A heading path alone is words, so its rarest word is the join key.
-    words = _by_rarest_token(heading.withColumn("query", f["heading_path_text"][0]), c, "heading_path_text").where(P.row_matches(f))
-    keyed = _lookup(q, c, ("chunk_id", "point_identity_key", "point_number", "filename", "doc_name"))
-    return _ranked(keyed.select("qid", "limit", *ITEM_FIELDS).unionByName(words.select("qid", "limit", *ITEM_FIELDS)).distinct(), "point")
+    return _ranked(_filtered(q, c, ("chunk_id", "point_identity_key", "point_number", "filename", "doc_name")).select("qid", "limit", "chunk_id"), c, "point")
 
 
-def _by_rarest_token(questions: DataFrame, chunks: DataFrame, field: str) -> DataFrame:
-    """Question-chunk pairs where the field has every word of the query.
-
-    Only the rarest word of each query, by the number of chunks that have it, is joined; the other words are then
-    looked for in the candidates. A word that most chunks have is joined only for queries of nothing rarer.
+def _filtered(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Question-chunk pairs that fit all filters: found by the first of ``keys``, or by the rarest word where only words are filtered by."""
+    f = F.col("filters")
+    keyed = reduce(lambda a, b: a | b, (F.coalesce(F.size(f[k]) > 0, F.lit(False)) for k in keys))
+    out = _lookup(questions.where(keyed), chunks, keys)
+    for i, field in enumerate(fixed.TEXT_FIELDS):
+        before = reduce(lambda a, b: a | b, (F.coalesce(F.size(f[k]) > 0, F.lit(False)) for k in fixed.TEXT_FIELDS[:i]), F.lit(False))
+        words = questions.where(~keyed & ~before & (F.size(f[field]) > 0))
+        # One value is words, several are whole texts.
+        one, many = words.where(F.size(f[field]) == 1), words.where(F.size(f[field]) > 1)
+        hits = token_hits(one.select("qid", f[field][0].alias("query")), chunks, field)
+        out = out.unionByName(one.join(hits, "qid").join(chunks, "chunk_id").where(P.row_matches(f)).select(*out.columns))
+        out = out.unionByName(_lookup(many, chunks, (field,)).select(*out.columns))
+    return out
+
+
+def token_hits(asked: DataFrame, chunks: DataFrame, field: str) -> DataFrame:
+    """(qid, chunk_id) where the field has every word of the query (qid, query).
+
+    Texts are cut into words once, and only words that are asked for go on, with ids. The rarest word of each query, by
+    the number of chunks that have it, names the candidates; the other words are then counted for those. A word that
+    most chunks have is joined only for queries of nothing rarer.
     """
-    asked = questions.withColumn("__tokens", T.search_tokens(F.col("query"))).where(F.size("__tokens") > 0)
-    words = asked.select("qid", F.explode("__tokens").alias("token"))
-    index = chunks.withColumn("__own", T.search_tokens(F.col(field)))
-    postings = index.select("chunk_id", F.explode("__own").alias("token"))
-    df = postings.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").count()
-    rarest = words.join(df, "token", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("m")).where("m.n > 0").select("qid", F.col("m.token").alias("token"))
-    seeds = asked.join(rarest, "qid")
-    found = seeds.join(index.withColumn("token", F.explode("__own")), "token")
-    return found.where(F.size(F.array_except("__tokens", "__own")) == 0).drop("token", "__tokens", "__own")
+    words = asked.select("qid", F.explode(T.search_tokens(F.col("query"))).alias("token"))
+    postings = staged(chunks.select("chunk_id", F.explode(T.search_tokens(F.col(field))).alias("token")).join(words.select("token").distinct(), "token", "left_semi"))
+    often = postings.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = words.join(often, "token", "left").groupBy("qid").agg(F.count("*").alias("words"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("m")).where("m.n > 0").select("qid", "words", F.col("m.token").alias("token"))
+    seeds = rarest.join(postings, "token").select("qid", "words", "chunk_id")
+    done = seeds.where("words = 1").select("qid", "chunk_id")
+    more = seeds.where("words > 1").join(postings, "chunk_id").join(words, ["qid", "token"]).groupBy("qid", "chunk_id", "words").agg(F.count_distinct("token").alias("n"))
+    return done.union(more.where("n = words").select("qid", "chunk_id")).distinct()
 
 
 def payload_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -92,21 +109,24 @@ def payload_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     A question without query is looked up by its filters; one without either finds nothing.
     """
     c = with_item_fields(chunks)
-    q = questions.select("qid", F.trim(F.coalesce("query", F.lit(""))).alias("query"), "filters", P.clamp_limit(F.col("limit")).alias("limit"))
+    q = questions.select("qid", F.trim(F.coalesce("query", F.lit(""))).alias("query"), F.coalesce("filters", F.create_map().cast("map<string,array<string>>")).alias("filters"), P.clamp_limit(F.col("limit")).alias("limit"))
     asked, bare = q.where("query <> ''"), q.where("query = ''")
-    cols = ["qid", "limit", *ITEM_FIELDS]
-    parts = [_by_rarest_token(asked, c, f).where(P.row_matches(F.col("filters"))).select(*cols) for f in fixed.TEXT_FIELDS]
-    parts += [asked.join(c, asked["query"] == c[f]).where(P.row_matches(F.col("filters"))).select(*cols) for f in ("doc_name", "filename")]
-    parts.append(_lookup(bare, c, fixed.KEYWORD_FIELDS).select(*cols))
-    return _ranked(reduce(DataFrame.unionByName, parts).distinct(), "payload")
+    parts = [token_hits(asked, c, f) for f in fixed.TEXT_FIELDS]
+    parts += [asked.join(c, asked["query"] == c[f]).select("qid", "chunk_id") for f in ("doc_name", "filename")]
+    found = asked.join(reduce(DataFrame.unionByName, parts).distinct(), "qid")
+    plain = found.where(F.size("filters") <= 0).select("qid", "limit", "chunk_id")
+    fit = found.where(F.size("filters") > 0).join(c, "chunk_id").where(P.row_matches(F.col("filters"))).select("qid", "limit", "chunk_id")
+    by_filter = _filtered(bare, c, fixed.KEYWORD_FIELDS).select("qid", "limit", "chunk_id")
+    return _ranked(plain.unionByName(fit).unionByName(by_filter), c, "payload")
 
 
 def vector_search(questions: DataFrame, vectors: DataFrame, *, qid: str = "qid", id_col: str = "chunk_id", vector: str = "embedding", limit: int = 10, same: tuple[str, str] | None = None) -> DataFrame:
     """(qid, id_col, score, rank): the ``limit`` most similar vectors of each query by exact cosine; equal scores by id.
 
     Query vectors go through in blocks of QUERY_BLOCK, which bounds the broadcast however many there are. Each task
-    keeps its own best of every query, so about ``limit`` rows a query and batch are shuffled. ``same`` names a column
-    of the questions and one of the vectors that must be equal. Null vectors and those of length zero match nothing.
+    keeps its own best of every query, so ``limit`` rows a query and task are shuffled. ``same`` names a column of the
+    questions and one of the vectors that must be equal, and not null. Null vectors and those of length zero match
+    nothing. Scores are rounded to twelve digits, so equal vectors are equally far.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -121,7 +141,7 @@ def vector_search(questions: DataFrame, vectors: DataFrame, *, qid: str = "qid",
             continue
         m = np.array([r["v"] for r in rows])
         n = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((pa.array([r["qid"] for r in rows], to_arrow_schema(kind).field("qid").type), np.where(n > 0, m / np.where(n > 0, n, 1), np.nan), np.array([r["same"] or "" for r in rows])))
+        shared = spark.sparkContext.broadcast((pa.array([r["qid"] for r in rows], to_arrow_schema(kind).field("qid").type), np.where(n > 0, m / np.where(n > 0, n, 1), np.nan), [r["same"] for r in rows]))
         out.append(text.mapInArrow(_best_of(shared, limit, to_arrow_schema(kind)), kind))
     if not out:
         return text.select(F.lit(None).cast(kind["qid"].dataType).alias(qid), F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
@@ -133,24 +153,58 @@ def vector_search(questions: DataFrame, vectors: DataFrame, *, qid: str = "qid",
 def _best_of(shared, limit: int, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries, same = shared.value
+        codes: dict[str, int] = {}
+        wanted = np.array([-1 if s is None else codes.setdefault(s, len(codes)) for s in same])
+        rows = max(1, SCORE_BYTES // (8 * max(1, len(queries))))
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]  # query, score and id of the best so far
+        least = np.full(len(queries), -np.inf)
+
+        def best(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            col, score, id_ = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            order = np.lexsort((np.unique(id_, return_inverse=True)[1] if len(id_) else id_.astype(np.int64), -score, col))
+            col, score, id_ = col[order], score[order], id_[order]
+            first = np.searchsorted(col, col)
+            keep = np.arange(len(col)) - first < limit
+            full = np.flatnonzero(keep & (np.arange(len(col)) - first == limit - 1))
+            least[col[full]] = score[full]
+            return [col[keep], score[keep], id_[keep]]
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column("v").to_pylist())
-            n = np.linalg.norm(x, axis=1)
-            score = (x @ queries.T) / np.where(n > 0, n, np.nan)[:, None]
-            score[np.array([s or "" for s in batch.column("same").to_pylist()])[:, None] != same[None, :]] = np.nan
-            score = np.where(np.isnan(score), -np.inf, score)
-            if len(x) > limit:  # all that tie with the last place stay; the window decides by id
-                least = np.partition(score, len(x) - limit, axis=0)[len(x) - limit]
-                rows, cols = np.nonzero((score >= least[None, :] - 1e-12) & np.isfinite(score))
-            else:
-                rows, cols = np.nonzero(np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(cols)), batch.column("id").take(pa.array(rows)), pa.array(score[rows, cols])], schema=out)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                x = np.array(part.column("v").to_pylist())
+                n = np.linalg.norm(x, axis=1)
+                score = np.round((x @ queries.T) / np.where(n > 0, n, np.nan)[:, None], 12)
+                own = np.array([-2 if s is None else codes.get(s, -2) for s in part.column("same").to_pylist()])
+                row, col = np.nonzero((score >= least[None, :]) & (own[:, None] == wanted[None, :]))
+                held = best([held, [col, score[row, col], np.array(part.column("id").to_pylist(), object)[row]]])
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(held[0])), pa.array(held[2].tolist(), out.field(1).type), pa.array(held[1])], schema=out)
 
     return run
 
 
+def vector_tool(questions: DataFrame, chunks: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Hits of questions (qid, filters, limit and a vector) among chunks with vectors: the most similar that fit all filters.
+
+    Questions without filters meet all vectors, in blocks. Those with filters meet just the chunks that fit, found by a
+    join on what they filter by.
+    """
+    none = F.create_map().cast("map<string,array<string>>")
+    c = with_item_fields(chunks)
+    q = questions.where(F.col(vector).isNotNull()).select("qid", F.coalesce("filters", none).alias("filters"), P.clamp_limit(F.col("limit")).alias("limit"), F.col(vector).cast("array<double>").alias("asked"))
+    free, bound = q.where(F.size("filters") <= 0), q.where(F.size("filters") > 0)
+    most = free.agg(F.max("limit")).first()[0] or 1
+    near = vector_search(free.select("qid", "asked"), c.select("chunk_id", F.col(vector).alias("asked")), vector="asked", limit=most).select("qid", "chunk_id", "score")
+    found = near.join(free.select("qid", "limit"), "qid")
+    pairs = _filtered(bound, c.where(F.col(vector).isNotNull()), fixed.KEYWORD_FIELDS)
+    score = F.round(cosine(F.col("asked"), F.col(vector)), 12)
+    found = found.unionByName(pairs.select("qid", "chunk_id", score.alias("score"), "limit").distinct()).where("score IS NOT NULL AND NOT isnan(score)")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("limit"))
+    return best.join(c, "chunk_id").select("qid", F.lit("vector").alias("tool"), "rank", "score", *ITEM_FIELDS)
+
+
 def merge_query_results(hits: DataFrame) -> DataFrame:
     """One list for each (qid, tool) from several queries (query_no): the first of each chunk stays, in order.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, fuzzy
 from ..functions import text as T
 from ..shipping import ship
+from .matching import containing, sharing_tokens
 
 #: Confidence and lead over the second candidate that a resolved document needs.
 LEAST_CONFIDENCE, LEAST_GAP = 0.55, 0.08
@@ -40,12 +41,12 @@ def _alias_score(query: Column, aliases: Column, ratios: Column | None) -> Colum
 def catalog_candidates(questions: DataFrame, entries: DataFrame, limit: int = 8, alike: bool = True) -> DataFrame:
     """(qid, doc_name, score, rank): the best-scored entries of each question (qid, query); scores above 0 only.
 
-    The rules look for parts of words and for similarity, so there is no key to join by: each question meets each
-    entry. The catalog is a dimension; Spark broadcasts it only if it is small. With ``alike``, similarity of the whole
-    name and of aliases counts, too, where the lengths allow for it.
+    Without ``alike`` all rules look for one text inside another or for equal numbers, so only pairs that share such a
+    part are scored. With it, similarity of the whole name and of aliases counts, too, where the lengths allow for it;
+    that has no key to join by, so each question meets each entry of the catalog, which is a dimension.
     """
     q = questions.select("qid", F.coalesce("query", F.lit("")).alias("query")).withColumns({"q": T.normalize_catalog_text(F.col("query")), "numbers": T.extract_order_numbers(F.col("query"))}).where("q <> ''")
-    pairs = q.join(entries, how="cross")
+    pairs = q.join(entries, how="cross") if alike else _pairs(q, entries).join(q, "qid").join(entries, "doc_name")
     query, doc = F.col("q"), F.col("doc_norm")
     score = F.when(F.contains(doc, query), 0.45).otherwise(0.0) + F.when(F.contains(query, doc), 0.35).otherwise(0.0)
     ratios = None
@@ -64,6 +65,21 @@ def catalog_candidates(questions: DataFrame, entries: DataFrame, limit: int = 8,
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _pairs(q: DataFrame, entries: DataFrame) -> DataFrame:
+    """(qid, doc_name) of all pairs of which a rule may score above 0."""
+    names = entries.select("doc_name", F.explode(F.array_distinct(F.concat(F.array("doc_norm"), "aliases"))).alias("alias")).where("alias <> ''")
+    alias, query = names.select(F.col("alias").alias("needle")), q.select(F.col("q").alias("text"))
+    roots = names.select(F.col("alias").alias("asked"), T.token_roots(F.col("alias")).alias("tokens")).where(F.size("tokens") >= 2)
+    by_name = containing(alias, query).select(F.col("needle").alias("alias"), F.col("text").alias("q"))
+    by_name = by_name.union(containing(q.select(F.col("q").alias("needle")), names.select(F.col("alias").alias("text"))).select("text", "needle")).union(sharing_tokens(roots, query, 0.7).select("asked", "text")).distinct()
+    out = by_name.join(names, "alias").join(q.select("qid", "q"), "q").select("qid", "doc_name")
+    number = entries.select("doc_name", F.explode("order_numbers").alias("number"))
+    out = out.union(q.select("qid", F.explode("numbers").alias("number")).join(number, "number").select("qid", "doc_name"))
+    known = F.array_compact(F.array(*(F.when(F.col("q").contains(short), short) for short in fixed.KNOWN_ALIASES)))
+    meant = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (F.col("doc_norm").contains(p) for p in phrases)), short) for short, phrases in fixed.KNOWN_ALIASES.items())))
+    return out.union(q.select("qid", F.explode(known).alias("short")).join(entries.select("doc_name", F.explode(meant).alias("short")), "short").select("qid", "doc_name")).distinct()
+
+
 def resolve_document(candidates: DataFrame) -> DataFrame:
     """(qid, top_name, confidence, ambiguous, resolved_name) of ranked candidates.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, ids
 from ..functions import text as T
-from ..operators import answers, chunking, evaluation, fusion, predicates, quality, retrieval, structure, understanding
+from ..operators import answers, chunking, evaluation, fusion, indexing, knowledge, metadata, planning, predicates, quality, retrieval, runtime, structure, understanding
 from ..sources import tables
 from ..streaming import upsert
 
@@ -222,10 +222,174 @@ def resolve_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     filters = F.map_filter(F.create_map(F.lit("doc_name"), F.array("source"), F.lit("point_number"), F.when(F.col("lang") != "en", F.array("lang"))), lambda _, v: v.isNotNull())
-    q = d.select(F.col("doc_id").alias("qid"), F.when(F.col("lang").isin("en", "fr"), F.col("text")).alias("query"), filters.alias("filters"))
+    q = d.select(F.col("doc_id").alias("qid"), F.col("text").alias("query"), filters.alias("filters"))
     return understanding.route_tools(q).select("qid", F.array_join("tools", ",").alias("tools"))
 
 
+def comparison_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small chunks against large ones of all documents but those whose id is divisible by 7."""
+    new, old = document_chunks(spark, sf_dir, 800).where("doc_key % 7 <> 0"), document_chunks(spark, sf_dir)
+    return quality.comparison_defects(tables.staged(new), tables.staged(old)).select("code", "stage", F.col("count").alias("n"))
+
+
+def baseline_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, old = document_chunks(spark, sf_dir).where("doc_key % 7 <> 0"), document_chunks(spark, sf_dir, 800).where("doc_key % 5 <> 0")
+    return quality.scope(new, old)
+
+
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind, number, date and authority of registrations: literals, as the given tables have none."""
+    rows = spark.createDataFrame(
+        [
+            (1, "Правила работы с персоналом", "Приказ Минэнерго России от 12.05.2010 № 345"), (2, "О безопасности 35-ФЗ", ""), (3, "Об энергетике", "Федеральный закон 35-ФЗ"), (4, "", "Федеральный закон от 4 ноября 2007 г. 250 - фз"),
+            (5, "ГОСТ Р 12.0.004-2015", "ГОСТ 12.1.030-81 от 15 мая 1981"), (6, "", "Постановление Правительства РФ от 1.2.2003 N 17-а"), (7, "ПУЭ", "Приказом Министерства энергетики Российской Федерации от 8 июля 2002 г. № 204"), (8, "", ""),
+        ],
+        "id int, name string, registration string",
+    )
+    kind = T.doc_kind(F.col("name"), F.col("registration"))
+    return rows.select("id", kind.alias("kind"), T.doc_kind_label(kind).alias("label"), T.doc_number(F.col("registration"), F.col("name"), kind).alias("number"), T.doc_date(F.col("registration")).alias("date"), T.payload_authority(F.lit(""), F.col("registration"), F.lit(""), kind).alias("authority"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw paragraphs of documents under the head of an order; every third has no registration line."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    line = F.when(F.col("doc_id") % 3 == 0, F.lit("без номера")).otherwise(F.concat(F.lit("от 12.05.2010 № "), F.col("doc_id").cast("string"), F.lit("-р")))
+    head = F.array(F.lit("ПРИКАЗ"), line, F.concat(F.lit("Об утверждении Правил хранения "), "source"), F.concat(F.lit("Глава "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(". Общие")), F.lit("1. Первый пункт о хранении"), F.concat(F.lit("2. Второй пункт о "), "source"))
+    each = d.select(F.col("doc_id").alias("doc_key"), F.posexplode(head).alias("ord", "raw"))
+    return each.select("doc_key", "ord", "raw", F.when(F.col("ord") == 3, 1).otherwise(10).alias("outline_level"), F.lit("").alias("style_name"))
+
+
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metadata.extract_metadata(structure.make_paragraphs(_orders(spark, sf_dir)))
+    return m.select("doc_key", "doc_name", "doc_reg", "metadata_source", "metadata_confidence", "doc_kind", "doc_number", "doc_date", "authority", "manifest_kind")
+
+
+def metadata_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metadata.extract_metadata(structure.make_paragraphs(_orders(spark, sf_dir))).withColumn("filename", F.concat(F.col("doc_key").cast("string"), F.lit("|a.txt"))).withColumn("manifest_kind", F.when(F.col("metadata_confidence") == "medium", "title_fallback").otherwise(F.col("manifest_kind")))
+    return tables.manifest(m).select("filename", F.md5("line").alias("line_md5"))
+
+
+def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = structure.make_paragraphs(_orders(spark, sf_dir))
+    doc = metadata.extract_metadata(p).withColumns({"source_file": F.concat(F.lit("/in/"), F.col("doc_key").cast("string")), "filename": F.col("doc_key").cast("string")})
+    c = chunking.build_chunks(structure.units(p), doc)
+    return c.select("doc_key", F.col("chunk_index").cast("long"), "chunk_id", "doc_id", "point_id", F.md5("point_identity_key").alias("key_md5"), "chapter_number", "chapter_title", "retrieval_anchor_heading", "point_number", F.md5("text").alias("text_md5"))
+
+
+def structured_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("doc_id") % 9).cast("string")
+    headings = F.array(F.concat(F.lit("Раздел IV. Часть "), "source"), F.concat(F.lit("Глава "), n, F.lit("_2. О хранении.")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Статья "), n, F.lit(". "), "lang")).otherwise(F.lit("Прочее")))
+    d = read(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", headings.alias("headings"))
+    return d.select("doc_id", *(c.alias(k) for k, c in T.structured_headings(F.col("headings")).items()))
+
+
+def _vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings")
+    key = F.col("vec_id").cast("string")
+    return v.select(key.alias("chunk_id"), F.concat(F.lit("label "), "label").alias("doc_name"), key.alias("point_number"), F.concat(F.lit("vector "), key).alias("text"), F.concat(key, F.lit(".txt")).alias("filename"), F.lit("chunks_v1").alias("schema_version"), "embedding")
+
+
+def point_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _vector_chunks(spark, sf_dir)
+    return indexing.point_records(c.drop("embedding"), c).select("id", "payload.chunk_id", "payload.text", F.size("vector").alias("n"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _vector_chunks(spark, sf_dir)
+    return indexing.payload_postings(indexing.point_records(c.drop("embedding"), c)).groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _vector_chunks(spark, sf_dir)
+    all_ = indexing.point_records(c.drop("embedding"), c)
+    new = all_.where("payload.doc_name = 'label 3'").withColumn("payload", F.col("payload").withField("text", F.lit("new text")))
+    return indexing.upserted(all_.where("payload.doc_name <> 'label 5'"), new).select("id", "payload.chunk_id", "payload.text")
+
+
+def index_schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _vector_chunks(spark, sf_dir).withColumn("filename", F.col("point_number").cast("long"))
+    return indexing.schema_differences(indexing.index_schema(indexing.point_records(c.drop("embedding"), c)))
+
+
+def index_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.verify_index(document_chunks(spark, sf_dir)).select("section", "metric", F.round("value", 6).alias("value"))
+
+
+def index_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.index_defects(indexing.verify_index(document_chunks(spark, sf_dir))).select("position", "code", "stage", F.col("count").alias("n"))
+
+
+def _knowledge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Part names as documents, part types as terms, and a few literals."""
+    part = read(spark, sf_dir, "part")
+    names = part.groupBy("p_name").agg(F.min("p_partkey").alias("position"), F.min("p_type").alias("p_type"), F.min("p_brand").alias("p_brand"))
+    types = part.groupBy(F.col("p_type").alias("label")).agg(F.min("p_partkey").alias("position"))
+    return {
+        "documents": names.select(F.concat(F.lit("d"), F.col("position").cast("string")).alias("doc_id"), F.col("p_name").alias("doc_name"), F.concat("p_type", F.lit(" goods made by "), "p_brand").alias("annotation"), "position"),
+        "terms": types,
+        "abbreviations": spark.createDataFrame([("red", "bolt and gear of steel", 0), ("promo", "widget", 1), ("x", "ring", 2)], "abbreviation string, expansion string, position long"),
+        "topics": spark.createDataFrame([("Economy bolt", ["bolt"], ["blue"], 0), ("ring", ["small", "red"], [], 1)], "phrase string, doc_names array<string>, not_doc_names array<string>, position long"),
+    }
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions with and without a point number, and the catalog."""
+    q, entries = _part_questions(spark, sf_dir)
+    more = read(spark, sf_dir, "part").select(F.concat(F.lit("пункт 7.1 "), "p_name").alias("query")).distinct().select(F.col("query").alias("qid"), "query")
+    return q.union(more), entries.withColumn("catalog_id", F.concat(F.lit("c:"), "doc_name"))
+
+
+def knowledge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _knowledge(spark, sf_dir)
+    found = knowledge.knowledge_candidates(_planned(spark, sf_dir)[0], k["documents"], k["terms"], k["abbreviations"], k["topics"])
+    return found.select("qid", "doc_id", "score", F.array_join("reasons", "|").alias("reasons"), "rank")
+
+
+def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _knowledge(spark, sf_dir)
+    return knowledge.terms_in_queries(_planned(spark, sf_dir)[0], k["terms"], k["abbreviations"], k["topics"]).select("qid", F.array_join("matched_terms", "|").alias("terms"))
+
+
+def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, entries = _planned(spark, sf_dir)
+    found = knowledge.knowledge_candidates(q, **_knowledge(spark, sf_dir))
+    merged = knowledge.merged_candidates(understanding.catalog_candidates(q, entries, alike=False), found, entries)
+    return merged.select("qid", "catalog_id", "doc_name", "score", "source", "rank")
+
+
+def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, entries = _planned(spark, sf_dir)
+    p = planning.plan_queries(q, entries, **_knowledge(spark, sf_dir))
+    joined = [F.array_join(c, "|").alias(c) for c in ("concepts", "resolved_doc_names", "point_number_hints", "point_queries", "payload_queries", "vector_queries", "selected_tools", "warnings")]
+    return p.select("qid", "question_type", "catalog_id", "doc_name", "confidence", "ambiguous", "candidates_total", "resolver", *joined)
+
+
+def _runtime(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector whose id is divisible by 50 asks, in turns with and without text, filters, a profile and a limit."""
+    c = _vector_chunks(spark, sf_dir)
+    n = F.col("vec_id")
+    q = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(
+        n.alias("qid"), F.when(n % 100 == 0, "").otherwise(F.concat(F.lit("vector "), n.cast("string"))).alias("query"),
+        F.map_filter(F.create_map(F.lit("point_number"), F.when(n % 150 == 0, F.array(n.cast("string"))), F.lit("doc_name"), F.when(n % 350 == 0, F.array(F.concat(F.lit("label "), "label")))), lambda _, v: v.isNotNull()).alias("filters"),
+        F.when(n % 200 == 50, "fast").when(n % 400 == 150, "deep").alias("profile"), F.when(n % 250 == 0, 0).otherwise(F.lit(3)).alias("limit"), "embedding",
+    )
+    vectors = q.select("qid", "embedding")
+    tools = {
+        "point": lambda a: retrieval.point_search(a, c), "payload": lambda a: retrieval.payload_search(a, c),
+        "vector": lambda a: retrieval.vector_tool(a.join(vectors.withColumnRenamed("qid", "own"), F.col("qid.qid") == F.col("own")).drop("own"), c),
+    }
+    return runtime.run_runtime(runtime.requests(q.drop("embedding")), tools)
+
+
+def runtime_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runtime(spark, sf_dir)[0].select("qid", "tool", "rank", "chunk_id", "doc_name")
+
+
+def runtime_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _runtime(spark, sf_dir)[1]
+    return r.select("qid", "profile", F.array_join("selected_tools", ",").alias("tools"), "tools_planned", "tools_succeeded", "items_returned", "fusion", "empty_reason", F.array_join("warnings", "|").alias("warnings"))
+
+
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.windowed_events(read(spark, sf_dir, "events")).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n_events", "total_cents")
 
@@ -236,5 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         paragraphs_clean, heading_paths, point_units, marked_text, html_paragraphs, split_chunks, index_point_ids, token_estimate_stats, chunk_penalties, worst_chunks, quality_report,
         blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, point_lookup, vector_topk, vector_topk_filtered, rrf_fusion,
         hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
+        comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_schema_diff, index_verify, index_defects,
+        knowledge_candidates, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_report,
     )
 }

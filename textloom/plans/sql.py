@@ -218,7 +218,104 @@ SELECT count(*) AS questions_total, sum(items)::BIGINT AS items_returned_total,
     "resolve_document": f"""WITH {_CANDIDATES}, two AS (SELECT qid, max(doc_name) FILTER (rank = 1) AS top_name, max(score) FILTER (rank = 1) AS a, max(score) FILTER (rank = 2) AS b FROM best GROUP BY qid)
 SELECT qid, top_name, least(1.0::DOUBLE, a) AS confidence, coalesce(a - b < 0.08::DOUBLE, FALSE) AS ambiguous, CASE WHEN NOT coalesce(a - b < 0.08::DOUBLE, FALSE) AND least(1.0::DOUBLE, a) >= 0.55::DOUBLE THEN top_name END AS resolved_name FROM two""",
     "route_plan": """SELECT doc_id AS qid, array_to_string(list_filter([CASE WHEN scope THEN 'point' END, CASE WHEN asked OR scope THEN 'payload' END, CASE WHEN asked THEN 'vector' END], lambda x: x IS NOT NULL), ',') AS tools
-FROM (SELECT doc_id, coalesce(lang <> 'en', FALSE) AS scope, coalesce(lang IN ('en', 'fr'), FALSE) AND trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AS asked FROM documents)""",
+FROM (SELECT doc_id, coalesce(lang <> 'en', FALSE) AS scope, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AS asked FROM documents)""",
     "windowed_events": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n_events, sum(round(value * 100)::BIGINT)::BIGINT AS total_cents FROM events GROUP BY ALL",
 }
+
+# Literals that the queries ask about, as the given tables have nothing like them; results by the rules' definitions.
+_REGISTRATIONS = """SELECT * FROM (VALUES
+ (1, 'order', 'приказ', '345', '12.05.2010', 'Министерство энергетики Российской Федерации'), (2, 'unknown', 'не классифицировано', '35-ФЗ', '', ''),
+ (3, 'law', 'федеральный закон', '', '', 'Федеральное Собрание Российской Федерации; Президент Российской Федерации'), (4, 'law', 'федеральный закон', '250-ФЗ', '4 ноября 2007', 'Федеральное Собрание Российской Федерации; Президент Российской Федерации'),
+ (5, 'gost', 'ГОСТ', '12.0.004-2015', '15 мая 1981', 'Федеральное агентство по техническому регулированию и метрологии (Росстандарт)'), (6, 'decree', 'постановление', '17-а', '1.2.2003', 'Правительство Российской Федерации'),
+ (7, 'pue', 'приказ', '204', '8 июля 2002', 'Министерство энергетики Российской Федерации'), (8, 'unknown', 'не классифицировано', '', '', '')) v(id, kind, label, number, date, authority)"""
+_ORDERS = """o AS (SELECT doc_id AS k, source, doc_id % 9 + 1 AS ch, doc_id % 3 = 0 AS bare, CASE WHEN doc_id % 3 = 0 THEN 'без номера' ELSE 'от 12.05.2010 № ' || doc_id || '-р' END AS line, 'Об утверждении Правил хранения ' || source AS name FROM documents),
+m AS (SELECT *, CASE WHEN bare THEN 'Не указано' ELSE 'Приказ ' || line END AS reg, 'reg:' || CASE WHEN bare THEN 'not_extracted' ELSE 'initial_lines_header' END || ';title:initial_lines_title' AS src FROM o)"""
+_UNITS = f"""{_ORDERS}, u AS (SELECT k, name, reg, 0 AS i, 0 AS start, '' AS point, NULL AS ch, '' AS head, 'ПРИКАЗ' || chr(10) || line || chr(10) || name AS text FROM m
+ UNION ALL SELECT k, name, reg, 1, 4, '1', ch, 'Глава ' || ch || '. Общие', '1. Первый пункт о хранении' FROM m UNION ALL SELECT k, name, reg, 2, 5, '2', ch, 'Глава ' || ch || '. Общие', '2. Второй пункт о ' || source FROM m),
+k1 AS (SELECT *, 'doc_' || left(sha1(name || chr(10) || reg || chr(10) || '/in/' || k), 16) AS doc_id, CASE WHEN point = '' THEN '__unnumbered__' ELSE point END || '::' || CASE WHEN head = '' THEN '__no_heading__' ELSE head END || '::' || start || ':' || i AS key FROM u),
+k2 AS (SELECT *, 'point_' || left(sha1(doc_id || chr(10) || key), 16) AS point_id FROM k1)"""
+_INDEX_ID = "h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || CASE WHEN h[17] IN ('0', '4', '8', 'c') THEN '8' WHEN h[17] IN ('1', '5', '9', 'd') THEN '9' WHEN h[17] IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || h[18:20] || '-' || h[21:32]"
+_RECORDS = f"""h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('textloom:chunk:' || vec_id)) AS h FROM embeddings), rec AS (SELECT *, {_INDEX_ID} AS id FROM h)"""
+_VERIFY = [
+    ("chunks", "chunks_total", "count(*)"), ("chunks", "chunks_missing_required_payload_keys", "count(*) FILTER (NOT is_split)"), ("chunks", "required_payload_keys_coverage", "count(*) FILTER (is_split) / count(*)"), ("chunks", "payload_errors", "0 * count(*)"), ("chunks", "duplicate_index_ids", "count(*) - count(DISTINCT chunk_id)"),
+    ("vector_readiness", "chunks_with_text", f"count(*) FILTER ({_strip('text')} <> '')"), ("vector_readiness", "empty_text_chunks", f"count(*) FILTER ({_strip('text')} = '')"), ("payload_lookup_readiness", "chunks_with_filename", "count(*)"), ("payload_lookup_readiness", "chunks_with_doc_name", "count(*) FILTER (nm <> '')"),
+    ("payload_lookup_readiness", "chunks_with_heading_path_text", "count(*) FILTER (heading_path_text <> '')"), ("point_lookup_readiness", "chunks_with_chunk_id", "count(*)"), ("point_lookup_readiness", "chunks_with_point_identity_key", "0 * count(*)"), ("point_lookup_readiness", "chunks_with_point_number", "count(*) FILTER (point_number <> '')"),
+]
+_VERIFIED = "v AS (" + " UNION ALL ".join(f"SELECT '{s}' AS section, '{m}' AS metric, round(({e})::DOUBLE, 6) AS value FROM chunks" for s, m, e in _VERIFY) + ")"
+_SMALL = f"""{_chunks(800, '0')}, {_chunks(1600, '1')}, chunks AS (SELECT * FROM chunks0 WHERE doc_key % 7 <> 0), chunks2 AS (SELECT * FROM chunks1 WHERE filename IN (SELECT filename FROM chunks)), {_report()}, {_report('2')}"""
+
+# Questions with and without a point number against part names, part types and a few literals.
+_SHARE = "coalesce(len(list_filter(string_split({0}, ' '), lambda w: length(w) >= 4 AND contains({1}, w))) / nullif(len(list_filter(string_split({0}, ' '), lambda w: length(w) >= 4)), 0), 0)"
+_BEST = _CANDIDATES.replace("asked AS (SELECT DISTINCT p_type || ' ' || p_name AS qid FROM part)", "asked AS (SELECT DISTINCT p_type || ' ' || p_name AS qid FROM part UNION SELECT DISTINCT 'пункт 7.1 ' || p_name FROM part)")
+_KNOWN = f"""{_BEST}, kd AS (SELECT *, {_catalog_text('doc_name')} AS name, {_catalog_text('annotation')} AS note, {_catalog_text("doc_name || ' ' || annotation")} AS whole
+ FROM (SELECT 'd' || min(p_partkey) AS doc_id, p_name AS doc_name, min(p_type) || ' goods made by ' || min(p_brand) AS annotation, min(p_partkey) AS pos FROM part GROUP BY p_name)),
+kt AS (SELECT p_type AS label, {_catalog_text('p_type')} AS lab, min(p_partkey) AS pos FROM part GROUP BY p_type),
+ka(short, expansion, pos) AS (VALUES ('red', 'bolt and gear of steel', 0), ('promo', 'widget', 1), ('x', 'ring', 2)),
+kp(phrase, shown, pos) AS (VALUES ('economy bolt', 'Economy bolt', 0), ('ring', 'ring', 1)),
+own AS (SELECT qid, doc_id, pos, contains(name, q) AS a, contains(q, name) AS b, {_SHARE.format('q', 'name')} AS o, contains(note, q) AS c, {_SHARE.format('q', 'note')} AS n FROM q, kd),
+kc AS (SELECT qid, doc_id, pos, 0 AS family, 0 AS item, CASE WHEN a THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN b THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN o >= 0.5 THEN o * 0.5::DOUBLE ELSE 0 END + CASE WHEN c THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN n >= 0.45::DOUBLE THEN n * 0.45::DOUBLE ELSE 0 END AS score,
+ array_to_string(list_filter([CASE WHEN a THEN 'doc_name_contains_query' END, CASE WHEN b THEN 'query_contains_doc_name' END, CASE WHEN o >= 0.5 THEN printf('doc_name_token_overlap:%.2f', o) END, CASE WHEN c THEN 'annotation_contains_query' END, CASE WHEN n >= 0.45::DOUBLE THEN printf('annotation_token_overlap:%.2f', n) END], lambda x: x IS NOT NULL), '|') AS why FROM own
+ UNION ALL SELECT qid, doc_id, kd.pos, 1, 0, 0.72, 'topic_alias:economy bolt' FROM q, kd WHERE (contains(q, 'economy bolt') OR contains(q, 'economy')) AND contains(name, 'bolt') AND NOT contains(name, 'blue')
+ UNION ALL SELECT qid, doc_id, kd.pos, 1, 1, 0.72, 'topic_alias:ring' FROM q, kd WHERE contains(q, 'ring') AND (contains(name, 'small') OR contains(name, 'red'))
+ UNION ALL SELECT qid, doc_id, kd.pos, 2, ka.pos, 0.48, 'abbreviation:' || short FROM q, kd, ka WHERE length(short) >= 2 AND contains(q, short) AND (contains(whole, left(expansion, 40)) OR {_SHARE.format('expansion', 'whole')} >= 0.35::DOUBLE)
+ UNION ALL SELECT qid, doc_id, kd.pos, 3, kt.pos, 0.42, 'term:' || lab FROM q, kd, kt WHERE length(lab) >= 5 AND contains(q, lab) AND contains(whole, lab)),
+kw AS (SELECT *, max(score) OVER (PARTITION BY qid, doc_id) AS top, row_number() OVER (PARTITION BY qid, doc_id ORDER BY family, item) AS rn FROM kc WHERE score > 0),
+kf AS (SELECT qid, doc_id, any_value(pos) AS pos, max(score) AS score, min(rn) FILTER (score = top) AS first, arg_min(family, rn) AS family, arg_min(item, rn) AS item FROM kw GROUP BY qid, doc_id),
+kr AS (SELECT kf.qid, kf.doc_id, string_agg(why, '|' ORDER BY rn) AS reasons FROM kf JOIN kw USING (qid, doc_id) WHERE rn >= first GROUP BY ALL),
+found AS (SELECT qid, doc_id, round(score, 4) AS score, reasons, row_number() OVER (PARTITION BY qid ORDER BY score DESC, family, item, pos) AS rank FROM kf JOIN kr USING (qid, doc_id) QUALIFY rank <= 12),
+said AS (SELECT qid, 0 AS family, pos, label AS shown FROM q, kt WHERE length(lab) >= 5 AND contains(q, lab) UNION ALL SELECT qid, 1, pos, shown FROM q, kp WHERE contains(q, phrase) UNION ALL SELECT qid, 2, pos, expansion FROM q, ka WHERE contains(q, short)),
+terms AS (SELECT q.qid, coalesce(list(shown ORDER BY family, pos) FILTER (shown IS NOT NULL), []) AS l FROM q LEFT JOIN said USING (qid) GROUP BY q.qid),
+both_ AS (SELECT coalesce(b.qid, k.qid) AS qid, coalesce(b.doc_name, k.doc_name) AS doc_name, greatest(coalesce(b.score, 0), coalesce(k.score, 0)) AS score, CASE WHEN k.qid IS NULL THEN 'catalog' WHEN b.qid IS NULL THEN 'knowledge' ELSE 'catalog+knowledge' END AS source, coalesce(b.rank, k.rank + 1000000) AS place
+ FROM best b FULL JOIN (SELECT found.*, doc_name FROM found JOIN kd USING (doc_id)) k ON b.qid = k.qid AND b.doc_name = k.doc_name),
+merged AS (SELECT qid, 'c:' || doc_name AS catalog_id, doc_name, score, source, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place) AS rank FROM both_)"""
+_PLANS = f"""WITH {_KNOWN}, two AS (SELECT qid, count(*) AS n, max(doc_name) FILTER (rank = 1) AS top_name, max(score) FILTER (rank = 1) AS a, max(score) FILTER (rank = 2) AS b FROM merged GROUP BY qid),
+r AS (SELECT terms.qid, l, n, top_name, least(1.0::DOUBLE, a) AS conf, coalesce(a - b < 0.08::DOUBLE, FALSE) AS amb, CASE WHEN starts_with(terms.qid, 'пункт') THEN '7.1' ELSE '' END AS hint FROM terms LEFT JOIN two USING (qid)),
+p AS (SELECT *, CASE WHEN NOT amb AND conf >= 0.55::DOUBLE THEN top_name END AS res, array_to_string(list_concat([qid], l)[1:4], '|') AS asked FROM r)
+SELECT qid, CASE WHEN hint <> '' THEN 'point_lookup' ELSE 'factual' END AS question_type, coalesce('c:' || top_name, '') AS catalog_id, coalesce(top_name, '') AS doc_name, coalesce(conf, 0)::DOUBLE AS confidence, amb AS ambiguous, coalesce(n, 0) AS candidates_total, 'deterministic' AS resolver,
+ array_to_string(l[1:8], '|') AS concepts, coalesce(res, '') AS resolved_doc_names, hint AS point_number_hints, CASE WHEN res IS NOT NULL THEN hint ELSE '' END AS point_queries, asked AS payload_queries, asked AS vector_queries,
+ CASE WHEN hint <> '' AND res IS NOT NULL THEN 'point|' ELSE '' END || 'payload|vector' AS selected_tools,
+ CASE WHEN n IS NULL THEN 'no document candidates matched the query' WHEN amb THEN 'document resolution ambiguous; search will run without doc_name filter' WHEN res IS NULL THEN printf('document resolution confidence %.2f below threshold; search will run without doc_name filter', conf) ELSE '' END AS warnings FROM p"""
+
+# Every vector whose id is divisible by 50 asks. A payload search that has no query is planned for a point, but skipped.
+_RUNTIME = f"""{_NEAR}, a AS (SELECT vec_id AS qid, label, vec_id % 100 <> 0 AS asked, vec_id % 150 = 0 AS pointed, vec_id % 350 = 0 AS named, CASE WHEN vec_id % 200 = 50 THEN 'fast' WHEN vec_id % 400 = 150 THEN 'deep' ELSE 'balanced' END AS profile FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT *, CASE WHEN qid % 250 <> 0 THEN 3 WHEN profile = 'fast' THEN 5 WHEN profile = 'deep' THEN 20 ELSE 10 END AS lim, profile <> 'fast' AND asked AS fuses FROM a),
+nr AS (SELECT r.qid, cid, row_number() OVER (PARTITION BY r.qid ORDER BY round(s, 12) DESC, cid::VARCHAR) AS rank, lim FROM near JOIN r ON near.qid = r.qid WHERE asked AND (NOT pointed OR cid = r.qid) AND (NOT named OR same) QUALIFY rank <= lim),
+hits AS (SELECT qid, 'point' AS tool, 1 AS rank, qid AS cid FROM r WHERE pointed UNION ALL SELECT qid, 'payload', 1, qid FROM r WHERE asked UNION ALL SELECT qid, 'vector', rank, cid FROM nr),
+fused AS (SELECT hits.qid, cid, coalesce(sum(1.0 / (60 + rank)) FILTER (tool = 'point'), 0) + coalesce(sum(1.0 / (60 + rank)) FILTER (tool = 'payload'), 0) + coalesce(sum(1.0 / (60 + rank)) FILTER (tool = 'vector'), 0) AS sc FROM hits GROUP BY hits.qid, cid),
+items AS (SELECT qid, 'hybrid' AS tool, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, cid::VARCHAR) AS rank, cid, lim FROM fused JOIN r USING (qid) WHERE fuses QUALIFY rank <= lim
+ UNION ALL SELECT qid, CASE WHEN pointed THEN 'point' ELSE 'payload' END, 1, qid, lim FROM r WHERE NOT fuses AND (asked OR pointed))"""
+
+ORACLES |= {
+    "comparison_defects": f"""WITH RECURSIVE {_SMALL}, rules(metric, code, stage) AS (VALUES {_values(_BLOCKING)}), compared(name, metric, sign, gate) AS (VALUES {_values(_COMPARED)}),
+miss AS (SELECT count(DISTINCT filename) AS n FROM chunks1 WHERE filename NOT IN (SELECT filename FROM chunks))
+SELECT code, stage, CASE WHEN metric = 'documents_total' THEN 1 ELSE value::BIGINT END AS n FROM report JOIN rules USING (metric) WHERE CASE WHEN metric = 'documents_total' THEN value = 0 ELSE value > 0 END
+UNION ALL SELECT 'baseline_metric_failed:' || name, 'baseline_comparison', 1 FROM compared JOIN report a USING (metric) JOIN report2 b USING (metric) WHERE gate AND sign * (a.value - b.value) < 0
+UNION ALL SELECT 'baseline_documents_missing_in_new', 'baseline_comparison', n FROM miss WHERE n > 0""",
+    "baseline_scope": f"""WITH RECURSIVE {_chunks()} SELECT filename, bool_or(doc_key % 7 <> 0) AS in_new, bool_or(doc_key % 5 <> 0) AS in_baseline FROM chunks WHERE doc_key % 7 <> 0 OR doc_key % 5 <> 0 GROUP BY filename""",
+    "registrations": _REGISTRATIONS,
+    "document_metadata": f"""WITH {_ORDERS} SELECT k AS doc_key, name AS doc_name, reg AS doc_reg, src AS metadata_source, CASE WHEN bare THEN 'medium' ELSE 'high' END AS metadata_confidence, CASE WHEN bare THEN 'не классифицировано' ELSE 'приказ' END AS doc_kind,
+ CASE WHEN bare THEN '' ELSE k || '-р' END AS doc_number, CASE WHEN bare THEN '' ELSE '12.05.2010' END AS doc_date, '' AS authority, '' AS manifest_kind FROM m""",
+    "metadata_manifest": f"WITH {_ORDERS} SELECT k || '|a.txt' AS filename, md5('| ' || k || '/a.txt | title_fallback | ' || src || ' | ' || name || ' | ' || reg || ' |  |  |') AS line_md5 FROM m WHERE bare",
+    "structured_chunks": f"""WITH {_UNITS} SELECT k AS doc_key, i AS chunk_index, 'chunk_' || left(sha1(doc_id || chr(10) || point_id || chr(10) || '0' || chr(10) || {_normal('text')}), 16) AS chunk_id, doc_id, point_id, md5(key) AS key_md5,
+ coalesce(ch::VARCHAR, '') AS chapter_number, CASE WHEN ch IS NULL THEN '' ELSE 'Общие' END AS chapter_title, head AS retrieval_anchor_heading, point AS point_number, md5(replace(text, chr(10), ' ')) AS text_md5 FROM k2""",
+    "structured_headings": """WITH d AS (SELECT doc_id, doc_id % 9 AS n, 'Раздел IV. Часть ' || source AS s, 'Глава ' || doc_id % 9 || '_2. О хранении.' AS c, CASE WHEN doc_id % 2 = 0 THEN 'Статья ' || doc_id % 9 || '. ' || lang END AS a, source, lang FROM documents)
+SELECT doc_id, coalesce(a, 'Прочее') AS nearest_heading, s || ' > ' || c || ' > ' || coalesce(a, 'Прочее') AS heading_path_text, c AS chapter_heading, n || '.2' AS chapter_number, 'О хранении' AS chapter_title, s AS section_heading, 'IV' AS section_number, 'Часть ' || source AS section_title,
+ coalesce(a, '') AS article_heading, CASE WHEN a IS NULL THEN '' ELSE n::VARCHAR END AS article_number, CASE WHEN a IS NULL THEN '' ELSE lang END AS article_title, coalesce(a, s) AS retrieval_anchor_heading FROM d WHERE source IS NOT NULL AND lang IS NOT NULL""",
+    "point_records": f"WITH {_RECORDS} SELECT id, vec_id::VARCHAR AS chunk_id, 'vector ' || vec_id AS text, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first FROM rec",
+    "index_postings": """WITH p AS (SELECT 'chunk_id' AS field, vec_id::VARCHAR AS value FROM embeddings UNION ALL SELECT 'point_number', vec_id::VARCHAR FROM embeddings UNION ALL SELECT 'filename', vec_id || '.txt' FROM embeddings UNION ALL SELECT 'doc_name', 'label ' || label FROM embeddings
+ UNION ALL SELECT 'text', 'vector' FROM embeddings UNION ALL SELECT 'text', vec_id::VARCHAR FROM embeddings) SELECT field, value, count(*) AS n FROM p GROUP BY ALL""",
+    "index_upsert": f"WITH {_RECORDS} SELECT id, vec_id::VARCHAR AS chunk_id, CASE WHEN label = 3 THEN 'new text' ELSE 'vector ' || vec_id END AS text FROM rec WHERE label <> 5",
+    "index_schema_diff": "SELECT * FROM (VALUES ('filename', 'keyword', 'bigint', 'wrong_type'), ('point_identity_key', 'keyword', NULL, 'missing'), ('heading_path_text', 'text', NULL, 'missing')) v(field_name, expected_schema, actual_schema, problem)",
+    "index_verify": f"WITH RECURSIVE {_chunks()}, {_VERIFIED} SELECT section, metric, value FROM v",
+    "index_defects": f"""WITH RECURSIVE {_chunks()}, {_VERIFIED}, rules(position, metric, code, stage) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.INDEX_DEFECTS)])})
+SELECT position, code, stage, value::BIGINT AS n FROM v JOIN rules USING (metric) WHERE CASE WHEN metric = 'chunks_total' THEN value = 0 ELSE value > 0 END""",
+    "knowledge_candidates": f"WITH {_KNOWN} SELECT qid, doc_id, score, reasons, rank FROM found",
+    "matched_terms": f"WITH {_KNOWN} SELECT qid, array_to_string(l[1:12], '|') AS terms FROM terms",
+    "merged_candidates": f"WITH {_KNOWN} SELECT qid, catalog_id, doc_name, score, source, rank FROM merged",
+    "query_plans": _PLANS,
+    "runtime_batch": f"WITH {_RUNTIME} SELECT qid, tool, rank, cid::VARCHAR AS chunk_id, 'label ' || e.label AS doc_name FROM items JOIN embeddings e ON e.vec_id = cid",
+    "runtime_report": f"""WITH {_RUNTIME}, t AS (SELECT *, list_filter([CASE WHEN pointed THEN 'point' END, CASE WHEN asked OR pointed THEN 'payload' END, CASE WHEN asked THEN 'vector' END], lambda x: x IS NOT NULL) AS l FROM r), n AS (SELECT qid, count(*) AS n FROM items GROUP BY qid)
+SELECT qid, profile, array_to_string(l, ',') AS tools, len(l) AS tools_planned, len(l) - CASE WHEN asked OR NOT pointed THEN 0 ELSE 1 END AS tools_succeeded, coalesce(n, 0) AS items_returned, CASE WHEN fuses THEN 'hybrid_rrf' ELSE '' END AS fusion, CASE WHEN len(l) = 0 THEN 'empty_tool_plan' ELSE '' END AS empty_reason,
+ CASE WHEN len(l) = 0 THEN 'runtime requires a non-empty query or stable point filters' WHEN NOT asked THEN 'payload skipped: empty query list' ELSE '' END AS warnings FROM t LEFT JOIN n USING (qid)""",
+}
 assert fixed.RRF_K == 60  # the SQL above has it written out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,9 +21,9 @@ def text_files(spark: SparkSession, path: str, glob: str = "*.txt", limit: int |
     return files.orderBy("source_file").limit(limit) if limit else files
 
 
-def structured_files(spark: SparkSession, path: str) -> DataFrame:
-    """Documents that another tool has taken apart, one JSON object a line; a broken line is a row with a read_error."""
-    rows = spark.read.schema(STRUCTURED + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+def structured_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """Documents that another tool has taken apart, one JSON object a line, with their file's path as ``path``; a broken line is a row with a read_error."""
+    rows = spark.read.schema(STRUCTURED + ", _broken string").option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", glob).json(path).withColumn("path", F.col("_metadata.file_path"))
     return rows.withColumn("read_error", F.coalesce("read_error", F.when(F.col("_broken").isNotNull(), "not a document"))).drop("_broken")
 
 
@@ -71,11 +72,20 @@ def size_diverse_sample(docs: DataFrame, count: int = 10, *, id_col: str = "doc_
     return inside.join(hit, ["size", "nth"]).select("id", "size", "place")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir``, for reports that read it many times; a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a local session may do without: it gets a temporary folder, which on a cluster no other machine could read."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, for what reads it many times."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -89,3 +99,65 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """What ``write_chunks`` wrote, with flat columns again."""
     return spark.read.json(path).select("schema_version", "chunk_id", "text", "payload.*")
+
+
+ENTRY = "catalog_id string, doc_name string, filename string, doc_id string, aliases array<string>, order_numbers array<string>"
+_BUNDLE = """documents array<struct<doc_id:string,doc_name:string,annotation:string>>, abbreviations array<struct<abbreviation:string,expansion:string>>, terms array<struct<id:string,label:string>>,
+graph_abbreviations array<struct<id:string,label:string>>, topic_aliases array<struct<phrase:string,doc_name_substrings:array<string>,negative_doc_name_substrings:array<string>>>"""
+_QUESTION = "id string, name string, query string, filters map<string,string>, limit int, profile string, mode string, trace_id string, expected struct<doc_name:string,point_number:string,chunk_id:string>, best_pipeline string"
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """Catalog entries as JSON lines."""
+    kinds = dict(x.strip().split(" ") for x in ENTRY.split(","))
+    entries.select(*((F.col(c) if c in entries.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())).write.mode("overwrite").json(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Entries that have a name, from JSON lines of entries or one object with ``entries``; a missing path has none. Nulls become empty."""
+    kinds = dict(x.strip().split(" ") for x in ENTRY.split(","))
+    if not there(spark, path):
+        return spark.createDataFrame([], ENTRY)
+    inner = ", ".join(f"{c}:{k}" for c, k in kinds.items())
+    rows = spark.read.schema(f"{ENTRY}, entries array<struct<{inner.replace(', ', ',')}>>").option("multiLine", path.endswith(".json")).json(path)
+    each = rows.select(F.explode(F.coalesce("entries", F.array(F.struct(*kinds)))).alias("e")).select("e.*").where(F.coalesce("doc_name", F.lit("")) != "")
+    return each.select(*(F.coalesce(c, F.lit("") if k == "string" else F.array().cast(k)).alias(c) for c, k in kinds.items()))
+
+
+def read_knowledge(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a knowledge bundle, one JSON object: documents with an id, abbreviations, terms, graph_abbreviations and topics, each with its ``position``; a missing path has empty ones."""
+    bundle = spark.read.schema(_BUNDLE).option("multiLine", True).json(path) if there(spark, path) else spark.createDataFrame([], _BUNDLE)
+    table = lambda c: bundle.select(F.posexplode(c).alias("position", "r")).select("position", "r.*")
+    none = F.array().cast("array<string>")
+    topics = table("topic_aliases").select("position", "phrase", F.coalesce("doc_name_substrings", none).alias("doc_names"), F.coalesce("negative_doc_name_substrings", none).alias("not_doc_names"))
+    return {"documents": table("documents").where(F.coalesce("doc_id", F.lit("")) != ""), "abbreviations": table("abbreviations"), "terms": table("terms"), "graph_abbreviations": table("graph_abbreviations"), "topics": topics}
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions of a JSON array (or JSON lines), with qid and filters as lists; what is not a question is an error when it is read."""
+    rows = spark.read.schema(_QUESTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    # Numbered in a column of its own: inside coalesce, only the rows that get there would be counted.
+    rows = rows.withColumn("place", F.monotonically_increasing_id() + 1)
+    named = F.coalesce(F.nullif("id", F.lit("")), F.nullif("name", F.lit("")), F.concat(F.lit("q"), "place"))
+    # A value that is a list comes as its JSON text.
+    values = F.transform_values("filters", lambda _, v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)))
+    return rows.select(named.alias("qid"), *rows.columns).withColumn("filters", values).drop("place")
+
+
+def manifest(metadata: DataFrame) -> DataFrame:
+    """(manifest_kind, filename, line): rows of the two tables of documents whose metadata want a look, as Markdown.
+
+    Cells have no line ends or bars and 120 characters at most, the last of which is then an ellipsis.
+    """
+
+    def cell(c: str) -> Column:
+        t = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("/"))
+        return F.when(F.length(t) > 120, F.concat(F.substring(t, 1, 119), F.lit("…"))).otherwise(t)
+
+    cells = [cell(c) for c in ("filename", "manifest_kind", "metadata_source", "doc_title_full", "doc_reg", "doc_date", "authority")]
+    return metadata.where("manifest_kind <> ''").select("manifest_kind", "filename", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
