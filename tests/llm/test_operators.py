@@ -182,7 +182,7 @@ def test_differences_meet_for_every_link(spark):
     sets = spark.createDataFrame([(i, hashlib.md5(x.tobytes()).digest(), x.tobytes()) for i, x in enumerate(each)], "doc_id long, set_key binary, shingles binary")
     rows = spark.createDataFrame([(i, len(x), i + 1 if far[i] else 0, 0, len(centre), 0) for i, x in enumerate(each)], "doc_id long, n_shingles long, component long, centre long, n_centre long, of long")
     apart = minhash.differences(rows, sets)
-    sketch = minhash.frequency_sketch(apart)
+    sketch = minhash.difference_counts(apart)
     at = minhash.places(apart, sketch, 80)
     got = {r["doc_id"]: r for r in at.collect()}
     linked = {(max(i, j), min(i, j)) for i in range(len(each)) for j in range(i) if (far[j] or far[i]) and like(each[i], each[j])}

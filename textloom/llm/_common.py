@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..shipping import ship
+from ..sources.tables import checkpoint_folder
 
 #: A broadcast is asked for only below this many bytes, measured or bounded beforehand.
 BROADCAST_BYTES = 32 << 20
@@ -23,11 +24,8 @@ SLICE_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one is set only where none is."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/textloom-{uuid.uuid4().hex}")
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The folder that the session names in ``spark.checkpoint.dir``. Only a local session may do without one and gets a temporary folder."""
+    return checkpoint_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -94,6 +92,46 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def frequency_sketch(df: DataFrame, cells: int, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """How often the 64-bit numbers of all rows occur, in ``cells`` counters by their low bits: never less than the truth, at most more.
+
+    A task adds up its own rows and sends its counters in blocks, which are summed by block: what moves does not depend
+    on the rows, and what reaches the driver is ``cells`` numbers. ``cells`` is a power of two. Blocks go packed, first
+    the low bytes of all counters, then the others, which are mostly 0.
+    """
+    size = min(cells, 1 << 14)
+    pack = lambda x: zstandard.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    unpack = lambda b: np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(cells, np.uint32)
+        for batch in batches:
+            for x in hashes(batch):
+                own = (x & np.uint64(cells - 1)).view(np.int64)
+                if len(own) * 16 < cells:
+                    cell, n = np.unique(own, return_counts=True)
+                    held[cell] += n.astype(np.uint32)
+                else:
+                    held += np.bincount(own, minlength=cells).astype(np.uint32)
+        blocks = held.reshape(-1, size)
+        some = np.flatnonzero(blocks.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pack(blocks[i]) for i in some], pa.binary())], ["block", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        held = np.zeros(size, np.uint64)
+        for x in table["counts"].to_pylist():
+            held += unpack(x)
+        most = np.minimum(held, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([pack(most)], pa.binary())})
+
+    ship(df.sparkSession)
+    out = np.zeros(cells, np.uint32)
+    for r in df.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        out[r["block"] * size : (r["block"] + 1) * size] = unpack(r["counts"])
+    return out
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen lately; never more than ``most`` of them."""
 

@@ -10,19 +10,19 @@ followed to connected components by joins, never on the driver.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from ._common import BROADCAST_BYTES, Scratch, WordHashes, map_rows, mixed, utf8
+from ._common import BROADCAST_BYTES, Scratch, WordHashes, frequency_sketch, map_rows, mixed, utf8
 
 #: Values that are permuted at once; links in a partition; members of a bucket that are paired directly.
 BLOCK_VALUES, EDGES, SMALL = 1 << 15, 1 << 18, 16
-#: Counters of the frequency sketch (4 bytes each, broadcast as a whole), and those in a row of it.
-CELLS, CELL_BLOCK = 1 << 20, 1 << 10
+#: Counters of the sketch of differences, 4 bytes each, broadcast as a whole.
+CELLS = 1 << 20
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -150,36 +150,14 @@ def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(both.select(F.struct(*rows.columns).alias("of"), "left", "right", "key"), differ, "differ binary", carry="of").select("of.*", "differ")
 
 
-def frequency_sketch(far: DataFrame) -> np.ndarray:
-    """How often each difference occurs, in CELLS counters by its low bits: never less than the truth, at most more.
+def difference_counts(far: DataFrame) -> np.ndarray:
+    """How often each difference occurs, as a frequency sketch of CELLS counters."""
 
-    A task adds up its own rows and sends blocks of its counters, which are summed by block: what moves does not depend
-    on the rows, and what reaches the driver is CELLS numbers.
-    """
+    def numbers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for at in range(0, batch.num_rows, 1024):
+            yield np.frombuffer(b"".join(batch.column("differ")[at : at + 1024].to_pylist()), np.uint64)
 
-    def count(batches):
-        held = np.zeros(CELLS, np.uint32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                d = np.frombuffer(b"".join(batch.column("differ")[at : at + 1024].to_pylist()), np.uint64)
-                cell, n = np.unique(d & np.uint64(CELLS - 1), return_counts=True)
-                held[cell] += n.astype(np.uint32)
-        blocks = held.reshape(-1, CELL_BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        held = np.zeros(CELL_BLOCK, np.uint32)
-        for x in table["counts"].to_pylist():
-            held += np.frombuffer(x, np.uint32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([held.tobytes()], pa.binary())})
-
-    ship(far.sparkSession)
-    out = np.zeros(CELLS, np.uint32)
-    for r in far.select("differ").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[r["block"] * CELL_BLOCK : (r["block"] + 1) * CELL_BLOCK] = np.frombuffer(r["counts"], np.uint32)
-    return out
+    return frequency_sketch(far.select("differ"), CELLS, numbers)
 
 
 def places(far: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -300,7 +278,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     large = rows.where(F.col("members") > SMALL).drop("band", "members").distinct()
     own = sets_of(scratch, large.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct(), sets)
     far = scratch.write(differences(large, own))
-    at = scratch.write(places(far, frequency_sketch(far), percent))
+    at = scratch.write(places(far, difference_counts(far), percent))
     pairs = scratch.write(direct.union(met_by_differences(at, percent)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     scratch.drop(rows, own, far, at)
     found = confirmed(scratch, pairs, sets, percent)

@@ -1,8 +1,11 @@
 """Removal of byte strings that repeat across documents, by a hash-compared suffix sort.
 
-Every 50-byte window has an anchor: the leftmost 20-byte gram with the smallest hash among those in it. Equal windows
-have equal anchors at the same place in them, so anchors (one in about 16 bytes) bring all equal windows together:
+Every 50-byte window has an anchor: of the 20-byte grams in it, the leftmost of the least frequent class, and there of
+the smallest hash. Equal windows have equal anchors at the same place in them, so anchors (one in about 16 bytes) bring
+all equal windows together:
 
+0. ``gram_classes``: a sketch of how often grams occur. A frequent gram is an anchor only of windows that have nothing
+   rarer, which are inside frequent text and so alike; the windows around it, which differ, have rarer anchors.
 1. ``_anchor_rows``: the anchors of every document, bucketed by hash; ``_shared_rows`` tells each document which of
    its anchors other documents have too.
 2. ``_context_rows``: the bytes around shared anchors, that is, all windows that have this anchor; ``_span_rows``
@@ -25,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import mixed, utf8
+from ._common import frequency_sketch, mixed, utf8
 
 GRAM = 20
 #: Bytes of text that one numpy pass handles, anchors that a task gathers before it sends them.
@@ -38,6 +42,8 @@ SLICE_BYTES, FLUSH_ANCHORS = 1 << 20, 1 << 20
 #: about a hundred times as much memory).
 BUCKET_BYTES, SORT_BYTES = 8 << 20, 1 << 19
 _POS = np.uint64(22)
+#: Counters of the sketch of grams; a gram is frequent from so many times the average count on. Classes take 5 bits.
+CELLS, FREQUENT, CLASS_BITS = 1 << 21, 4, 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -128,30 +134,55 @@ def suffix_order(hashes: PrefixHashes, start: np.ndarray, group: np.ndarray, mos
     return order
 
 
-def anchors(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For slices of ``texts``: (prefix hashes, first text, text of each anchor, its place, first and last window that has it), places in the slice."""
+def gram_classes(docs: DataFrame, window: int) -> np.ndarray:
+    """A class for each cell of gram hashes: 0, or one more for each doubling from FREQUENT times the average count of a cell on."""
+
+    def grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in _text_slices(utf8(batch.column("text"))):
+            raw = b"".join(part[1])
+            if len(raw) >= window:
+                yield _grams(PrefixHashes(np.frombuffer(raw, np.uint8)))
+
+    counts = frequency_sketch(docs.select("text"), CELLS, grams)
+    times = counts / (FREQUENT * max(float(counts.mean()), 1.0))
+    return np.clip(np.floor(np.log2(np.maximum(times, 0.5))) + 1, 0, (1 << CLASS_BITS) - 1).astype(np.uint8)
+
+
+def _grams(hashes: PrefixHashes) -> np.ndarray:
+    """The hash of the gram at each place, across the ends of texts, too: those are in no window."""
+    n = len(hashes.buffer)
+    return mixed((hashes.prefix[GRAM:] - hashes.prefix[: n - GRAM + 1]) * hashes.inverse[: n - GRAM + 1])
+
+
+def _text_slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     at = 0
     while at < len(texts):
         end, total = at, 0
         while end < len(texts) and (end == at or total + len(texts[end]) <= SLICE_BYTES):
             total += len(texts[end])
             end += 1
-        for part in _anchors_of(texts[at:end], window):
-            yield part[0], at, *part[1:]
+        yield at, texts[at:end]
         at = end
 
 
-def _anchors_of(texts: list[bytes], window: int) -> Iterator[tuple]:
+def anchors(texts: list[bytes], window: int, classes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For slices of ``texts``: (prefix hashes, first text, text of each anchor, its place, first and last window that has it), places in the slice."""
+    for at, part in _text_slices(texts):
+        for found in _anchors_of(part, window, classes):
+            yield found[0], at, *found[1:]
+
+
+def _anchors_of(texts: list[bytes], window: int, classes: np.ndarray) -> Iterator[tuple]:
     raw = b"".join(texts)
     n, wide = len(raw), window - GRAM + 1
     if n < window:
         return
     hashes = PrefixHashes(np.frombuffer(raw, np.uint8))
-    gram = mixed((hashes.prefix[GRAM:] - hashes.prefix[: n - GRAM + 1]) * hashes.inverse[: n - GRAM + 1])
-    # The place fills the low bits, so that the leftmost of equal grams is the smallest; texts of over 4 MB stand alone
-    # in their slice and take more bits.
-    bits = _U64(max(int(_POS), n.bit_length()))
-    key = (gram >> bits << bits) | np.arange(len(gram), dtype=_U64)
+    gram = _grams(hashes)
+    # The class fills the high bits. The place fills the low ones, so that the leftmost of equal grams is the smallest;
+    # texts of over 4 MB stand alone in their slice and take more bits.
+    bits, high = _U64(max(int(_POS), n.bit_length())), _U64(64 - CLASS_BITS)
+    key = (classes[gram & _U64(CELLS - 1)].astype(_U64) << high) | (gram >> _U64(CLASS_BITS) >> bits << bits) | np.arange(len(gram), dtype=_U64)
     step = 1
     while step * 2 <= wide:
         key = np.minimum(key[:-step], key[step:])
@@ -196,7 +227,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ROW)], schema=_ROW)
 
 
-def _anchor_rows(window: int, buckets: int):
+def _anchor_rows(window: int, buckets: int, classes: Broadcast):
     """Anchors by bucket. Salt 0: of each gram that one document of the task has, or a representative (flagged) of those
     that several have. Other salts, spread: the anchors already known to be shared."""
 
@@ -225,7 +256,7 @@ def _anchor_rows(window: int, buckets: int):
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for _, at, gram, text, *_ in anchors(utf8(batch.column("text")), window):
+            for _, at, gram, text, *_ in anchors(utf8(batch.column("text")), window, classes.value):
                 grams.append(gram), docs.append(ids[at + text])
                 held += len(gram)
                 if held >= FLUSH_ANCHORS:
@@ -290,7 +321,7 @@ _SPAN = ("<i8", "<u4", "<u4", "<u4")
 _CONTEXT = ("<i8", "<u8", "<u4", "<u4", "u1", "u1")
 
 
-def _context_rows(window: int, buckets: int):
+def _context_rows(window: int, buckets: int, classes: Broadcast):
     """Of one block: the bytes around shared anchors, by bucket (salt 0), and the spans that the block has settled itself (salt 1)."""
 
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
@@ -302,7 +333,7 @@ def _context_rows(window: int, buckets: int):
         wanted = np.unique(mixed(doc.view(_U64)) ^ gram)
         tags = np.array([zlib.crc32(t) for t in texts], np.uint32)
         found, context = [], []
-        for hashes, at, gram, text, place, low, high in anchors(texts, window):
+        for hashes, at, gram, text, place, low, high in anchors(texts, window, classes.value):
             pair = mixed(ids[at + text].view(_U64)) ^ gram
             where = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
             i = np.flatnonzero(wanted[where] == pair)
@@ -497,9 +528,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     known, lost = text.where("doc_id IS NOT NULL"), text.where("doc_id IS NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
-    shared = known.mapInArrow(_anchor_rows(window, parts), _ROW_DDL).groupBy("key", "salt").applyInArrow(_shared_rows(parts), _ROW_DDL)
+    classes = docs.sparkSession.sparkContext.broadcast(gram_classes(known, window))
+    shared = known.mapInArrow(_anchor_rows(window, parts, classes), _ROW_DDL).groupBy("key", "salt").applyInArrow(_shared_rows(parts), _ROW_DDL)
     blocks = known.mapInArrow(_text_rows(parts), _ROW_DDL)
-    contexts = blocks.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(_context_rows(window, parts), _ROW_DDL)
+    contexts = blocks.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(_context_rows(window, parts, classes), _ROW_DDL)
     spans = contexts.groupBy("key", "salt").applyInArrow(_span_rows(window, parts), _ROW_DDL)
     out = blocks.groupBy("key").cogroup(spans.groupBy("key")).applyInArrow(_apply(with_text), _RESULT_DDL)
     whole = lost.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), (F.col("text").cast("binary") if with_text else F.lit(None).cast("binary")).alias("kept"))
