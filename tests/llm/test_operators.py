@@ -279,6 +279,19 @@ def test_line_dedup(spark):
     assert set(again.values()) == {"k"} and len(again) == len(rows)
 
 
+def test_a_word_may_be_the_field_of_a_short_line(spark):
+    names = ["Alice", "Bob", "Carol", "7up"]
+    rows = [(i, f"{x} own text of document {x} {i}\nPosted by {x} in the news section\nuser {x} logged in from home\nFiled under {x}\nLike {x} of us do\nstays here {'abcd'[i]} and {'wxyz'[i]} as two fields") for i, x in enumerate(names)]
+    rows += [(10 + i, f"{' '.join(f'w{chr(97 + k % 26)}{chr(97 + k // 26)}' for k in range(51))}\nshort in two only") for i in range(2)]
+    got = {r["doc_id"]: r["kept_text"] for r in lines.drop_template_lines(frame(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and got[10] == rows[4][1] and got[11] == "short in two only"
+    for i in (1, 2, 3):
+        own = rows[i][1].split("\n")
+        assert got[i].split("\n") == [x for x in own if not x.startswith(("Posted", "user", "Like"))]
+    want = dict(zip([r[0] for r in rows], brute.drop_lines(rows)))
+    assert all(got[d] == w[2] for d, w in want.items())
+
+
 def test_lines_without_constant_tokens_go_only_by_their_exact_text(spark):
     wide = lambda i: " ".join(f"{i}.{k}" for k in range(14))
     rows = [(i, f"{2000 + i}\n3.{i} 4.{i}\n{wide(i)}\nTotal {i} {i} {i} {i} {i}\n7 7 7\nsum of {i}") for i in range(6)]

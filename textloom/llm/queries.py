@@ -74,12 +74,13 @@ _LINES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
 m AS (SELECT r, doc_id, k, line, string_split(trim(regexp_replace(regexp_replace(' ' || line, '([\s])[^\s0-9@]*[0-9@][^\s]*', '\1<*>', 'g'), '[ \t\r\f\x0b]+', ' ', 'g')), ' ') AS t, trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')) = '' AS blank FROM l),
-h AS (SELECT *, len(t) AS n, ((len(t) - 2) // 2)::INT AS half FROM m WHERE NOT blank),
+h AS (SELECT *, len(t) AS n, ((len(t) - 2) // 2)::INT AS half, len(list_filter(t, lambda x: x <> '<*>')) AS c FROM m WHERE NOT blank),
+halves AS (SELECT r, doc_id, k, n, '1:' AS kind, t[1:2+half] AS part FROM h WHERE n >= 12 UNION ALL SELECT r, doc_id, k, n, '2:', list_concat(t[1:2], t[3+half:]) FROM h WHERE n >= 12),
 keys AS (
-  SELECT r, doc_id, k, '0:' || n || ':' || array_to_string(t, ' ') AS key FROM h
-  UNION ALL SELECT r, doc_id, k, '1:' || n || ':' || array_to_string(t[1:2+half], ' ') FROM h WHERE n >= 12
-  UNION ALL SELECT r, doc_id, k, '2:' || n || ':' || array_to_string(t[1:2], ' ') || ' ' || array_to_string(t[3+half:], ' ') FROM h WHERE n >= 12),
-rec AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  SELECT r, doc_id, k, CASE WHEN 4 * c >= n THEN '0:' || n || ':' || array_to_string(t, ' ') ELSE '3:' || line END AS key, n > 50 AS long FROM h
+  UNION ALL SELECT r, doc_id, k, kind || n || ':' || array_to_string(part, ' '), FALSE FROM halves WHERE 4 * len(list_filter(part, lambda x: x <> '<*>')) >= len(part)
+  UNION ALL SELECT r, doc_id, k, '0:' || n || ':' || array_to_string(list_concat(list_concat(t[1:p-1], ['<*>']), t[p+1:]), ' '), FALSE FROM (SELECT *, unnest(list_filter(range(1, n + 1), lambda p: t[p] <> '<*>')) AS p FROM h WHERE n < 12 AND c > 4)),
+rec AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= CASE WHEN bool_or(long) THEN 2 ELSE 3 END),
 gone AS (SELECT DISTINCT r, k FROM keys JOIN rec USING (key) WHERE doc_id <> first)
 SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(g.k) AS n_dropped, md5(coalesce(string_agg(CASE WHEN g.k IS NULL THEN line END, chr(10) ORDER BY l.k), '')) AS kept_md5
 FROM l LEFT JOIN gone g ON l.r = g.r AND l.k = g.k GROUP BY l.r"""
