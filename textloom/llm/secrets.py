@@ -29,8 +29,8 @@ BASE = {
 #: mark that cannot repeat inside it, so a search stays linear in the text. Group 1 or the whole match is judged.
 WIDER = {
     "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}"),
-    "url": re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,40}://[^\s:/@]{1,256}:([^\s/@]{6,256})@"),
+    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}"),
+    "url": re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s/@]{6,})@"),
     "random": re.compile(r"[A-Za-z0-9+/_-]{28,}={0,2}"),
 }
 KINDS = [*BASE, *WIDER]
@@ -91,7 +91,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     stay.
 
     Null or empty text: no spans, digest of the empty string. Null owner or repository: the value ''. Rows with the
-    same or a null ``doc_id`` are each reported with their own spans. An empty table gives an empty result.
+    same or a null ``doc_id`` are each reported with their own spans. An empty table gives an empty result. Texts of any
+    length are searched whole, in time linear in it. Spans that start together are ordered by kind, as listed.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_shared, and in n_owners and n_repos
     the most owners and repositories that carry one of the text's values.
