@@ -31,6 +31,15 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 _SPLIT = "[^a-z0-9]+"
 
@@ -89,11 +98,13 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     A text contains a template if it has ``percent`` of the template's distinct ``shingle``-word shingles or more.
     Windows of ``width`` shingles stand ``stride`` apart, those of the templates one apart, so a window inside a copy
-    equals a template's; and one that shares just one of its four shingles misses all 48 bands with a probability of
-    0.75 ** 48 = 1e-6. ``templates`` is a parameter of bounded size, which is broadcast.
+    equals a template's and meets it for sure. Two windows that share just one of their four shingles have a similarity
+    of 1/7 and miss all 48 bands with a probability of (6/7) ** 48 = 6e-4; an edited copy has several such windows.
+    ``templates`` is a parameter of bounded size, which is broadcast.
 
-    Only texts that have one of the words in ``cover`` are cut into windows; no other text can contain a template. Null or empty text matches nothing. Rows with the same or a null ``doc_id`` are each reported. An empty
-    table gives an empty result.
+    Only texts that have one of the words in ``cover`` are cut into windows; no other text can contain a template. Null
+    or empty text matches nothing. Rows with the same or a null ``doc_id`` are each reported. An empty table gives an
+    empty result. Texts of any length are cut whole. Templates that match equally are all reported.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates, shingle)
