@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import BROADCAST_BYTES, map_rows, strings
+from ._common import BROADCAST_BYTES, map_rows, stored, strings
 
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _SPACES = bytes.maketrans(_PUNCTUATION.encode(), b" " * len(_PUNCTUATION))
@@ -162,16 +162,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     Items of fewer than ``n`` words, null or empty ones among them, are too short to tell and match nothing; so do
     null or empty texts. Items that share an id are judged each for itself, and the best score of the id counts. Rows
-    with the same or a null ``doc_id`` are each reported. No items or no documents give an empty result.
+    with the same or a null ``doc_id`` are each reported. No items or no documents give an empty result. Of equal
+    scores in a text, the first counts. Texts of any length are searched whole.
     """
     assert n >= 1
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    return reduce(DataFrame.unionByName, (_block(text, rows, n, least) for rows in _blocks(benchmark, item_col, item_text_col, block_bytes)))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least: float = 0.5, block_bytes: int = BROADCAST_BYTES // 8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which ``find_leaks`` would find nothing.
+
+    Each row is judged for itself, so ids, repeated or null, play no part. Null and empty texts stay. What one block of
+    items leaves is written before it meets the next.
+    """
+    assert n >= 1
+    ship(docs.sparkSession)
+    for k, rows in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
+        docs = _without(stored(docs, "clean") if k else docs, text_col, rows, n, least)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Different items in blocks of about ``block_bytes``: what one holds is bounded, however often an item is repeated."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    return reduce(DataFrame.unionByName, (_block(text, [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()], n, least) for i in range(blocks)))
+    for i in range(blocks):
+        yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()]
+
+
+def _without(docs: DataFrame, text_col: str, rows: list[tuple[int, str]], n: int, least: float) -> DataFrame:
+    items = docs.sparkSession.sparkContext.broadcast(Items(rows, n, least))
+
+    def search(batch: pa.RecordBatch) -> dict:
+        own = items.value
+        return {"leaks": [next(leaks(own.number(t), own), None) is not None for t in strings(batch.column("text"))]}
+
+    text = docs.select(F.col(text_col).alias("text"), F.struct("*").alias("document"))
+    return map_rows(text, search, "leaks boolean", carry="document").where("NOT leaks").select("document.*")
 
 
 def _block(text: DataFrame, rows: list[tuple[int, str]], n: int, least: float) -> DataFrame:
