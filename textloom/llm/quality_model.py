@@ -130,14 +130,16 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8_000) -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", sample: int = 8_000) -> FactorisationMachine:
     """A machine learnt from at most ``sample`` labelled rows that aren't held out: those with the smallest hashes of their id.
 
     The sample of ids is bounded by that parameter, so it is broadcast to the documents; features are made where the
-    texts are, and only they come to the driver, some 200 numbers a row.
+    texts are, and only they come to the driver, some 200 numbers a row. Of rows that repeat an id, one teaches.
     """
-    ids = labels.where(~held_out() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = labels.where(~held_out(label_id_col) & F.col(label_col).isNotNull()).groupBy(F.col(label_id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")
+    # The row of the smallest hash, however often an id is repeated: partial sums leave one a task.
+    text = text.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))).alias("first")).select("doc_id", "label", "first.text")
 
     def make(batch: pa.RecordBatch) -> dict:
         x = features(utf8(batch.column("text")), WordHashes())
@@ -155,7 +157,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     The score depends on the text alone. Labels of held-out rows, null labels and labels without a document teach
     nothing; an id labelled twice counts with its larger label. Null or empty text gets the score of a text without
     words. A null ``doc_id`` gives held_out = false. Without labels every score is 0.5. Rows with the same ``doc_id``
-    are scored each for itself. An empty table gives an empty result.
+    are scored each for itself. An empty table gives an empty result. Texts of any length are scored whole.
     """
     machine = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     # 2**WORD_BITS rows of 9 numbers, about 1 MB: bounded by the parameters of the machine.

@@ -118,7 +118,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words and n_tokens of every text, over the vocabulary in ``path`` (default: word_bpe_49k.json of public_tokenizers).
 
     Null or empty text: 0 and 0. Rows with the same or a null ``doc_id`` are counted each for itself. An empty table
-    gives an empty result.
+    gives an empty result. Texts of any length are counted whole.
     """
     if path is None:
         import public_tokenizers
