@@ -92,12 +92,13 @@ def base_failed(n_words: Column, n_repeat_words: Column, least_words: int) -> Co
     return (n_words < least_words) | (100 * n_repeat_words > 50 * n_words)
 
 
-def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_words: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_words: int = 50, least_documents: int = 20, most_languages: int = 1000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Average histograms of each language, over all documents of at least ``least_words`` words.
 
     Each task adds up its own documents, so a row for each task and language is shuffled. What reaches the driver is
-    a row of about a hundred numbers for each language: bounded by the number of languages, not of documents. The key
-    '' stands for all languages together and serves those that have no document that is long enough.
+    a row of about a hundred numbers for each language: of ``most_languages`` at most, those with the most documents.
+    The key '' stands for all languages together and serves the others, and those of fewer than ``least_documents``
+    documents that are long enough: a document must not be compared with hardly more than itself.
     """
 
     def gather(batches):
@@ -106,20 +107,20 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
                 classes, words, _ = histograms(text)
                 if words.sum() >= least_words:
-                    own = np.concatenate([shares(classes), shares(words)])
+                    own = np.concatenate([shares(classes), shares(words), [1]])
                     for key in {lang, ""}:
                         sums[key] = sums[key] + own if key in sums else own.copy()
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
 
     ship(docs.sparkSession)
-    n = N_CLASSES + N_WORDS
+    n = N_CLASSES + N_WORDS + 1
     text = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    rows = text.mapInArrow(gather, "lang string, sums array<long>").groupBy("lang").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(n))).alias("sums")).collect()
-    return {r["lang"]: (np.array(r["sums"][:N_CLASSES], float), np.array(r["sums"][N_CLASSES:], float)) for r in rows}
+    rows = text.mapInArrow(gather, "lang string, sums array<long>").groupBy("lang").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(n))).alias("sums")).where((F.col("lang") == "") | (F.col("sums")[n - 1] >= least_documents)).orderBy(F.col("lang") != "", F.desc(F.col("sums")[n - 1]), "lang").limit(most_languages + 1).collect()
+    return {r["lang"]: (np.array(r["sums"][:N_CLASSES], float), np.array(r["sums"][N_CLASSES : n - 1], float)) for r in rows}
 
 
-def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_class: float = 0.3, most_word: float = 0.35, least_chars: int = 200, least_judged_words: int = 100, carry: bool = False) -> DataFrame:
+def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, least_documents: int = 20, most_class: float = 0.3, most_word: float = 0.35, least_chars: int = 200, least_judged_words: int = 100, carry: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance and kept for every text; with ``carry``, the whole row as ``document``.
 
     A document is kept unless it fails the base rules (under ``least_words`` words, or more than half of its words in
@@ -127,13 +128,15 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``least_chars`` characters on) or its common words further than ``most_word`` (from ``least_judged_words`` words
     on). A distance that is not judged is null.
 
-    Null or empty text: all counts 0, which fails. Null language: the average over all languages. Rows with the same
-    or a null ``doc_id`` are judged each for itself. An empty table gives an empty result.
+    Null or empty text: all counts 0, which fails. A null language, and one of fewer than ``least_documents`` documents
+    that are long enough: the average over all languages. Rows with the same or a null ``doc_id`` are judged each for
+    itself. An empty table gives an empty result. Texts of any length are counted whole.
     """
-    refs = language_references(docs, text_col=text_col, lang_col=lang_col, least_words=least_words)
+    # About a hundred numbers for each of a bounded number of languages.
+    shared = docs.sparkSession.sparkContext.broadcast(language_references(docs, text_col=text_col, lang_col=lang_col, least_words=least_words, least_documents=least_documents))
 
     def judge(batch: pa.RecordBatch) -> dict:
-        counts, by_class, by_word = [], [], []
+        refs, counts, by_class, by_word = shared.value, [], [], []
         for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
             counts.append(base_counts(text))
             classes, words, chars = histograms(text)
