@@ -119,12 +119,13 @@ def _jensen_shannon(p, q):
     return math.sqrt(max(0.0, total / 2))
 
 
-def quality_verdicts(rows, common, most_class=0.3, most_word=0.35):
+def quality_verdicts(rows, common, most_class=0.3, most_word=0.35, least_documents=20):
     """[(counts, base_failed, kept)] for rows (text, lang)."""
-    sums = defaultdict(lambda: [[0] * 8, [0] * (len(common) + 1)])
+    sums, of = defaultdict(lambda: [[0] * 8, [0] * (len(common) + 1)]), Counter()
     for text, lang in rows:
         if len(words(text)) >= 50:
             for key in {lang or "", ""}:
+                of[key] += 1
                 for into, own in zip(sums[key], _histograms(text, common)):
                     total = max(sum(own), 1)
                     for i, x in enumerate(own):
@@ -133,7 +134,7 @@ def quality_verdicts(rows, common, most_class=0.3, most_word=0.35):
     for text, lang in rows:
         c = quality_counts(text)
         failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
-        ref = sums.get(lang or "") or sums.get("")
+        ref = sums.get(lang if lang and of[lang] >= least_documents else "")
         far = False
         if ref:
             classes, own = _histograms(text, common)
@@ -143,27 +144,33 @@ def quality_verdicts(rows, common, most_class=0.3, most_word=0.35):
 
 
 def line_templates(line):
+    """[(template, documents that make it recur)]"""
     tokens = ["<*>" if re.search("[0-9@]", t) else t for t in line.split()]
     if not tokens:
         return []
     n, half = len(tokens), (len(tokens) - 2) // 2
-    out = [(0, n, *tokens)]
+    constant = lambda ts: sum(t != "<*>" for t in ts)
+    enough = lambda ts: 4 * constant(ts) >= len(ts)
+    out = [((0, n, *tokens) if enough(tokens) else (3, line), 2 if n > 50 else 3)]
     if n >= 12:
-        out += [(1, n, *tokens[: 2 + half]), (2, n, *tokens[:2], *tokens[2 + half :])]
+        out += [((k, n, *part), 3) for k, part in ((1, tokens[: 2 + half]), (2, tokens[:2] + tokens[2 + half :])) if enough(part)]
+    elif constant(tokens) >= 5:
+        out += [((0, n, *tokens[:p], "<*>", *tokens[p + 1 :]), 3) for p in range(n) if tokens[p] != "<*>"]
     return out
 
 
-def drop_lines(rows, least=3):
+def drop_lines(rows):
     """[(n_lines, n_dropped, kept text)] for rows (doc_id, text); every row has an id."""
-    have = defaultdict(set)
+    have, least = defaultdict(set), {}
     for d, t in rows:
         for line in (t or "").split("\n"):
-            for k in line_templates(line):
+            for k, n in line_templates(line):
                 have[k].add(d)
+                least[k] = min(n, least.get(k, n))
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not any(len(have[k]) >= least and min(have[k]) != d for k in line_templates(x))]
+        kept = [x for x in lines if not any(len(have[k]) >= least[k] and min(have[k]) != d for k, _ in line_templates(x))]
         out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 
@@ -207,3 +214,80 @@ def greedy_pieces(word, vocabulary):
         else:
             return 1
     return n
+
+
+def leaks(docs, items, least=0.5):
+    """{(doc_id, item_id): score} for rows (doc_id, text) and (item_id, text) with different ids."""
+    out = {}
+    for d, t in docs:
+        b = leak_words(t)
+        have = set(b)
+        for item, x in items:
+            a = leak_words(x)
+            # A score of half the item needs at least that many of its words.
+            if len(a) >= 3 and sum(w in have for w in a) >= least * len(a) and (score := alignment(a, b) / len(a)) >= least:
+                out[d, item] = score
+    return out
+
+
+def classifier_features(text, common):
+    """{slot: value}: hashed words, then twenty statistics."""
+    import xxhash
+
+    text = text or ""
+    marks = ".,;:!?'\"()-"
+    words_ = [w for w in (x.strip(marks) for x in words(lower_ascii(text))) if w]
+    n = Counter(xxhash.xxh3_64_intdigest(w.encode()) >> 50 for w in words_)
+    norm = math.sqrt(sum(n.values()))
+    out = {k: math.sqrt(v) / norm for k, v in n.items()}
+    c = quality_counts(text)
+    classes, own = _histograms(text, common)
+    lines = [x for x in text.split("\n") if words(x)]
+    w = words(text)
+    per = 1 / max(c[0], 1)
+    stats = [
+        *(x * 1_000_000 // max(sum(classes), 1) / 1e6 for x in classes), 1 - own[-1] * per, min(1, c[1] * per / 12), min(1, c[2] * per), c[3] / max(len(lines), 1), c[4] * per, min(1, len(set(w)) * per), min(1, math.log1p(c[0]) / 12),
+        min(1, math.log1p(len(lines)) / 8), min(1, c[0] / max(len(lines), 1) / 100), sum(x.rstrip(" \t\n\r\x0b\x0c")[-1:] in list(".!?") for x in lines) / max(len(lines), 1), sum("A" <= x[0] <= "Z" for x in w) * per, min(1, math.log1p(sum(classes)) / 14),
+    ]
+    return out | {(1 << 14) + i: float(x) for i, x in enumerate(stats)}
+
+
+def classifier_scores(docs, labels, common, k=8, epochs=12, rate=0.05, decay=1e-5, batch=64, seed=7):
+    """{doc_id: score}: a factorisation machine with all pairs of features, learnt row by row from labels {doc_id: 0 or 1}; every id is in one row."""
+    import numpy as np
+
+    each = {d: classifier_features(t, common) for d, t in docs}
+    rows = [({i: float(np.float32(x)) for i, x in sorted(each[d].items())}, labels[d]) for d in sorted(each) if d in labels and zlib.crc32(str(d).encode()) % 3 != 1]
+    size, rng = (1 << 14) + 20, np.random.default_rng(seed)
+    bias, linear, factors = 0.0, np.zeros(size), rng.normal(0, 0.02, (size, k))
+    good = sum(y for _, y in rows) / len(rows)
+    weight = {1: (0.5 / good) ** 0.5, 0: (0.5 / (1 - good)) ** 0.5}
+    g0, g1, g2 = 1e-8, np.full(size, 1e-8), np.full((size, k), 1e-8)
+
+    def raw(x):
+        i, v = np.array(list(x)), np.array(list(x.values()))
+        f = factors[i] * v[:, None]
+        gram = f @ f.T
+        return bias + linear[i] @ v + (gram.sum() - np.trace(gram)) / 2, f.sum(0)
+
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            part = [rows[i] for i in order[at : at + batch]]
+            d0, d1, d2 = 0.0, defaultdict(float), defaultdict(lambda: np.zeros(k))
+            for x, y in part:
+                score, total = raw(x)
+                err = (1 / (1 + math.exp(-score)) - y) * weight[y] / len(part)
+                d0 += err
+                for i, v in x.items():
+                    d1[i] += err * v
+                    d2[i] += err * v * (total - factors[i] * v)
+            g0 += d0 * d0
+            bias -= rate * d0 / g0**0.5
+            for i in d1:
+                a, b = d1[i] + decay * linear[i], d2[i] + decay * factors[i]
+                g1[i] += a * a
+                g2[i] += b * b
+                linear[i] -= rate * a / g1[i] ** 0.5
+                factors[i] -= rate * b / np.sqrt(g2[i])
+    return {d: 1 / (1 + math.exp(-raw(x)[0])) for d, x in each.items()}

@@ -62,12 +62,17 @@ def cut(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
+def write_bucketed(packed: DataFrame, path: str) -> None:
+    """Pieces of equal length in folders of their own, so that a reader takes batches of one shape from each."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None, most: int = 1024, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket and, if asked for, ids.
 
     ``path`` is a vocabulary file for ``tokenizers`` (default: byte_bpe_50k.json of public_tokenizers), ``most`` the
     length of a full sequence, ``end_id`` the id that ends each document. ``bucket`` is the binary logarithm of the
-    length: writing with ``partitionBy("bucket")`` lays equal lengths together. A piece is a sequence, so ``offset``
+    length: ``write_bucketed`` lays equal lengths together. A piece is a sequence, so ``offset``
     is 0 and ``sequence_id`` numbers the pieces, without a shuffle; it is unique within a result.
 
     Null or empty text: the one piece that holds ``end_id``. Rows with the same or a null ``doc_id`` are packed each
