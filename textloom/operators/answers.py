@@ -32,9 +32,11 @@ def validate_citations(evidence: DataFrame, citations: DataFrame) -> DataFrame:
 
 def evidence_summary(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """(qid, answer): numbered evidence, or the sentence for none. A question's evidence is its top-k list, so bounded."""
-    entry = F.concat(F.col("rank").cast("string"), F.lit(". "), F.trim(F.concat_ws(" ", "doc_name", "point_number")), F.lit("\n"), F.col("text"))
+    head, text = F.trim(F.concat(F.col("rank").cast("string"), F.lit(". "), F.concat_ws(" ", "doc_name", "point_number"))), F.trim(F.coalesce("text", F.lit("")))
+    entry = F.when(text == "", head).otherwise(F.concat_ws("\n", head, text))
     entries = evidence.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("e"))
-    head = F.concat(F.lit("Evidence summary for query: "), F.coalesce("query", F.lit("")), F.lit("\n\n"))
+    asked = F.trim(F.coalesce("query", F.lit("")))
+    head = F.concat(F.lit("Evidence summary for query: "), F.when(asked == "", "request").otherwise(asked), F.lit("\n\n"))
     return questions.join(entries, "qid", "left").select("qid", F.when(F.col("e").isNull(), NO_EVIDENCE).otherwise(F.concat(head, F.array_join(F.col("e.entry"), "\n\n"))).alias("answer"))
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -44,16 +44,18 @@ def _ranked(found: DataFrame, chunks: DataFrame, tool: str) -> DataFrame:
 
 
 def _lookup(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Question-chunk pairs that fit the filters, by an equi-join on the first key that a question filters by."""
-    first = F.coalesce(*(F.when(F.size(F.col("filters")[k]) > 0, F.lit(k)) for k in keys))
-    keyed = questions.withColumn("__key", first)
-    parts = []
-    for k in keys:
-        want = F.col("filters")[k]
-        values = F.array_distinct(F.concat(want, F.transform(want, F.upper))) if k == "doc_name" else F.array_distinct(want)
-        asked = keyed.where(F.col("__key") == k).withColumn("__value", F.explode(values))
-        parts.append(asked.join(chunks, F.col("__value") == chunks[k]).where(P.row_matches(F.col("filters"))).drop("__value", "__key"))
-    return reduce(DataFrame.unionByName, parts)
+    """Question-chunk pairs that fit the filters, by one equi-join on the first of ``keys`` that a question filters by; whole texts are joined by their hash."""
+    f = F.col("filters")
+    hashed = lambda k, v: F.xxhash64(v).cast("string") if k in fixed.TEXT_FIELDS else v
+
+    def wanted(k: str) -> Column:
+        values = F.array_distinct(F.concat(f[k], F.transform(f[k], F.upper)) if k == "doc_name" else f[k])
+        return F.struct(F.lit(k).alias("key"), F.transform(values, lambda v: hashed(k, v)).alias("values"))
+
+    first = F.coalesce(*(F.when(F.size(f[k]) > 0, wanted(k)) for k in keys))
+    asked = questions.withColumn("__first", first).where(F.col("__first").isNotNull()).select(*questions.columns, F.col("__first.key").alias("__key"), F.explode("__first.values").alias("__value"))
+    held = chunks.select("chunk_id", F.explode(F.array(*(F.struct(F.lit(k).alias("__key"), hashed(k, F.col(k)).alias("__value")) for k in keys))).alias("h")).select("chunk_id", "h.*")
+    return asked.join(held, ["__key", "__value"]).drop("__key", "__value").join(chunks, "chunk_id").where(P.row_matches(f)).select(*questions.columns, *chunks.columns)
 
 
 def point_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -71,35 +73,37 @@ def point_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _filtered(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Question-chunk pairs that fit all filters: found by the first of ``keys``, or by the rarest word where only words are filtered by."""
+    """Question-chunk pairs that fit all filters: found by the first of ``keys``, by whole texts, or by the rarest word where only words are filtered by."""
     f = F.col("filters")
-    keyed = reduce(lambda a, b: a | b, (F.coalesce(F.size(f[k]) > 0, F.lit(False)) for k in keys))
-    out = _lookup(questions.where(keyed), chunks, keys)
-    for i, field in enumerate(fixed.TEXT_FIELDS):
-        before = reduce(lambda a, b: a | b, (F.coalesce(F.size(f[k]) > 0, F.lit(False)) for k in fixed.TEXT_FIELDS[:i]), F.lit(False))
-        words = questions.where(~keyed & ~before & (F.size(f[field]) > 0))
-        # One value is words, several are whole texts.
-        one, many = words.where(F.size(f[field]) == 1), words.where(F.size(f[field]) > 1)
-        hits = token_hits(one.select("qid", f[field][0].alias("query")), chunks, field)
-        out = out.unionByName(one.join(hits, "qid").join(chunks, "chunk_id").where(P.row_matches(f)).select(*out.columns))
-        out = out.unionByName(_lookup(many, chunks, (field,)).select(*out.columns))
-    return out
-
-
-def token_hits(asked: DataFrame, chunks: DataFrame, field: str) -> DataFrame:
-    """(qid, chunk_id) where the field has every word of the query (qid, query).
+    many = {k: F.coalesce(F.size(f[k]) > 1, F.lit(False)) for k in fixed.TEXT_FIELDS}
+    exact = reduce(lambda a, b: a | b, [F.coalesce(F.size(f[k]) > 0, F.lit(False)) for k in keys] + list(many.values()))
+    # One value of a text field is words, several are whole texts.
+    whole = F.map_filter(f, lambda k, v: ~k.isin(*fixed.TEXT_FIELDS) | (F.size(v) > 1))
+    found = _lookup(questions.where(exact).withColumn("__all", f).withColumn("filters", whole), chunks, (*keys, *fixed.TEXT_FIELDS)).withColumn("filters", F.col("__all")).drop("__all").where(P.row_matches(f))
+    field = F.coalesce(*(F.when(F.size(f[k]) == 1, F.lit(k)) for k in fixed.TEXT_FIELDS))
+    words = questions.where(~exact).withColumn("field", field).where(F.col("field").isNotNull())
+    hits = token_hits(words.select("qid", "field", f[F.col("field")][0].alias("query")), chunks)
+    by_words = words.drop("field").join(hits, "qid").join(chunks, "chunk_id").where(P.row_matches(f))
+    return found.unionByName(by_words.select(*found.columns))
+
+
+def token_hits(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, chunk_id) where the field has every word of the query (qid, field, query).
 
     Texts are cut into words once, and only words that are asked for go on, with ids. The rarest word of each query, by
     the number of chunks that have it, names the candidates; the other words are then counted for those. A word that
-    most chunks have is joined only for queries of nothing rarer.
+    most chunks have is joined only for queries of nothing rarer. Without words no text is read.
     """
-    words = asked.select("qid", F.explode(T.search_tokens(F.col("query"))).alias("token"))
-    postings = staged(chunks.select("chunk_id", F.explode(T.search_tokens(F.col(field))).alias("token")).join(words.select("token").distinct(), "token", "left_semi"))
-    often = postings.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = words.join(often, "token", "left").groupBy("qid").agg(F.count("*").alias("words"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("m")).where("m.n > 0").select("qid", "words", F.col("m.token").alias("token"))
-    seeds = rarest.join(postings, "token").select("qid", "words", "chunk_id")
+    words = asked.select("qid", "field", F.explode(T.search_tokens(F.col("query"))).alias("token"))
+    if words.isEmpty():
+        return words.select("qid").join(chunks.select("chunk_id")).limit(0)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), T.search_tokens(F.col(k)).alias("own")) for k in fixed.TEXT_FIELDS))).alias("h")
+    postings = staged(chunks.select("chunk_id", each).select("chunk_id", "h.field", F.explode("h.own").alias("token")).join(words.select("field", "token").distinct(), ["field", "token"], "left_semi"))
+    often = postings.groupBy("field", "token").agg(F.count("*").alias("n"))
+    rarest = words.join(often, ["field", "token"], "left").groupBy("qid", "field").agg(F.count("*").alias("words"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("m")).where("m.n > 0").select("qid", "field", "words", F.col("m.token").alias("token"))
+    seeds = rarest.join(postings, ["field", "token"]).select("qid", "field", "words", "chunk_id")
     done = seeds.where("words = 1").select("qid", "chunk_id")
-    more = seeds.where("words > 1").join(postings, "chunk_id").join(words, ["qid", "token"]).groupBy("qid", "chunk_id", "words").agg(F.count_distinct("token").alias("n"))
+    more = seeds.where("words > 1").join(postings, ["field", "chunk_id"]).join(words, ["qid", "field", "token"]).groupBy("qid", "field", "chunk_id", "words").agg(F.count_distinct("token").alias("n"))
     return done.union(more.where("n = words").select("qid", "chunk_id")).distinct()
 
 
@@ -111,9 +115,9 @@ def payload_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     c = with_item_fields(chunks)
     q = questions.select("qid", F.trim(F.coalesce("query", F.lit(""))).alias("query"), F.coalesce("filters", F.create_map().cast("map<string,array<string>>")).alias("filters"), P.clamp_limit(F.col("limit")).alias("limit"))
     asked, bare = q.where("query <> ''"), q.where("query = ''")
-    parts = [token_hits(asked, c, f) for f in fixed.TEXT_FIELDS]
-    parts += [asked.join(c, asked["query"] == c[f]).select("qid", "chunk_id") for f in ("doc_name", "filename")]
-    found = asked.join(reduce(DataFrame.unionByName, parts).distinct(), "qid")
+    parts = token_hits(asked.select("qid", F.explode(F.array(*map(F.lit, fixed.TEXT_FIELDS))).alias("field"), "query"), c)
+    names = c.select("chunk_id", F.explode(F.array_distinct(F.array("doc_name", "filename"))).alias("query"))
+    found = asked.join(parts.union(asked.join(names, "query").select("qid", "chunk_id")).distinct(), "qid")
     plain = found.where(F.size("filters") <= 0).select("qid", "limit", "chunk_id")
     fit = found.where(F.size("filters") > 0).join(c, "chunk_id").where(P.row_matches(F.col("filters"))).select("qid", "limit", "chunk_id")
     by_filter = _filtered(bare, c, fixed.KEYWORD_FIELDS).select("qid", "limit", "chunk_id")

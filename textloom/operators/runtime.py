@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..sources.tables import staged
-from . import fusion, retrieval, understanding
+from . import answers, fusion, retrieval, understanding
 from . import predicates as P
 
 _NONE = "array<string>"
@@ -145,6 +145,52 @@ def run_runtime(asked: DataFrame, tools: Mapping[str, Callable[[DataFrame], Data
     return items, report
 
 
+def compare_tools(asked: DataFrame, tools: Mapping[str, Callable[[DataFrame], DataFrame]], pipelines: tuple[str, ...] = (*fixed.TOOLS, "hybrid")) -> tuple[DataFrame, DataFrame]:
+    """(hits, runs): every request through every one of ``pipelines``, whatever it asks for; hybrid fuses the others' lists.
+
+    A pipeline that fails has no hits and a warning in ``runs``; the others are not disturbed.
+    """
+    own = [t for t in pipelines if t != "hybrid"]
+    plan = F.array(*(F.struct(F.lit(t).alias("tool"), F.array("query").alias("queries"), F.lit("compared").alias("reason")) for t in own))
+    hits, runs = run_tools(asked.withColumn("plan", plan), tools)
+    if "hybrid" not in pipelines:
+        return hits, runs
+    hits = staged(hits)
+    limited = hits.join(asked.select("qid", "limit"), "qid")
+    fused = fusion.fused_items(hits, fusion.reciprocal_rank_fusion(limited, limit="limit")).drop("source_ranks")
+    return hits.unionByName(fused.select(hits.columns)), runs
+
+
+def run_pipeline(questions: DataFrame, tools: Mapping[str, Callable[[DataFrame], DataFrame]], *, profile: str = "balanced", limit: int = 10, reranker: str = "passthrough") -> DataFrame:
+    """(qid, answer, citations, items_returned, reranked_items, warnings): questions through the runtime, a reranker and the evidence's own words.
+
+    A question's ``reranker`` (passthrough or score), profile and limit go before the defaults. Citations are the
+    evidence's chunks that have an id, checked like any others.
+    """
+    asked = requests(questions, profile, limit)
+    items, report = run_runtime(asked, tools)
+    named = F.coalesce(F.col("reranker"), F.lit(reranker)) if "reranker" in questions.columns else F.lit(reranker)
+    by_score = items.join(questions.select("qid", (named == "score").alias("by_score")), "qid")
+    # Places of both orders; each question takes its own.
+    places = fusion.score_rerank(by_score).withColumn("rank", F.when(F.col("by_score"), F.col("rerank")).otherwise(F.col("rank"))).drop("rerank", "by_score")
+    evidence = staged(places)
+    cited = answers.validate_citations(evidence, evidence.where(F.coalesce("chunk_id", F.lit("")) != "").select("qid", (F.col("rank") - 1).alias("pos"), "chunk_id", "doc_name", "point_number"))
+    per = cited.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("status") == "valid", F.struct("pos", "chunk_id")))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("pos", "warning")))).alias("w"))
+    said = answers.evidence_summary(asked.select("qid", "query"), evidence)
+    n = evidence.groupBy("qid").agg(F.count("*").cast("int").alias("reranked_items"))
+    none = F.array().cast(_NONE)
+    some = F.coalesce("reranked_items", F.lit(0))
+    return said.join(report.select("qid", "items_returned", F.col("warnings").alias("own")), "qid").join(n, "qid", "left").join(per, "qid", "left").select(
+        "qid", "answer", F.coalesce(F.transform("c", lambda x: x["chunk_id"]), none).alias("citations"), "items_returned", some.alias("reranked_items"),
+        F.concat("own", F.when(some == 0, F.array(F.lit("no evidence items available for final answer"))).otherwise(none), F.coalesce(F.transform("w", lambda x: x["warning"]), none)).alias("warnings"))
+
+
+def ingest_summary(docs: DataFrame) -> DataFrame:
+    """documents_total, documents_processed_ok, documents_failed and documents_with_read_warnings of read documents (paragraphs, read_error)."""
+    ok = F.coalesce(F.size("paragraphs"), F.lit(0)) > 0
+    return docs.agg(F.count("*").alias("documents_total"), F.count_if(ok).alias("documents_processed_ok"), F.count_if(~ok).alias("documents_failed"), F.count_if(F.coalesce("read_error", F.lit("")) != "").alias("documents_with_read_warnings"))
+
+
 def save_report(report: DataFrame, path: str) -> None:
     """A report as JSON lines; a failed write leaves no half of one behind, as Spark's commit moves it into place."""
     report.write.mode("overwrite").json(path)

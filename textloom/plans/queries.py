@@ -364,21 +364,44 @@ def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("qid", "question_type", "catalog_id", "doc_name", "confidence", "ambiguous", "candidates_total", "resolver", *joined)
 
 
-def _runtime(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every vector whose id is divisible by 50 asks, in turns with and without text, filters, a profile and a limit."""
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Callable[[DataFrame], DataFrame]]]:
+    """Every vector whose id is divisible by 50 asks, in turns with and without text, filters, a profile and a limit; and the tools over all vectors."""
     c = _vector_chunks(spark, sf_dir)
     n = F.col("vec_id")
     q = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(
-        n.alias("qid"), F.when(n % 100 == 0, "").otherwise(F.concat(F.lit("vector "), n.cast("string"))).alias("query"),
+        n.alias("qid"), F.when(n % 100 == 0, "").otherwise(F.concat(F.lit("vector "), n.cast("string"))).alias("query"), "label",
         F.map_filter(F.create_map(F.lit("point_number"), F.when(n % 150 == 0, F.array(n.cast("string"))), F.lit("doc_name"), F.when(n % 350 == 0, F.array(F.concat(F.lit("label "), "label")))), lambda _, v: v.isNotNull()).alias("filters"),
-        F.when(n % 200 == 50, "fast").when(n % 400 == 150, "deep").alias("profile"), F.when(n % 250 == 0, 0).otherwise(F.lit(3)).alias("limit"), "embedding",
+        F.when(n % 200 == 50, "fast").when(n % 400 == 150, "deep").alias("profile"), F.when(n % 250 == 0, 0).otherwise(F.lit(3)).alias("limit"), F.when(n % 450 == 0, "score").alias("reranker"), "embedding",
     )
-    vectors = q.select("qid", "embedding")
+    vectors = q.select(F.col("qid").alias("own"), "embedding")
     tools = {
         "point": lambda a: retrieval.point_search(a, c), "payload": lambda a: retrieval.payload_search(a, c),
-        "vector": lambda a: retrieval.vector_tool(a.join(vectors.withColumnRenamed("qid", "own"), F.col("qid.qid") == F.col("own")).drop("own"), c),
+        "vector": lambda a: retrieval.vector_tool(a.where("query <> ''").join(vectors, F.col("qid.qid") == F.col("own")).drop("own"), c),
     }
-    return runtime.run_runtime(runtime.requests(q.drop("embedding")), tools)
+    return q.drop("embedding"), tools
+
+
+def _runtime(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q, tools = _asked(spark, sf_dir)
+    return runtime.run_runtime(runtime.requests(q), tools)
+
+
+def retrieval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, tools = _asked(spark, sf_dir)
+    hits, _ = runtime.compare_tools(runtime.requests(q), tools)
+    expected = q.select("qid", F.struct(F.concat(F.lit("LABEL "), "label").alias("doc_name"), F.when(F.col("label") < 5, F.col("qid").cast("string")).otherwise("").alias("point_number"), F.lit("").alias("chunk_id")).alias("expected"))
+    return evaluation.summarize(evaluation.match_metrics(expected, hits, ["point", "payload", "vector", "hybrid"]))
+
+
+def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runtime.run_pipeline(*_asked(spark, sf_dir))
+    return r.select("qid", F.md5("answer").alias("answer_md5"), F.array_join("citations", ",").alias("citations"), "items_returned", "reranked_items", F.array_join("warnings", "|").alias("warnings"))
+
+
+def empty_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, _ = _asked(spark, sf_dir)
+    q = q.withColumn("query", F.when(F.col("qid") % 250 == 0, "no such words").otherwise(F.col("query")))
+    return retrieval.empty_reasons(q, retrieval.payload_search(q, _vector_chunks(spark, sf_dir)))
 
 
 def runtime_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +424,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, point_lookup, vector_topk, vector_topk_filtered, rrf_fusion,
         hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
         comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_schema_diff, index_verify, index_defects,
-        knowledge_candidates, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_report,
+        knowledge_candidates, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
     )
 }

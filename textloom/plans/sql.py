@@ -318,4 +318,21 @@ SELECT position, code, stage, value::BIGINT AS n FROM v JOIN rules USING (metric
 SELECT qid, profile, array_to_string(l, ',') AS tools, len(l) AS tools_planned, len(l) - CASE WHEN asked OR NOT pointed THEN 0 ELSE 1 END AS tools_succeeded, coalesce(n, 0) AS items_returned, CASE WHEN fuses THEN 'hybrid_rrf' ELSE '' END AS fusion, CASE WHEN len(l) = 0 THEN 'empty_tool_plan' ELSE '' END AS empty_reason,
  CASE WHEN len(l) = 0 THEN 'runtime requires a non-empty query or stable point filters' WHEN NOT asked THEN 'payload skipped: empty query list' ELSE '' END AS warnings FROM t LEFT JOIN n USING (qid)""",
 }
+# Every pipeline, whatever a question asks for; a search without text goes by the filters, in the order of index ids.
+_COMPARED_LISTS = f"""{_RUNTIME}, {_RECORDS}, byf AS (SELECT r.qid, vec_id AS cid, row_number() OVER (PARTITION BY r.qid ORDER BY id) AS rank, lim FROM r JOIN rec ON rec.label = r.label WHERE NOT asked AND named AND NOT pointed QUALIFY rank <= lim),
+l3 AS (SELECT qid, 'point' AS tool, 1 AS rank, qid AS cid FROM r WHERE pointed UNION ALL SELECT qid, 'payload', 1, qid FROM r WHERE asked OR pointed UNION ALL SELECT qid, 'payload', rank, cid FROM byf UNION ALL SELECT qid, 'vector', rank, cid FROM nr),
+fs AS (SELECT qid, cid, coalesce(sum(1.0 / (60 + rank)) FILTER (tool = 'point'), 0) + coalesce(sum(1.0 / (60 + rank)) FILTER (tool = 'payload'), 0) + coalesce(sum(1.0 / (60 + rank)) FILTER (tool = 'vector'), 0) AS sc FROM l3 GROUP BY qid, cid),
+lists AS (SELECT * FROM l3 UNION ALL SELECT fs.qid, 'hybrid', row_number() OVER (PARTITION BY fs.qid ORDER BY sc DESC, cid::VARCHAR) AS rank, cid FROM fs JOIN r ON r.qid = fs.qid QUALIFY rank <= lim),
+named_ AS (SELECT lists.*, 'label ' || e.label AS doc_name, cid::VARCHAR AS point_number FROM lists JOIN embeddings e ON e.vec_id = cid),
+wanted AS (SELECT r.qid, label, 'label ' || label AS want, p AS pipeline FROM r, (VALUES ('point'), ('payload'), ('vector'), ('hybrid')) v(p)),
+got AS (SELECT w.qid, pipeline, any_value(label) AS label, {', '.join(f'coalesce(bool_or({c}), FALSE) AS {m}' for m, (_, c) in _METRICS.items())} FROM (SELECT w.*, rank, doc_name, point_number FROM wanted w LEFT JOIN named_ n ON n.qid = w.qid AND n.tool = w.pipeline AND n.rank <= 5) w GROUP BY w.qid, pipeline)"""
+ORACLES |= {
+    "retrieval_compare": f"""WITH {_COMPARED_LISTS} {' UNION ALL '.join(f"SELECT pipeline, '{m}' AS metric, count(*) FILTER (({w}) AND {m}) AS passed, count(*) FILTER ({w}) AS scored FROM got GROUP BY pipeline" for m, (w, _) in _METRICS.items())}""",
+    "answer_pipeline": f"""WITH {_RUNTIME}, g AS (SELECT items.qid, count(*) AS n, string_agg(cid::VARCHAR, ',' ORDER BY rank) AS c, string_agg(rank || '. label ' || e.label || ' ' || cid || chr(10) || 'vector ' || cid, chr(10) || chr(10) ORDER BY rank) AS t FROM items JOIN embeddings e ON e.vec_id = cid GROUP BY items.qid)
+SELECT r.qid, md5(CASE WHEN n IS NULL THEN 'No evidence found for the request.' ELSE 'Evidence summary for query: ' || CASE WHEN asked THEN 'vector ' || r.qid ELSE 'request' END || chr(10) || chr(10) || t END) AS answer_md5, coalesce(c, '') AS citations, coalesce(n, 0) AS items_returned, coalesce(n, 0) AS reranked_items,
+ CASE WHEN NOT asked AND NOT pointed THEN 'runtime requires a non-empty query or stable point filters|no evidence items available for final answer' WHEN NOT asked THEN 'payload skipped: empty query list' ELSE '' END AS warnings FROM r LEFT JOIN g ON g.qid = r.qid""",
+    "empty_reasons": """WITH a AS (SELECT vec_id AS qid, label, vec_id % 250 = 0 AS odd, vec_id % 100 <> 0 AS asked, vec_id % 150 = 0 AS pointed, vec_id % 350 = 0 AS named, CASE WHEN vec_id % 250 = 0 THEN 10 ELSE 3 END AS lim FROM embeddings WHERE vec_id % 50 = 0),
+n AS (SELECT *, CASE WHEN odd THEN 0 WHEN asked OR pointed THEN 1 WHEN named THEN least(lim, (SELECT count(*) FROM embeddings e WHERE e.label = a.label)) ELSE 0 END AS n FROM a)
+SELECT qid, n AS candidates, CASE WHEN n > 0 THEN '' WHEN odd OR asked OR pointed OR named THEN 'no_matches' ELSE 'empty_query_and_filters' END AS empty_reason FROM n""",
+}
 assert fixed.RRF_K == 60  # the SQL above has it written out
