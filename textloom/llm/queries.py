@@ -12,42 +12,52 @@ from ._common import read
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, with base counts, spans and verdicts. Null texts count as empty."""
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices that documents contain."""
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates by two-word shingles, similarity 0.8 or more."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, exact or edited."""
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates, dropped from all documents but the first; what is left as a digest."""
     return lines.drop_template_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.md5("kept_text").alias("kept_md5"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under 50-byte strings of earlier documents, removed; what is left as a digest."""
     return suffix.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy pieces of all documents."""
     return tokens.count_tokens(read(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels of those that are not held out."""
     return quality_model.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, distances from the language and the verdict of all documents."""
     return quality_rules.judge_quality(read(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of power-of-two length, each a sequence of its own."""
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
