@@ -67,6 +67,15 @@ def percentiles(table: DataFrame, value: str, shares: dict[str, float], group: t
     return running.groupBy(*group).agg(*(F.coalesce(F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * share), F.col(value))), F.lit(0)).alias(name) for name, share in shares.items()))
 
 
+def value_spread(table: DataFrame, value: str, group: tuple[str, ...], share: float) -> DataFrame:
+    """Of each group the nearest-rank percentile and the median, the mean of the two middle values; from counts of the different values."""
+    counts = table.where(F.col(value).isNotNull()).groupBy(*group, value).count()
+    w = Window.partitionBy(*group)
+    running = counts.withColumns({"upto": F.sum("count").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("count").over(w)})
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    return running.groupBy(*group).agg(at(F.bround((F.col("n") - 1) * share)).alias("percentile"), ((at(F.floor((F.col("n") - 1) / 2)) + at(F.ceil((F.col("n") - 1) / 2))) / 2).alias("median"))
+
+
 def duplicate_count(table: DataFrame, *keys: str) -> DataFrame:
     """One row: rows beyond the first of each key. Null counts as a value."""
     return table.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
@@ -94,12 +103,11 @@ def quality_counters(chunks: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     count = F.count_if
     flat = c.agg(
-        F.struct(F.count_distinct(F.nullif("filename", F.lit(""))).alias("documents_total"), count(_empty("doc_name")).alias("chunks_without_doc_name")).alias("documents"),
+        F.struct(count(_empty("doc_name")).alias("chunks_without_doc_name")).alias("documents"),
         F.struct(count(_empty("heading_path_text")).alias("chunks_without_heading_path_text"), F.coalesce(F.sum(F.size(F.filter("headings", lambda h: F.length(h) > 220))), F.lit(0)).alias("suspicious_long_headings")).alias("structure"),
         F.struct(
-            F.count_distinct(F.nullif("point_id", F.lit(""))).alias("points_detected"), count(~_empty("point_number")).alias("chunks_with_point_number"), count(_empty("point_number")).alias("chunks_without_point_number"),
+            count(~_empty("point_number")).alias("chunks_with_point_number"), count(_empty("point_number")).alias("chunks_without_point_number"),
             count("is_split").alias("split_chunks"), count(~F.col("is_complete_point")).alias("incomplete_point_chunks"),
-            (F.count(F.when(~F.col("is_split"), F.nullif("point_id", F.lit("")))) - F.count_distinct(F.when(~F.col("is_split"), F.nullif("point_id", F.lit(""))))).alias("duplicate_point_ids"),
         ).alias("points"),
         F.struct(
             F.count("*").alias("chunks_total"), F.coalesce(F.avg("__n"), F.lit(0)).alias("avg_chars"), F.coalesce(F.avg("token_estimate"), F.lit(0)).alias("avg_token_estimate"),
@@ -107,26 +115,32 @@ def quality_counters(chunks: DataFrame) -> DataFrame:
         ).alias("chunks"),
         F.struct(
             count("__missing").alias("chunks_missing_required_payload_keys"), F.coalesce(1 - count("__missing") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("required_payload_keys_coverage"),
-            count(T.strip(text) == "").alias("empty_text_chunks"), (F.count("*") - F.count_distinct(F.coalesce("chunk_id", F.lit("")))).alias("duplicate_chunk_ids"),
+            count(T.strip(text) == "").alias("empty_text_chunks"),
         ).alias("retrieval_readiness"),
     )
     rows = [F.struct(F.lit(s).alias("section"), F.lit(f.name).alias("metric"), F.col(f"{s}.{f.name}").cast("double").alias("value")) for s in flat.columns for f in flat.schema[s].dataType]
     out = flat.select(F.inline(F.array(*rows)))
-    headings = c.groupBy(F.coalesce("filename", F.lit("")).alias("f")).agg(F.max(F.size("headings")).alias("most")).agg(count(F.coalesce("most", F.lit(0)) <= 0).alias("v"))
+    # Distinct values are counted by grouping once by each kind of id: no row is multiplied.
+    headings = c.groupBy(F.coalesce("filename", F.lit("")).alias("f")).agg(F.max(F.size("headings")).alias("most")).agg(count(F.coalesce("most", F.lit(0)) <= 0).alias("v"), count(F.col("f") != "").alias("files"))
+    points = c.where(~_empty("point_id")).groupBy("point_id").agg(count(~F.col("is_split")).alias("whole")).agg(F.count("*").alias("all"), F.coalesce(F.sum(F.greatest(F.col("whole") - 1, F.lit(0))), F.lit(0)).alias("more"))
     last_ids = c.where(~_empty("filename") & ~_empty("doc_id")).groupBy("filename").agg(F.max_by("doc_id", "ord").alias("doc_id"))
     identity = c.select("doc_name", "point_number", ids.text_hash(T.normalize_for_hash(text)).alias("h"))
     meta = document_metadata_quality(chunks)
     one = lambda df, section, metric, column: df.select(F.lit(section).alias("section"), F.lit(metric).alias("metric"), F.col(column).cast("double").alias("value"))
-    chars = percentiles(c, "__n", {"p50_rank_chars": 0.5, "p95_chars": 0.95})
-    tokens = percentiles(c, "token_estimate", {"p95_token_estimate": 0.95})
+    # Percentiles and medians of both sizes from one count of their values.
+    sizes = c.select(F.inline(F.array(F.struct(F.lit("chars").alias("of"), F.col("__n").cast("long").alias("v")), F.struct(F.lit("token_estimate").alias("of"), F.col("token_estimate").cast("long").alias("v")))))
+    spread = value_spread(sizes, "v", ("of",), 0.95)
+    names = spread.select(F.lit("chunks").alias("section"), F.inline(F.array(F.struct(F.concat(F.lit("p95_"), "of").alias("metric"), F.col("percentile").cast("double").alias("value")), F.struct(F.concat(F.lit("p50_"), "of").alias("metric"), F.col("median").cast("double").alias("value")))))
+    asked = chunks.sparkSession.createDataFrame([(f"{p}_{k}",) for p in ("p95", "p50") for k in ("chars", "token_estimate")], "metric string")
+    names = asked.join(names, "metric", "left").select(F.lit("chunks").alias("section"), "metric", F.coalesce("value", F.lit(0.0)).alias("value"))
     summary = meta.agg(F.count("*").alias("documents_evaluated"), F.coalesce(F.avg("score"), F.lit(0)).alias("avg_score"), F.coalesce(F.min("score"), F.lit(0)).alias("min_score"), *(count(~F.col(f"{k}_ok")).alias(f"missing_{k}") for k in METADATA_FIELDS))
     more = [
-        one(headings, "structure", "documents_without_headings", "v"),
+        headings.select(F.inline(F.array(*(F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(v).cast("double").alias("value")) for s, m, v in (("structure", "documents_without_headings", "v"), ("documents", "documents_total", "files")))))),
+        points.select(F.inline(F.array(*(F.struct(F.lit("points").alias("section"), F.lit(m).alias("metric"), F.col(v).cast("double").alias("value")) for m, v in (("points_detected", "all"), ("duplicate_point_ids", "more")))))),
+        one(duplicate_count(c.select(F.coalesce("chunk_id", F.lit("")).alias("id")), "id"), "retrieval_readiness", "duplicate_chunk_ids", "duplicates"),
+        names,
         one(duplicate_count(last_ids, "doc_id"), "documents", "duplicate_doc_ids", "duplicates"),
         one(duplicate_count(identity, "doc_name", "point_number", "h"), "chunks", "duplicate_doc_point_text", "duplicates"),
-        one(chars, "chunks", "p95_chars", "p95_chars"),
-        one(tokens, "chunks", "p95_token_estimate", "p95_token_estimate"),
-        c.agg(F.coalesce(F.median("__n"), F.lit(0)).alias("a"), F.coalesce(F.median("token_estimate"), F.lit(0)).alias("b")).select(F.inline(F.array(*(F.struct(F.lit("chunks").alias("section"), F.lit(m).alias("metric"), F.col(x).cast("double").alias("value")) for m, x in (("p50_chars", "a"), ("p50_token_estimate", "b")))))),
         summary.select(F.inline(F.array(*(F.struct(F.lit("metadata_quality").alias("section"), F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in summary.columns)))),
         c.groupBy(F.coalesce(F.nullif("metadata_confidence", F.lit("")), F.lit("(empty)")).alias("m")).count().select(F.lit("metadata_confidence").alias("section"), F.col("m").alias("metric"), F.col("count").cast("double").alias("value")),
     ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,9 +85,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, for what reads it many times."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder as Parquet, for what reads it many times: each reader takes just its columns."""
+    path = f"{checkpoint_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
