@@ -18,9 +18,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from ``text``, and ``n_chars`` follows; a document of which no word is left goes.
 
     Rows that repeat a ``doc_id``, or have none, count as one document when recurrence is counted. A null or empty text
-    has no line to lose and stays.
+    has no line to lose and stays. Lines of two documents stay, long ones, too: two copies must reach near-dedup whole,
+    which removes one of them, instead of leaving a part of it.
     """
-    out = lines.drop_template_lines(docs, carry=True).where(F.col("kept_text").rlike(r"[^ \t\n\r\f\x0b]") | (F.col("n_dropped") == 0))
+    out = lines.drop_template_lines(docs, long_documents=3, carry=True).where(F.col("kept_text").rlike(r"[^ \t\n\r\f\x0b]") | (F.col("n_dropped") == 0))
     own = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("document.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*(own[c].alias(c) if own.get(c) is not None else F.col("document").getField(c).alias(c) for c in docs.columns))
 
