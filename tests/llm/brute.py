@@ -143,7 +143,7 @@ def quality_verdicts(rows, common, most_class=0.3, most_word=0.35, least_documen
     return out
 
 
-def line_templates(line):
+def line_templates(line, long_documents=2):
     """[(template, documents that make it recur)]"""
     tokens = ["<*>" if re.search("[0-9@]", t) else t for t in line.split()]
     if not tokens:
@@ -151,7 +151,7 @@ def line_templates(line):
     n, half = len(tokens), (len(tokens) - 2) // 2
     constant = lambda ts: sum(t != "<*>" for t in ts)
     enough = lambda ts: 4 * constant(ts) >= len(ts)
-    out = [((0, n, *tokens) if enough(tokens) else (3, line), 2 if n > 50 else 3)]
+    out = [((0, n, *tokens) if enough(tokens) else (3, line), long_documents if n > 50 else 3)]
     if n >= 12:
         out += [((k, n, *part), 3) for k, part in ((1, tokens[: 2 + half]), (2, tokens[:2] + tokens[2 + half :])) if enough(part)]
     elif constant(tokens) >= 5:
@@ -159,12 +159,12 @@ def line_templates(line):
     return out
 
 
-def drop_lines(rows):
+def drop_lines(rows, long_documents=2):
     """[(n_lines, n_dropped, kept text)] for rows (doc_id, text); every row has an id."""
     have, least = defaultdict(set), {}
     for d, t in rows:
         for line in (t or "").split("\n"):
-            for k, n in line_templates(line):
+            for k, n in line_templates(line, long_documents):
                 have[k].add(d)
                 least[k] = min(n, least.get(k, n))
     out = []

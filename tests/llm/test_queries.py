@@ -82,7 +82,7 @@ def plain_pipeline(docs, items, encode):
     verdicts = brute.quality_verdicts([(r["text"], r["lang"]) for r in docs], quality_rules.COMMON)
     docs = [r for r, (_, _, kept) in zip(docs, verdicts) if kept]
     stages = [len(docs)]
-    cut = brute.drop_lines([((1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs])
+    cut = brute.drop_lines([((1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs], 3)
     docs = [r | {"text": c[2]} for r, c in zip(docs, cut) if brute.words(c[2]) or not c[1]]
     stages.append(len(docs))
     comp = brute.components([(i, r["text"]) for i, r in enumerate(docs)], 5)

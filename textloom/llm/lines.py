@@ -60,13 +60,13 @@ def _keys(tokens: Column, depth: int, least_tokens: int, long_tokens: int, line:
     return F.when(n >= least_tokens, both if line is None else F.array_compact(both)).otherwise(short)
 
 
-def drop_template_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_tokens: int = 12, least_documents: int = 3, long_tokens: int = 50, carry: bool = False) -> DataFrame:
+def drop_template_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_tokens: int = 12, least_documents: int = 3, long_tokens: int = 50, long_documents: int = 2, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text of every document; with ``carry``, the whole row as ``document``.
 
     Lines are split at \\n. Lines of ``least_tokens`` tokens or more have templates with a variable half after ``depth``
     leading tokens that stay fixed; shorter ones have templates with any one token variable. A template recurs if
     ``least_documents`` documents or more have it, and a line of more than ``long_tokens`` tokens recurs as a whole
-    from two documents on. The first document of a template, that with the smallest ``doc_id``, keeps its lines. Blank
+    from ``long_documents`` on. The first document of a template, that with the smallest ``doc_id``, keeps its lines. Blank
     lines are never dropped.
 
     Null or empty text: one blank line, kept; kept_text is ''. Rows that repeat a ``doc_id`` count as one document;
@@ -90,7 +90,7 @@ def drop_template_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     spread = scratch.write(key.groupBy("key", "check").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("key", "check", "first"))
     several = key.join(spread, ["key", "check"])
     number = several.groupBy("key", "check", "__doc").agg(F.min("first").alias("first"), F.max("long").alias("long")).groupBy("key", "check").agg(F.count("*").alias("documents"), F.min("first").alias("first"), F.max("long").alias("long"))
-    number = scratch.write(number.where((F.col("documents") >= least_documents) | F.col("long")).select("key", "check", "first"))
+    number = scratch.write(number.where(F.col("documents") >= F.when(F.col("long"), long_documents).otherwise(least_documents)).select("key", "check", "first"))
     scratch.drop(spread)
     gone = key.join(number, ["key", "check"]).where(F.col("__doc") != F.col("first")).groupBy("__doc", "__text").agg(F.collect_set("__line").alias("__gone"))
     parts = F.split(own, "\n")
