@@ -121,9 +121,10 @@ def knowledge_candidates(questions: DataFrame, documents: DataFrame, terms: Data
     that both name. The best of these scores counts, with its reasons and those of what was tried after it; equal
     scores go by what was tried first. Names that are merely alike do not count here.
     """
-    q = questions.select("qid", T.normalize_catalog_text(F.coalesce("query", F.lit(""))).alias("q")).where("q <> ''")
+    # What many joins read is written once.
+    q = staged(questions.select("qid", T.normalize_catalog_text(F.coalesce("query", F.lit(""))).alias("q")).where("q <> ''"))
     norm = lambda c: T.normalize_catalog_text(F.coalesce(c, F.lit("")))
-    d = documents.where(F.coalesce("doc_id", F.lit("")) != "").select("doc_id", F.col("position").alias("place"), norm("doc_name").alias("name"), norm("annotation").alias("note"), T.normalize_catalog_text(F.concat_ws(" ", F.coalesce("doc_name", F.lit("")), F.coalesce("annotation", F.lit("")))).alias("both"))
+    d = staged(documents.where(F.coalesce("doc_id", F.lit("")) != "").select("doc_id", F.col("position").alias("place"), norm("doc_name").alias("name"), norm("annotation").alias("note"), T.normalize_catalog_text(F.concat_ws(" ", F.coalesce("doc_name", F.lit("")), F.coalesce("annotation", F.lit("")))).alias("both")))
     t = topics.select(F.col("position").cast("long").alias("topic"), norm("phrase").alias("phrase"), "doc_names", "not_doc_names").where("phrase <> ''")
     words = t.select("topic", F.explode(F.concat(F.array("phrase"), _tokens(F.col("phrase"), 5))).alias("word"))
     a = abbreviations.select(F.col("position").alias("item"), norm("abbreviation").alias("short"), norm("expansion").alias("expansion")).where("length(short) >= 2 AND expansion <> ''").withColumn("head", F.substring("expansion", 1, 40))
@@ -134,7 +135,7 @@ def knowledge_candidates(questions: DataFrame, documents: DataFrame, terms: Data
     tokens = lambda rows, c: rows.select(F.explode(_tokens(F.col(c))).alias("token"))
     in_d = staged(containing(_together((q, "q"), (tokens(q, "q"), "token"), (parts, "part"), (a, "head"), (tokens(a, "expansion"), "token"), (n, "label"), name="needle"), _together((d, "name"), (d, "note"), (d, "both"), name="text")))
 
-    own = _own_scores(q, d, in_q, in_d).select("qid", "doc_id", "score", "reasons", F.lit(0).alias("family"), F.lit(0).cast("long").alias("item"))
+    own = staged(_own_scores(q, d, in_q, in_d)).select("qid", "doc_id", "score", "reasons", F.lit(0).alias("family"), F.lit(0).cast("long").alias("item"))
     named = words.join(_named(in_q, "word", "q"), "word").join(q, "q").select("topic", "qid").distinct()
     said = lambda kind, c: F.array(F.concat(F.lit(f"{kind}:"), c))
     one = lambda rows, kind, c, family, item: rows.select("qid", "doc_id", F.lit(fixed.KNOWLEDGE_SCORES[kind]).alias("score"), said(kind, c).alias("reasons"), F.lit(family).alias("family"), F.col(item).cast("long").alias("item"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..sources.tables import staged
 from . import knowledge, understanding
 
 
@@ -64,9 +65,11 @@ def prepare_queries(questions: DataFrame, candidates: DataFrame, matched: DataFr
 
 def plan_queries(questions: DataFrame, entries: DataFrame, documents: DataFrame, terms: DataFrame, abbreviations: DataFrame, topics: DataFrame) -> DataFrame:
     """Plans of questions (qid, query) from a catalog (with catalog_id) and the knowledge tables."""
-    found = knowledge.knowledge_candidates(questions, documents, terms, abbreviations, topics)
-    merged = knowledge.merged_candidates(understanding.catalog_candidates(questions, entries, alike=False), found, entries)
-    return prepare_queries(questions, merged, knowledge.terms_in_queries(questions, terms, abbreviations, topics))
+    # Each part is written, small as it is: one plan over all of them would be planned anew after each of its many stages.
+    questions = staged(questions.select("qid", "query"))
+    found = staged(knowledge.knowledge_candidates(questions, documents, terms, abbreviations, topics))
+    merged = staged(knowledge.merged_candidates(staged(understanding.catalog_candidates(questions, entries, alike=False)), found, entries))
+    return prepare_queries(questions, merged, staged(knowledge.terms_in_queries(questions, terms, abbreviations, topics)))
 
 
 def understandings(plans: DataFrame) -> DataFrame:

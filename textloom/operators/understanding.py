@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, fuzzy
 from ..functions import text as T
 from ..shipping import ship
+from ..sources.tables import staged
 from .matching import containing, sharing_tokens
 
 #: Confidence and lead over the second candidate that a resolved document needs.
@@ -46,7 +47,7 @@ def catalog_candidates(questions: DataFrame, entries: DataFrame, limit: int = 8,
     that has no key to join by, so each question meets each entry of the catalog, which is a dimension.
     """
     q = questions.select("qid", F.coalesce("query", F.lit("")).alias("query")).withColumns({"q": T.normalize_catalog_text(F.col("query")), "numbers": T.extract_order_numbers(F.col("query"))}).where("q <> ''")
-    pairs = q.join(entries, how="cross") if alike else _pairs(q, entries).join(q, "qid").join(entries, "doc_name")
+    pairs = q.join(entries, how="cross") if alike else staged(_pairs(q, entries)).join(q, "qid").join(entries, "doc_name")
     query, doc = F.col("q"), F.col("doc_norm")
     score = F.when(F.contains(doc, query), 0.45).otherwise(0.0) + F.when(F.contains(query, doc), 0.35).otherwise(0.0)
     ratios = None
