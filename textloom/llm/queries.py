@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, minhash, packing, quality_model, quality_rules, secrets, suffix, tokens
+from . import decontam, licenses, lines, minhash, packing, pieces, quality_model, quality_rules, secrets, suffix, tokens
 from ._common import read
 
 
@@ -61,8 +61,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pieces all documents have, and digests of their ids and of what these decode to."""
+    out = pieces.encode_pieces(read(spark, sf_dir, "documents"), decoded=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_licenses, op3_near_duplicates, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_packing)
+    f.__name__: f for f in (op1_secrets, op2_licenses, op3_near_duplicates, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_packing, op13_sentencepiece)
 }
 
 
