@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, minhash, packing, pieces, quality_model, quality_rules, secrets, suffix, tokens
+from . import decontam, licenses, lines, minhash, packing, pieces, prefix_trie, quality_model, quality_rules, secrets, suffix, tokens
 from ._common import read
 
 
@@ -61,6 +61,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of another."""
+    turns, lengths, scratch = prefix_trie.rebuilt_conversations(read(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(turns, lengths, scratch)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pieces all documents have, and digests of their ids and of what these decode to."""
     out = pieces.encode_pieces(read(spark, sf_dir, "documents"), decoded=True)
@@ -68,7 +74,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_licenses, op3_near_duplicates, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_packing, op13_sentencepiece)
+    f.__name__: f for f in (op1_secrets, op2_licenses, op3_near_duplicates, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_packing, op12_prefix_trie, op13_sentencepiece)
 }
 
 
@@ -101,4 +107,24 @@ gone AS (SELECT DISTINCT r, k FROM keys JOIN rec USING (key) WHERE doc_id <> fir
 SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(g.k) AS n_dropped, md5(coalesce(string_agg(CASE WHEN g.k IS NULL THEN line END, chr(10) ORDER BY l.k), '')) AS kept_md5
 FROM l LEFT JOIN gone g ON l.r = g.r AND l.k = g.k GROUP BY l.r"""
 
-ORACLES: dict[str, str] = {"op2_licenses": _licenses_sql(), "op5_line_dedup": _LINES_SQL}
+# crc32 bit by bit: a byte goes in, then eight shifts.
+_TRIE_SQL = r"""
+WITH n AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, turn FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, k, strlen(text) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM n),
+o AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, n, base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(steps, lambda x: x::BIGINT)), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 9 AS h FROM o),
+c AS (SELECT h.*, least(h.h, coalesce(p.n, 0)) AS taken FROM h LEFT JOIN (SELECT conv_id AS base, n FROM h) p USING (base)),
+s AS (
+  SELECT conv_id, pos AS depth, k, b FROM c JOIN (SELECT conv_id AS base, pos, k, b FROM t) x USING (base) WHERE pos <= taken
+  UNION ALL SELECT conv_id, pos - h + taken, k, b FROM c JOIN t USING (conv_id) WHERE pos > h),
+q AS (SELECT c.conv_id, coalesce(ks, []) AS ks, coalesce(bs, []) AS bs FROM c LEFT JOIN (SELECT conv_id, list(k ORDER BY depth) AS ks, list(b ORDER BY depth) AS bs FROM s GROUP BY conv_id) USING (conv_id)),
+m AS (SELECT conv_id, ks, bs, unnest(range(0, len(ks) + 1)) AS d FROM q),
+g AS (SELECT d, ks[1:d] AS p, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE any_value(bs[d]) END * (count(*) - 1) AS own, coalesce(string_agg(CASE WHEN len(ks) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends FROM m GROUP BY d, p),
+k AS (SELECT p[1:d-1] AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+u AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (p)),
+a AS (SELECT p[1:e] AS p, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM u) GROUP BY 1)
+SELECT u.conv_id, u.d AS depth, v.conv_id AS parent_conv_id, u.n_convs, u.n_children, a.n_leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM u JOIN a USING (p) LEFT JOIN g v ON u.d > 0 AND v.p = u.p[1:u.d-1]"""
+
+ORACLES: dict[str, str] = {"op2_licenses": _licenses_sql(), "op5_line_dedup": _LINES_SQL, "op12_prefix_trie": _TRIE_SQL}
