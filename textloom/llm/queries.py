@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, minhash, packing, pieces, prefix_trie, quality_model, quality_rules, secrets, suffix, tokens
+from . import decontam, licenses, lines, minhash, packing, pieces, prefix_trie, quality_model, quality_rules, radix, secrets, suffix, tokens
 from ._common import read
 
 
@@ -61,6 +61,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for each anchor and positive; every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return radix.mine_hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, each rebuilt on the first turns of another."""
     turns, lengths, scratch = prefix_trie.rebuilt_conversations(read(spark, sf_dir, "conversations"))
@@ -74,7 +80,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_licenses, op3_near_duplicates, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_packing, op12_prefix_trie, op13_sentencepiece)
+    f.__name__: f for f in (op1_secrets, op2_licenses, op3_near_duplicates, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_packing, op11_hard_negatives, op12_prefix_trie, op13_sentencepiece)
 }
 
 
@@ -127,4 +133,13 @@ a AS (SELECT p[1:e] AS p, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS sa
 SELECT u.conv_id, u.d AS depth, v.conv_id AS parent_conv_id, u.n_convs, u.n_children, a.n_leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, sha256(u.ends) AS ends_sha256
 FROM u JOIN a USING (p) LEFT JOIN g v ON u.d > 0 AND v.p = u.p[1:u.d-1]"""
 
-ORACLES: dict[str, str] = {"op2_licenses": _licenses_sql(), "op5_line_dedup": _LINES_SQL, "op12_prefix_trie": _TRIE_SQL}
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0),
+p AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same AND a <> b),
+n AS (SELECT a, p.b AS p, s.b AS n, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY a, p.b ORDER BY s.score DESC, s.b) AS r FROM p JOIN s USING (a) WHERE p.r <= 5 AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, p AS positive_id, r::INTEGER AS "rank", n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10"""
+
+ORACLES: dict[str, str] = {"op2_licenses": _licenses_sql(), "op5_line_dedup": _LINES_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op12_prefix_trie": _TRIE_SQL}
