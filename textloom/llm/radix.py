@@ -51,9 +51,9 @@ class Windows:
     ``first`` is where the window begins, ``need`` how many rows are wanted from between ``low`` and ``high``.
     """
 
-    def __init__(self, anchors: dict, slots: int, same: bool, low: np.ndarray, high: np.ndarray, need: int):
+    def __init__(self, anchors: dict, slots: int, same: bool, low: np.ndarray, high: np.ndarray, need: int, base: int, spare: int):
         self.row, self.id, self.label, self.vector = (anchors[c] for c in ("row", "id", "label", "vector"))
-        self.slots, self.same = slots, same
+        self.slots, self.same, self.base, self.spare = slots, same, base, spare
         self.low, self.high, self.first = low.astype(np.int64), high.astype(np.int64), low.astype(np.int64).copy()
         n = len(low)
         self.part, self.score, self.tied = np.zeros(n, np.int8), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -61,7 +61,7 @@ class Windows:
         self.some = self.open.copy()
 
     def width(self) -> np.ndarray:
-        return np.array([-(-(int(b) - int(a) + 1) // BASE) for a, b in zip(self.low, self.high, strict=True)], np.uint64)
+        return np.array([-(-(int(b) - int(a) + 1) // self.base) for a, b in zip(self.low, self.high, strict=True)], np.uint64)
 
     def narrow(self, found: dict[int, tuple[int, int, int]], ends: tuple[tuple[int, int], ...]) -> None:
         """One digit further: ``found`` has (bucket, rows before it, rows in it) by window; a window without has fewer rows than wanted, and keeps all."""
@@ -75,7 +75,7 @@ class Windows:
             high = min(int(self.high[w]), low + width - 1)
             self.need[w] -= before
             self.low[w], self.high[w] = low, high
-            if inside <= self.need[w] + SPARE:
+            if inside <= self.need[w] + self.spare:
                 self.open[w] = False
             elif low == high:
                 if self.part[w] == 0:
@@ -145,7 +145,7 @@ def _select(table: DataFrame, own: Windows, dim: int, ends: tuple) -> None:
     """Narrows all windows, digit by digit, until the rows that are left can be gathered."""
 
     def counts(own: Windows, ids, rows, labels, x) -> Iterator[dict]:
-        last, width, base = _last_scores(own), own.width(), np.uint64(BASE)
+        last, width, base = _last_scores(own), own.width(), np.uint64(own.base)
         for w, key, r in _pairs(own, ids, rows, labels, x, own.open, last):
             part = own.part[w]
             value = np.where(part == 0, key, np.where(part == 1, ids[r], rows[r]))
@@ -186,7 +186,7 @@ def _gather(table: DataFrame, own: Windows, dim: int, k: int) -> DataFrame:
 
 def mine_hard_negatives(
     rows: DataFrame, *, anchor: Column | None = None, positives: int = 5, k: int = 10, least: int = 30, most: int = 90, scale: int = 256,
-    id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_bytes: int = BLOCK_BYTES,
+    id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_bytes: int = BLOCK_BYTES, base: int = BASE, spare: int = SPARE,
 ) -> DataFrame:
     """For each anchor and each of its positives, the best negatives that are neither too easy nor too hard.
 
@@ -197,8 +197,8 @@ def mine_hard_negatives(
     rank, negative_id, positive_score and negative_score.
 
     All rows are scored against all anchors, exactly; nothing is sampled or capped. A task holds one tile of scores, and
-    what tasks send is bucket counts, summed before they meet, then at most ``k`` + 64 rows for each window, however
-    many rows share a score or an id. Anchors go out in blocks of ``block_bytes``.
+    what tasks send is bucket counts (``base`` buckets for each digit), summed before they meet, then at most ``k`` +
+    ``spare`` rows for each window, however many rows share a score or an id. Anchors go out in blocks of ``block_bytes``.
 
     Rows with a null id, label or vector, or a null or non-finite component, take no part. Rows are told apart by where
     they are: one that repeats an id is another row. Shorter vectors count as if they went on with zeros. An empty table,
@@ -224,7 +224,7 @@ def mine_hard_negatives(
         if not own.num_rows:
             continue
         block = {c: own.column(c).to_numpy() for c in ("row", "id", "label")} | {"vector": _matrix(own.column("vector").combine_chunks(), dim)}
-        done.append(scratch.write(_block(table, block, dim, ends, edge, positives, k, least, most)))
+        done.append(scratch.write(_block(table, block, dim, ends, edge, positives, k, least, most, base, spare)))
     out = done[0]
     for t in done[1:]:
         out = out.union(t)
@@ -232,9 +232,9 @@ def mine_hard_negatives(
     return out
 
 
-def _block(table: DataFrame, block: dict, dim: int, ends: tuple, edge: int, positives: int, k: int, least: int, most: int) -> DataFrame:
+def _block(table: DataFrame, block: dict, dim: int, ends: tuple, edge: int, positives: int, k: int, least: int, most: int, base: int, spare: int) -> DataFrame:
     n = len(block["row"])
-    near = Windows(block, 1, True, np.full(n, -edge), np.full(n, edge), positives)
+    near = Windows(block, 1, True, np.full(n, -edge), np.full(n, edge), positives, base, spare)
     _select(table, near, dim, ends)
     # At most `positives` rows for each anchor of the block.
     ids, scores, there = np.zeros(n * positives, np.int64), np.zeros(n * positives, np.int64), np.zeros(n * positives, bool)
@@ -244,7 +244,7 @@ def _block(table: DataFrame, block: dict, dim: int, ends: tuple, edge: int, posi
     low = np.array([-(most * int(s) // 100) for s in scores], np.int64)
     high = np.array([-least * int(s) // 100 for s in scores], np.int64)
     low[~there], high[~there] = 1, 0
-    hard = Windows(block, positives, False, low, high, k)
+    hard = Windows(block, positives, False, low, high, k, base, spare)
     _select(table, hard, dim, ends)
     found = _gather(table, hard, dim, k)
     of = np.repeat(block["id"], positives)
