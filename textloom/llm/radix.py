@@ -26,6 +26,8 @@ BASE = 1024
 SPARE = 64
 #: Anchors and what is known of their windows go to tasks in blocks of about so many bytes; the rows are read once for each block.
 BLOCK_BYTES = 16 << 20
+#: A task adds up its bucket counts until it holds so many different ones, then sends them.
+HELD = 1 << 20
 #: Scores are worked on in tiles of so many rows by so many anchors.
 TILE = 1024
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
@@ -110,18 +112,20 @@ def _pairs(own: Windows, ids: np.ndarray, rows: np.ndarray, labels: np.ndarray,
 
 
 def _scan(table: DataFrame, own: Windows, dim: int, fn: Callable, schema: str) -> DataFrame:
-    """``fn`` over tiles of rows; the windows go to the tasks as a broadcast of bounded size."""
+    """``fn`` over the tiles of a task's rows; the windows go to the tasks as a broadcast of bounded size."""
     spark = table.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(own)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for at in range(0, batch.num_rows, TILE):
                 part = batch.slice(at, TILE)
-                ids, rows, labels = (part.column(c).to_numpy() for c in ("id", "row", "label"))
-                for out in fn(sent.value, ids, rows, labels, _matrix(part.column("vector"), dim)):
-                    yield pa.RecordBatch.from_pydict(out)
+                yield *(part.column(c).to_numpy() for c in ("id", "row", "label")), _matrix(part.column("vector"), dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(sent.value, tiles(batches)):
+            yield pa.RecordBatch.from_pydict(out)
 
     return table.mapInArrow(run, schema)
 
@@ -144,17 +148,23 @@ def _last_scores(own: Windows) -> np.ndarray:
 def _select(table: DataFrame, own: Windows, dim: int, ends: tuple) -> None:
     """Narrows all windows, digit by digit, until the rows that are left can be gathered."""
 
-    def counts(own: Windows, ids, rows, labels, x) -> Iterator[dict]:
+    def counts(own: Windows, tiles: Iterator[tuple]) -> Iterator[dict]:
         last, width, base = _last_scores(own), own.width(), np.uint64(own.base)
-        for w, key, r in _pairs(own, ids, rows, labels, x, own.open, last):
-            part = own.part[w]
-            value = np.where(part == 0, key, np.where(part == 1, ids[r], rows[r]))
-            ok = (value >= own.low[w]) & (value <= own.high[w]) & ((part == 0) | (key == own.score[w])) & ((part < 2) | (ids[r] == own.tied[w]))
-            w, value = w[ok], value[ok]
-            if len(w):
+        cells, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for ids, rows, labels, x in tiles:
+            for w, key, r in _pairs(own, ids, rows, labels, x, own.open, last):
+                part = own.part[w]
+                value = np.where(part == 0, key, np.where(part == 1, ids[r], rows[r]))
+                ok = (value >= own.low[w]) & (value <= own.high[w]) & ((part == 0) | (key == own.score[w])) & ((part < 2) | (ids[r] == own.tied[w]))
+                w, value = w[ok], value[ok]
                 bucket = (value - own.low[w]).view(np.uint64) // width[w]
                 cell, n = np.unique(w.astype(np.uint64) * base + bucket, return_counts=True)
-                yield {"window": (cell // base).astype(np.int64), "bucket": (cell % base).astype(np.int64), "n": n.astype(np.int64)}
+                cells, sums = _added(np.concatenate([cells, cell]), np.concatenate([sums, n]))
+                if len(cells) > HELD:
+                    yield _cells(cells, sums, base)
+                    cells, sums = cells[:0], sums[:0]
+        if len(cells):
+            yield _cells(cells, sums, base)
 
     while own.open.any():
         need = own.need
@@ -167,17 +177,30 @@ def _select(table: DataFrame, own: Windows, dim: int, ends: tuple) -> None:
         own.narrow({r["window"]: (r["bucket"], r["before"], r["n"]) for r in found}, ends)
 
 
+def _added(cells: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell once, with the sum of its numbers."""
+    order = np.argsort(cells, kind="stable")  # both halves are in order already, which this sort makes use of
+    cells = cells[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+    return cells[first], np.add.reduceat(sums[order], first) if len(first) else sums[:0]
+
+
+def _cells(cells: np.ndarray, sums: np.ndarray, base: np.uint64) -> dict:
+    return {"window": (cells // base).astype(np.int64), "bucket": (cells % base).astype(np.int64), "n": sums.astype(np.int64)}
+
+
 def _gather(table: DataFrame, own: Windows, dim: int, k: int) -> DataFrame:
     """The first ``k`` rows of each window: window, rank, id, row, score."""
 
-    def rows_of(own: Windows, ids, rows, labels, x) -> Iterator[dict]:
+    def rows_of(own: Windows, tiles: Iterator[tuple]) -> Iterator[dict]:
         last = _last_scores(own)
-        for w, key, r in _pairs(own, ids, rows, labels, x, own.some, last):
-            part, i, n = own.part[w], ids[r], rows[r]
-            tie = (part > 0) & (key == own.score[w])
-            ok = ~tie | np.where(part == 1, i <= own.high[w], (i < own.tied[w]) | (i == own.tied[w]) & (n <= own.high[w]))
-            if ok.any():
-                yield {"window": w[ok].astype(np.int64), "id": i[ok], "row": n[ok], "score": -key[ok]}
+        for ids, rows, labels, x in tiles:
+            for w, key, r in _pairs(own, ids, rows, labels, x, own.some, last):
+                part, i, n = own.part[w], ids[r], rows[r]
+                tie = (part > 0) & (key == own.score[w])
+                ok = ~tie | np.where(part == 1, i <= own.high[w], (i < own.tied[w]) | (i == own.tied[w]) & (n <= own.high[w]))
+                if ok.any():
+                    yield {"window": w[ok].astype(np.int64), "id": i[ok], "row": n[ok], "score": -key[ok]}
 
     found = _scan(table, own, dim, rows_of, "window long, id long, row long, score long")
     rank = F.row_number().over(Window.partitionBy("window").orderBy(F.desc("score"), "id", "row"))
