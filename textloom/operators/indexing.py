@@ -14,6 +14,7 @@ from ..functions import fixed, ids
 from ..functions import text as T
 from ..functions.vectors import normalized
 from ..shipping import ship
+from . import index_store
 
 #: chunks to their encoder: made once a task, then called with lists of texts; gives a vector for each.
 Encoder = Callable[[list[str]], list[list[float]]]
@@ -134,35 +135,22 @@ def index_defects(report: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, load: Callable[[], Encoder], path: str, *, rebuild: bool = False) -> DataFrame:
-    """Verifies, embeds and writes chunks as an index at ``path``: records/ and postings/; returns what forbade it, if anything.
+    """Verifies, embeds and commits chunks as the next version of the index at ``path``; returns what forbade it, if anything.
 
-    Without ``rebuild``, records that are there stay unless a chunk has their id. The new table is written beside the old
-    one and named by a version, so readers of the old one are not disturbed and a failed write changes nothing.
+    Without ``rebuild``, records that are there stay unless a chunk has their id. Readers of the version before are not
+    disturbed, and a build that fails changes nothing and can be repeated (see ``index_store``).
     """
-    spark = chunks.sparkSession
     defects = index_defects(verify_index(chunks))
     if not defects.isEmpty():
         return defects
     # A chunk's vector comes from the same row, so no join is needed here.
     own = index_payload(chunks)
     new = embedded(own, load).select(ids.index_point_id(F.col("chunk_id")).alias("id"), F.col("embedding").alias("vector"), F.struct(*(f"`{c}`" for c in own.columns)).alias("payload"))
-    version, before = _version(spark, path), None if rebuild else read_index(spark, path)
-    records = new if before is None else upserted(before, new)
-    records.write.parquet(f"{path}/records/version={version + 1}")
-    payload_postings(spark.read.parquet(f"{path}/records/version={version + 1}")).write.partitionBy("field").parquet(f"{path}/postings/version={version + 1}")
+    index_store.write_version(new, path, rebuild=rebuild)
     return defects
 
 
-def _version(spark: SparkSession, path: str) -> int:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/records")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return 0
-    done = [s.getPath() for s in fs.listStatus(folder)]
-    return max((int(p.getName().partition("=")[2]) for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=0)
-
-
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete records of an index; None if there are none."""
-    version = _version(spark, path)
-    return spark.read.parquet(f"{path}/records/version={version}") if version else None
+    """The records (id, vector, payload) of the newest version of an index; None if there are none."""
+    found = index_store.read_records(spark, path)
+    return None if found is None else found.select("id", "vector", "payload")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, ids
 from ..functions import text as T
-from ..operators import answers, chunking, evaluation, fusion, indexing, knowledge, metadata, planning, predicates, quality, retrieval, runtime, structure, understanding
+from ..operators import answers, chunking, evaluation, fusion, index_store, indexing, knowledge, metadata, planning, predicates, quality, retrieval, runtime, structure, understanding
 from ..sources import tables
 from ..streaming import upsert
 
@@ -138,6 +138,14 @@ def payload_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.payload_search(_questions(spark, sf_dir), tables.staged(document_chunks(spark, sf_dir))).select("qid", "rank", "chunk_id", "doc_name")
 
 
+def payload_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``payload_search``, from the postings of an index of all chunks."""
+    path = tables.scratch_path(spark, "index")
+    keep = ("chunk_id", "doc_name", "filename", "point_number", "heading_path_text", "text")
+    index_store.write_version(index_store.chunk_records(document_chunks(spark, sf_dir).select(*keep)), path)
+    return index_store.indexed_search(_questions(spark, sf_dir), path).select("qid", "rank", "chunk_id", "doc_name")
+
+
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("chunk_id"), F.concat(F.lit("conversation "), "conv_id").alias("doc_name"), F.col("turn").cast("string").alias("point_number"), "text")
     asked = read(spark, sf_dir, "conversations").select("conv_id").distinct().select(
@@ -306,6 +314,19 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.upserted(all_.where("payload.doc_name <> 'label 5'"), new).select("id", "payload.chunk_id", "payload.text")
 
 
+def index_upsert_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``index_upsert``, by three versions of one index: all but label 5, then these, which the third removes as it writes those of label 3 anew."""
+    path = tables.scratch_path(spark, "index")
+    c = _vector_chunks(spark, sf_dir)
+    all_ = index_store.chunk_records(c.drop("embedding"))
+    extra = all_.where("payload.doc_name = 'label 5'")
+    index_store.write_version(all_.where("payload.doc_name <> 'label 5'"), path, bucket_rows=64)
+    index_store.write_version(extra, path)
+    new = all_.where("payload.doc_name = 'label 3'").withColumn("payload", F.col("payload").withField("text", F.lit("new text")))
+    index_store.write_version(new, path, removed=all_.where("payload.doc_name = 'label 5'").select("id"))
+    return index_store.read_records(spark, path).select("id", "payload.chunk_id", "payload.text")
+
+
 def index_schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _vector_chunks(spark, sf_dir).withColumn("filename", F.col("point_number").cast("long"))
     return indexing.schema_differences(indexing.index_schema(indexing.point_records(c.drop("embedding"), c)))
@@ -421,9 +442,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         paragraphs_clean, heading_paths, point_units, marked_text, html_paragraphs, split_chunks, index_point_ids, token_estimate_stats, chunk_penalties, worst_chunks, quality_report,
-        blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, point_lookup, vector_topk, vector_topk_filtered, rrf_fusion,
+        blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, payload_search_indexed, point_lookup, vector_topk, vector_topk_filtered, rrf_fusion,
         hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
-        comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_schema_diff, index_verify, index_defects,
+        comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_upsert_committed, index_schema_diff, index_verify, index_defects,
         knowledge_candidates, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
     )
 }

@@ -336,3 +336,5 @@ n AS (SELECT *, CASE WHEN odd THEN 0 WHEN asked OR pointed THEN 1 WHEN named THE
 SELECT qid, n AS candidates, CASE WHEN n > 0 THEN '' WHEN odd OR asked OR pointed OR named THEN 'no_matches' ELSE 'empty_query_and_filters' END AS empty_reason FROM n""",
 }
 assert fixed.RRF_K == 60  # the SQL above has it written out
+# Other ways to the same rows.
+ORACLES |= {"payload_search_indexed": ORACLES["payload_search"], "index_upsert_committed": ORACLES["index_upsert"]}

@@ -84,6 +84,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet, for what reads it many times: each reader takes just its columns."""
     path = f"{checkpoint_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}.parquet"
