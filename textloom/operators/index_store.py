@@ -22,8 +22,8 @@ from ..sources.tables import checkpoint_folder
 from . import predicates as P
 from .retrieval import ITEM_FIELDS
 
-#: Records that a bucket should have; a first build or a rebuild chooses the number of buckets by it.
-BUCKET_ROWS = 200_000
+#: Records that a bucket should have, and the most buckets; a first build or a rebuild chooses their number by it.
+BUCKET_ROWS, MOST_BUCKETS = 16_384, 4_096
 #: Records of a bucket for each part of its postings, and the most parts of a bucket.
 PART_ROWS, PARTS = 4_096, 64
 #: Places of one block of postings.
@@ -142,7 +142,7 @@ def write_version(records: DataFrame, path: str, *, rebuild: bool = False, remov
         buckets, parts = before["buckets"], before["parts"]
     else:
         n = new.count()
-        buckets = max(1, -(-n // bucket_rows))
+        buckets = min(MOST_BUCKETS, max(1, -(-n // bucket_rows)))
         parts = parts or min(PARTS, max(1, n // buckets // PART_ROWS))
     own = new.withColumn("bucket", bucket_of(F.col("id"), buckets))
     changed = own.select("bucket", "id")
@@ -153,15 +153,16 @@ def write_version(records: DataFrame, path: str, *, rebuild: bool = False, remov
     if old is not None:
         own = old.drop("place").join(changed.distinct(), ["bucket", "id"], "left_anti").unionByName(own)
     order = Window.partitionBy("bucket").orderBy("id")
-    once = own.withColumn("__n", F.row_number().over(Window.partitionBy("bucket", "id").orderBy(F.xxhash64("payload")))).where("__n = 1").drop("__n")
+    # Dealt out by bucket once: that is enough for both windows and for the files.
+    once = own.repartition("bucket").withColumn("__n", F.row_number().over(Window.partitionBy("bucket", "id").orderBy(F.xxhash64("payload")))).where("__n = 1").drop("__n")
     once.withColumn("place", (F.row_number().over(order) - 1).cast("int")).write.partitionBy("bucket").parquet(f"{path}/records/version={version}")
+    fs, p = _fs(spark, f"{path}/incoming/version={version}")
+    fs.delete(p, True)
     _write_postings(spark, path, version, parts, expected)
     written = {b for b in _numbers(spark, f"{path}/records/version={version}")}
     at = {b: v for b, v in (before["at"] if before else {}).items() if b not in touched} | dict.fromkeys(sorted(written), version)
     found = {"version": version, "buckets": buckets, "parts": parts, "at": at}
     _commit(spark, path, found)
-    fs, p = _fs(spark, f"{path}/incoming/version={version}")
-    fs.delete(p, True)
     return found
 
 
@@ -174,9 +175,9 @@ def _write_postings(spark: SparkSession, path: str, version: int, parts: int, ex
             raise
         return  # nothing is left in the buckets that were touched
     each = rows.select("bucket", "place", F.explode(payload_terms(rows, expected)).alias("t")).select("bucket", part_of(F.col("t.field"), F.col("t.value"), parts).alias("part"), "t.field", "t.value", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "place")
-    # Dealt out by (bucket, part) at once, which also brings the rows of a block together. A block has at most BLOCK places.
-    blocks = each.repartition("bucket", "part").groupBy("bucket", "part", "field", "value", "block").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    blocks = blocks.select("bucket", "part", "field", "value", "block", F.size("places").alias("n"), F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last"), "places")
+    # A task brings together the places that it has of a value before anything moves. A block has at most BLOCK places.
+    blocks = each.groupBy("bucket", "part", "field", "value", "block").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    blocks = blocks.select("bucket", "part", "field", "value", "block", F.size("places").alias("n"), F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last"), "places").repartition("bucket", "part")
     out = blocks.sortWithinPartitions("bucket", "part", "field", "value", "block").write.partitionBy("bucket", "part")
     out.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#places.list.element", "false").parquet(f"{path}/postings/version={version}")
 

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, fuzzy
+from ..functions import fixed
 from ..functions import text as T
-from ..shipping import ship
 from ..sources.tables import staged
+from .matching import alike as alike_strings
 from .matching import containing, sharing_tokens
 
 #: Confidence and lead over the second candidate that a resolved document needs.
@@ -42,28 +42,56 @@ def _alias_score(query: Column, aliases: Column, ratios: Column | None) -> Colum
 def catalog_candidates(questions: DataFrame, entries: DataFrame, limit: int = 8, alike: bool = True) -> DataFrame:
     """(qid, doc_name, score, rank): the best-scored entries of each question (qid, query); scores above 0 only.
 
-    Without ``alike`` all rules look for one text inside another or for equal numbers, so only pairs that share such a
-    part are scored. With it, similarity of the whole name and of aliases counts, too, where the lengths allow for it;
-    that has no key to join by, so each question meets each entry of the catalog, which is a dimension.
+    Rules look for one text inside another, for equal numbers, or, with ``alike``, for names and aliases that are
+    similar; only pairs for which one of these holds are scored. A question with an ``explicit_doc_name``, if there is
+    such a column, has one candidate: the first entry with that name, or with a name that contains it in any case, with
+    score 1, else that name itself with score 0.2.
     """
-    q = questions.select("qid", F.coalesce("query", F.lit("")).alias("query")).withColumns({"q": T.normalize_catalog_text(F.col("query")), "numbers": T.extract_order_numbers(F.col("query"))}).where("q <> ''")
-    pairs = q.join(entries, how="cross") if alike else staged(_pairs(q, entries)).join(q, "qid").join(entries, "doc_name")
+    text = F.coalesce("query", F.lit(""))
+    explicit = T.strip(F.coalesce("explicit_doc_name", F.lit(""))) if "explicit_doc_name" in questions.columns else F.lit("")
+    rows = questions.select("qid", text.alias("query"), explicit.alias("explicit"))
+    q = rows.where("explicit = ''").select("qid", "query", T.normalize_catalog_text(F.col("query")).alias("q"), T.extract_order_numbers(F.col("query")).alias("numbers")).where("q <> ''")
+    pairs = _pairs(q, entries)
     query, doc = F.col("q"), F.col("doc_norm")
     score = F.when(F.contains(doc, query), 0.45).otherwise(0.0) + F.when(F.contains(query, doc), 0.35).otherwise(0.0)
     ratios = None
     if alike:
-        ship(questions.sparkSession)
-        pairs = pairs.withColumns({
-            "r": fuzzy.ratio(F.when(fuzzy.bound(query, doc) >= 0.55, query), doc),
-            "rs": fuzzy.ratios(query, F.transform("aliases", lambda a: F.when(fuzzy.bound(query, a) >= 0.72, a).otherwise(""))),
-        })
-        score, ratios = score + F.when(F.col("r") >= 0.55, 0.4 * F.col("r")).otherwise(0.0), F.col("rs")
+        names, aliases = _similar(q, entries)
+        pairs = pairs.union(names.select("qid", "doc_name")).union(aliases.select("qid", "doc_name")).distinct()
+        score, ratios = score + F.coalesce(0.4 * F.col("ratio"), F.lit(0.0)), F.transform("aliases", lambda a: F.coalesce(F.col("ratios")[a], F.lit(0.0)))
+    pairs = staged(pairs).join(q, "qid").join(entries, "doc_name")
+    if alike:
+        pairs = pairs.join(names, ["qid", "doc_name"], "left").join(aliases, ["qid", "doc_name"], "left")
     score = score + _alias_score(query, F.col("aliases"), ratios) + 0.5 * F.size(F.array_intersect("numbers", "order_numbers"))
     for short, phrases in fixed.KNOWN_ALIASES.items():
         score = score + F.when(query.contains(short) & reduce(lambda a, b: a | b, (doc.contains(p) for p in phrases)), 0.55).otherwise(0.0)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_name")
     found = pairs.select("qid", "doc_name", F.round(score, 6).alias("score")).where("score > 0")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return ranked if "explicit_doc_name" not in questions.columns else ranked.union(_explicit(rows, entries))
+
+
+def _similar(q: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, doc_name, ratio) of names and (qid, doc_name, ratios) of aliases, a map, that are similar enough to count."""
+    names = staged(alike_strings(q.select(F.col("q").alias("asked")), entries.select(F.col("doc_norm").alias("text")), 0.55))
+    aliases = staged(alike_strings(q.select(F.col("q").alias("asked")), entries.select(F.explode("aliases").alias("text")), 0.72))
+    own = q.select("qid", F.col("q").alias("asked"))
+    by_name = names.join(entries.select("doc_name", F.col("doc_norm").alias("text")), "text").join(own, "asked").select("qid", "doc_name", "ratio")
+    each = entries.select("doc_name", F.explode(F.array_distinct("aliases")).alias("text"))
+    by_alias = aliases.join(each, "text").join(own, "asked").groupBy("qid", "doc_name").agg(F.map_from_entries(F.collect_list(F.struct("text", "ratio"))).alias("ratios"))
+    return by_name, by_alias
+
+
+def _explicit(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """The one candidate of each question that names its document."""
+    asked = rows.where("explicit <> ''").select("qid", "explicit", F.upper("explicit").alias("needle"))
+    names = entries.select("doc_name", F.upper("doc_name").alias("text"))
+    found = containing(asked.select("needle"), names.select("text")).join(names, "text").groupBy("needle").agg(F.min("doc_name").alias("first"))
+    exact = entries.select(F.col("doc_name").alias("explicit"), F.col("doc_name").alias("same"))
+    both = asked.join(found, "needle", "left").join(exact, "explicit", "left")
+    # Of the entries that fit, the first counts, whether it has the name itself or a longer one.
+    name = F.least("first", "same")
+    return both.select("qid", F.coalesce(name, "explicit").alias("doc_name"), F.when(name.isNotNull(), 1.0).otherwise(0.2).alias("score"), F.lit(1).alias("rank"))
 
 
 def _pairs(q: DataFrame, entries: DataFrame) -> DataFrame:
