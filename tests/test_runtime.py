@@ -292,6 +292,54 @@ def test_fuzzy_catalog_scores_equal_a_plain_version(spark, sf):
         assert [(round(a, 5), n) for a, n in rows] == [(round(a, 5), n) for a, n in want[k]]
 
 
+def test_knowledge_candidates_that_are_alike_equal_a_plain_version(spark, sf):
+    """Every question against every document with difflib; what else counts comes from the query that has SQL."""
+    plain, alike = ({(r["qid"], r["doc_id"]): r for r in QUERIES[n](spark, sf).collect()} for n in ("knowledge_candidates", "knowledge_candidates_alike"))
+    part = spark.read.parquet(f"{sf}/part.parquet").collect()
+    names = {f"d{min(r['p_partkey'] for r in part if r['p_name'] == n)}": n.lower() for n in {r["p_name"] for r in part}}
+    qids = {f"{r['p_type']} {r['p_name']}" for r in part} | {f"пункт 7.1 {r['p_name']}" for r in part}
+    for qid in sorted(qids)[::7]:
+        near = {d: SequenceMatcher(None, qid.lower().replace(".", " "), n).ratio() for d, n in names.items()}
+        got = {d: r for (q, d), r in alike.items() if q == qid}
+        for d, r in got.items():
+            said = [x for x in r["reasons"].split("|") if x.startswith("fuzzy_doc_name:")]
+            assert said == ([f"fuzzy_doc_name:{near[d]:.2f}"] if near[d] >= 0.55 else [])
+            own = plain.get((qid, d))
+            if own is not None and said and not own["reasons"].startswith(("topic", "abbr", "term")) and "|topic" not in own["reasons"]:
+                assert r["score"] >= own["score"]
+        least = min((r["score"] for r in got.values()), default=0)
+        assert all(d in got or 0.25 * x <= least + 1e-4 for d, x in near.items() if x >= 0.55)
+
+
+def test_alike_finds_every_pair(spark):
+    rng = random.Random(8)
+    say = lambda: "".join(rng.choice("abcd é") for _ in range(rng.randint(0, 14)))
+    left, right = [say() for _ in range(120)] + ["x" * 300, "x y" * 100], [say() for _ in range(90)] + ["x" * 290, "x y" * 99 + "z"]
+    one = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    for least in (0.55, 0.72, 0.95):
+        got = {(r["asked"], r["text"], r["ratio"]) for r in matching.alike(one(left, "asked"), one(right, "text"), least).collect()}
+        assert got == {(a, b, x) for a in left for b in right if a and b and (x := SequenceMatcher(None, a, b).ratio()) >= least}
+    assert matching.alike(one(left, "asked"), one([""], "text"), 0.5).collect() == []
+
+
+def test_strings_in_several_blocks_and_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_CHARS", 150)
+    one = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    long = "long " * 40
+    needles, texts = [long, long[:70], "long long", "é", "aa", ""] + [f"n{i}" for i in range(60)], [long + "end", "aaa é n7", "n1n12", "", "nothing"]
+    got = {(r["needle"], r["text"]) for r in matching.containing(one(needles, "needle"), one(texts, "text")).collect()}
+    assert got == {(n, t) for n in needles for t in texts if n and n in t}
+    near = {(r["asked"], r["text"]) for r in matching.alike(one(texts, "asked"), one(needles, "text"), 0.6).collect()}
+    assert near == {(a, b) for a in texts for b in needles if a and b and SequenceMatcher(None, a, b).ratio() >= 0.6}
+
+
+def test_explicit_document_names(spark):
+    entries = understanding.catalog(spark.createDataFrame([("Rules B", "b"), ("rules a", "a"), ("Other", "o")], "doc_name string, filename string"))
+    q = spark.createDataFrame([(1, "x", "RULES"), (2, "x", "Other"), (3, "x", " none "), (4, "other", None), (5, "other", "")], "qid int, query string, explicit_doc_name string")
+    got = {r["qid"]: (r["doc_name"], r["score"], r["rank"]) for r in understanding.catalog_candidates(q, entries, alike=False).collect()}
+    assert got[1] == ("Rules B", 1.0, 1) and got[2] == ("Other", 1.0, 1) and got[3] == ("none", 0.2, 1) and got[4][0] == got[5][0] == "Other"
+
+
 def test_predicates_and_names(spark):
     assert predicates.expand_doc_name_variants({"doc_name": "a"}) == {"doc_name": ["a", "A"]} and evaluation.METRICS
     m = spark.createDataFrame([("1", "f|x.txt", "title_fallback", "s", "T\n" + "y" * 200, "R", "", "A"), ("2", "g", "", "s", "t", "r", "", "")], "doc_key string, filename string, manifest_kind string, metadata_source string, doc_title_full string, doc_reg string, doc_date string, authority string")

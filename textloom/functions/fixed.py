@@ -153,12 +153,14 @@ REQUIRED_PAYLOAD = (
 MOST_ABBREVIATIONS, MOST_TERMS, MOST_GRAPH_ABBREVIATIONS = 2500, 4000, 1500
 ABBREVIATION = r"^[A-Za-zА-Яа-яЁё0-9.\-]+$"
 NO_TERM = ("Таблице", "Стандарт [")
+LEAST_ALIKE = 0.55
 KNOWLEDGE_SCORES = {
     "doc_name_contains_query": 0.45,
     "query_contains_doc_name": 0.35,
     "doc_name_token_overlap": 0.5,
     "annotation_contains_query": 0.35,
     "annotation_token_overlap": 0.45,
+    "fuzzy_doc_name": 0.25,
     "topic_alias": 0.72,
     "abbreviation": 0.48,
     "term": 0.42,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..sources.tables import staged
+from .matching import alike as alike_strings
 from .matching import containing, sharing_tokens
 
 
@@ -84,7 +85,7 @@ def _digits(share: Column) -> Column:
     return F.format_string("%.2f", F.bround(share, 2))
 
 
-def _own_scores(q: DataFrame, d: DataFrame, in_q: DataFrame, in_d: DataFrame) -> DataFrame:
+def _own_scores(q: DataFrame, d: DataFrame, in_q: DataFrame, in_d: DataFrame, alike: bool) -> DataFrame:
     """Scores of documents by their own names and annotations: qid, document, score and reasons."""
     w = fixed.KNOWLEDGE_SCORES
     parts = [
@@ -94,6 +95,9 @@ def _own_scores(q: DataFrame, d: DataFrame, in_q: DataFrame, in_d: DataFrame) ->
         ("annotation_contains_query", _named(in_d, "q", "note").withColumn("part", F.lit(w["annotation_contains_query"])), None),
         ("annotation_token_overlap", _share(q, "q", d, "note", 0.45, in_d), w["annotation_token_overlap"]),
     ]
+    if alike:
+        near = staged(alike_strings(q.select(F.col("q").alias("asked")), d.select(F.col("name").alias("text")), fixed.LEAST_ALIKE))
+        parts.append(("fuzzy_doc_name", near.select(F.col("asked").alias("q"), F.col("text").alias("name"), F.col("ratio").alias("share")), w["fuzzy_doc_name"]))
     rows = []
     for i, (reason, pairs, weight) in enumerate(parts):
         value = F.col("part") if weight is None else F.col("share") * weight
@@ -114,12 +118,17 @@ def _topic_documents(topics: DataFrame, d: DataFrame, in_d: DataFrame) -> DataFr
     return holds("doc_names").join(holds("not_doc_names"), ["topic", "doc_id"], "left_anti")
 
 
-def knowledge_candidates(questions: DataFrame, documents: DataFrame, terms: DataFrame, abbreviations: DataFrame, topics: DataFrame, limit: int = 12) -> DataFrame:
+def knowledge_candidates(questions: DataFrame, documents: DataFrame, terms: DataFrame, abbreviations: DataFrame, topics: DataFrame, limit: int = 12, alike: bool = False) -> DataFrame:
     """(qid, doc_id, doc_name, annotation, score, reasons, rank): the best documents of each question (qid, query).
 
     A document counts by its own name and annotation, by a topic or abbreviation that the question names, or by a term
     that both name. The best of these scores counts, with its reasons and those of what was tried after it; equal
-    scores go by what was tried first. Names that are merely alike do not count here.
+    scores go by what was tried first. With ``alike``, a name that is similar to the question counts, too.
+
+    A topic, an abbreviation or a term may stand in any number of documents, and any number of questions may name it. Of
+    documents that a question reaches only so, those after the first ``limit`` of the item cannot be among its best:
+    they score the same and come later. So only the first are paired with questions, and then all that the best ones
+    are reached by is looked up by question and document.
     """
     # What many joins read is written once.
     q = staged(questions.select("qid", T.normalize_catalog_text(F.coalesce("query", F.lit(""))).alias("q")).where("q <> ''"))
@@ -135,16 +144,29 @@ def knowledge_candidates(questions: DataFrame, documents: DataFrame, terms: Data
     tokens = lambda rows, c: rows.select(F.explode(_tokens(F.col(c))).alias("token"))
     in_d = staged(containing(_together((q, "q"), (tokens(q, "q"), "token"), (parts, "part"), (a, "head"), (tokens(a, "expansion"), "token"), (n, "label"), name="needle"), _together((d, "name"), (d, "note"), (d, "both"), name="text")))
 
-    own = staged(_own_scores(q, d, in_q, in_d)).select("qid", "doc_id", "score", "reasons", F.lit(0).alias("family"), F.lit(0).cast("long").alias("item"))
-    named = words.join(_named(in_q, "word", "q"), "word").join(q, "q").select("topic", "qid").distinct()
-    said = lambda kind, c: F.array(F.concat(F.lit(f"{kind}:"), c))
-    one = lambda rows, kind, c, family, item: rows.select("qid", "doc_id", F.lit(fixed.KNOWLEDGE_SCORES[kind]).alias("score"), said(kind, c).alias("reasons"), F.lit(family).alias("family"), F.col(item).cast("long").alias("item"))
-    by_topic = one(named.join(_topic_documents(t, d, in_d), "topic").join(t.select("topic", "phrase"), "topic"), "topic_alias", F.col("phrase"), 1, "topic")
-    spelled = _named(in_d, "head", "both").join(a, "head").select("item", "both").union(_share(a, "expansion", d, "both", 0.35, in_d).join(a, "expansion").select("item", "both")).distinct()
-    by_short = one(a.join(_named(in_q, "short", "q"), "short").join(q, "q").join(spelled, "item").join(d, "both"), "abbreviation", F.col("short"), 2, "item")
-    by_term = one(n.join(_named(in_q, "label", "q"), "label").join(q, "q").join(_named(in_d, "label", "both"), "label").join(d, "both"), "term", F.col("label"), 3, "item")
-
-    tried = reduce(DataFrame.unionByName, (own, by_topic, by_short, by_term)).where("score > 0").groupBy("qid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("family", "item", "score", "reasons"))).alias("all"))
+    own = staged(_own_scores(q, d, in_q, in_d, alike)).select("qid", "doc_id", "score", "reasons", F.lit(0).alias("family"), F.lit(0).cast("long").alias("item"))
+    # What questions name, and which documents hold it: (qid, family, item) and (family, item, doc_id).
+    kind = lambda rows, family, item, *more: rows.select(*more, F.lit(family).alias("family"), F.col(item).cast("long").alias("item"))
+    by_topic = words.join(_named(in_q, "word", "q"), "word").join(q, "q")
+    by_short = a.join(_named(in_q, "short", "q"), "short").join(q, "q")
+    by_term = n.join(_named(in_q, "label", "q"), "label").join(q, "q")
+    named = staged(reduce(DataFrame.union, (kind(by_topic, 1, "topic", "qid"), kind(by_short, 2, "item", "qid"), kind(by_term, 3, "item", "qid"))).distinct())
+    spelled = _named(in_d, "head", "both").join(a, "head").select("item", "both").union(_share(a, "expansion", d, "both", 0.35, in_d).join(a, "expansion").select("item", "both"))
+    held = (kind(_topic_documents(t, d, in_d), 1, "topic", "doc_id"), kind(spelled.join(d, "both"), 2, "item", "doc_id"), kind(n.join(_named(in_d, "label", "both"), "label").join(d, "both"), 3, "item", "doc_id"))
+    holding = staged(reduce(DataFrame.union, held).distinct().join(d.select("doc_id", "place"), "doc_id"))
+    said = lambda rows, what, c, family, item: kind(rows, family, item, F.lit(fixed.KNOWLEDGE_SCORES[what]).alias("score"), F.array(F.concat(F.lit(f"{what}:"), c)).alias("reasons"))
+    items = reduce(DataFrame.union, (said(t, "topic_alias", F.col("phrase"), 1, "topic"), said(a, "abbreviation", F.col("short"), 2, "item"), said(n, "term", F.col("label"), 3, "item")))
+    of = ["family", "item"]
+    first = holding.withColumn("__n", F.row_number().over(Window.partitionBy(*of).orderBy("place", "doc_id"))).where(F.col("__n") <= limit).select(*of, "doc_id")
+    pairs = own.where("score > 0").select("qid", "doc_id").union(named.join(first, of).select("qid", "doc_id")).distinct()
+
+    def reached(pairs: DataFrame) -> DataFrame:
+        """All that pairs of question and document have in common, with their own scores."""
+        shared = pairs.join(named, "qid").join(holding.select(*of, "doc_id"), [*of, "doc_id"]).join(items, of).select("qid", "doc_id", "score", "reasons", *of)
+        both = own.join(pairs, ["qid", "doc_id"], "left_semi").unionByName(shared)
+        return both.where("score > 0").groupBy("qid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("family", "item", "score", "reasons"))).alias("all"))
+
+    tried = reached(pairs)
     best = F.aggregate(
         F.slice("all", F.lit(2), F.size("all")), F.struct(F.col("all")[0]["score"].alias("score"), F.col("all")[0]["reasons"].alias("reasons")),
         lambda s, x: F.when(x["score"] > s["score"], F.struct(x["score"].alias("score"), x["reasons"].alias("reasons"))).otherwise(F.struct(s["score"].alias("score"), F.array_distinct(F.concat(s["reasons"], x["reasons"])).alias("reasons"))))

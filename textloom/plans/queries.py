@@ -366,6 +366,13 @@ def knowledge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "doc_id", "score", F.array_join("reasons", "|").alias("reasons"), "rank")
 
 
+def knowledge_candidates_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``knowledge_candidates``, where names that are merely similar count, too."""
+    k = _knowledge(spark, sf_dir)
+    found = knowledge.knowledge_candidates(_planned(spark, sf_dir)[0], k["documents"], k["terms"], k["abbreviations"], k["topics"], alike=True)
+    return found.select("qid", "doc_id", "score", F.array_join("reasons", "|").alias("reasons"), "rank")
+
+
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _knowledge(spark, sf_dir)
     return knowledge.terms_in_queries(_planned(spark, sf_dir)[0], k["terms"], k["abbreviations"], k["topics"]).select("qid", F.array_join("matched_terms", "|").alias("terms"))
@@ -445,6 +452,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, payload_search_indexed, point_lookup, vector_topk, vector_topk_filtered, rrf_fusion,
         hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
         comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_upsert_committed, index_schema_diff, index_verify, index_defects,
-        knowledge_candidates, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
+        knowledge_candidates, knowledge_candidates_alike, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
     )
 }
