@@ -15,6 +15,8 @@ from . import answers, fusion, retrieval, understanding
 from . import predicates as P
 
 _NONE = "array<string>"
+#: Runs of a failing tool for each halving of its questions, after which the tool counts as broken.
+RUNS = 8
 
 
 def requests(questions: DataFrame, profile: str = "balanced", limit: int = 10) -> DataFrame:
@@ -84,8 +86,8 @@ def run_tools(planned: DataFrame, tools: Mapping[str, Callable[[DataFrame], Data
 
     ``tools`` gives for each name a function from (qid, query, filters, limit) to hits (qid, rank, score and the chunk's
     columns). Every query of a question is a row of its own, and a tool sees all of them at once; several lists of one
-    question are merged. A tool that fails is left out, and every question that it was for is told; ``runs`` has qid,
-    tool, ran and warning.
+    question are merged. Questions that a tool fails for are told, and the others keep their hits (see ``isolated``);
+    ``runs`` has qid, tool, ran and warning.
     """
     spark = planned.sparkSession
     steps = staged(planned.select("qid", "filters", "limit", F.posexplode("plan").alias("priority", "step")).select("qid", "filters", "limit", "priority", F.col("step.tool").alias("tool"), F.col("step.queries").alias("queries")))
@@ -96,24 +98,58 @@ def run_tools(planned: DataFrame, tools: Mapping[str, Callable[[DataFrame], Data
         needs = F.when((F.size("queries") == 0) & (F.col("tool") == "point"), F.array(F.lit(""))).otherwise(F.col("queries"))
         each = own.select("qid", "filters", "limit", F.posexplode(needs).alias("query_no", "query"))
         key = each.select(F.struct("qid", "query_no").alias("qid"), "query", "filters", "limit")
-        warning = F.when(F.size(needs) == 0, F.lit(f"{name} skipped: empty query list"))
-        try:
-            if name not in tools:
-                raise LookupError
-            found = retrieval.with_item_fields(tools[name](key))
-            rest = [c for c in found.columns if c not in ("qid", "tool", "rank", "score")]
-            hits.append(staged(found.select(F.col("qid.qid").alias("qid"), F.lit(name).alias("tool"), "rank", "score", *rest, F.col("qid.query_no").alias("query_no"))))
-        except LookupError:
-            warning = F.lit(f"unknown runtime tool: {name}")
-        except Exception as e:  # a tool's own error, whatever it is, must not end the others
-            warning = F.lit(f"{name} failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
-        runs.append(own.select("qid", "tool", "priority", warning.isNull().alias("ran"), warning.alias("warning")))
+        skipped = F.when(F.size(needs) == 0, F.lit(f"{name} skipped: empty query list"))
+        if name not in tools:
+            runs.append(own.select("qid", "tool", "priority", F.lit(False).alias("ran"), F.lit(f"unknown runtime tool: {name}").alias("warning")))
+            continue
+        found, failed = isolated(tools[name], key)
+        for part in found:
+            rest = [c for c in part.columns if c not in ("qid", "tool", "rank", "score")]
+            hits.append(part.select(F.col("qid.qid").alias("qid"), F.lit(name).alias("tool"), "rank", "score", *rest, F.col("qid.query_no").alias("query_no")))
+        told = own.withColumn("error", F.lit(None).cast("string"))
+        if failed:
+            told = own.join(reduce(DataFrame.unionByName, failed), "qid", "left")
+        warning = F.coalesce(F.concat(F.lit(f"{name} failed: "), F.col("error")), skipped)
+        runs.append(told.select("qid", "tool", "priority", warning.isNull().alias("ran"), warning.alias("warning")))
     nothing = steps.select("qid", "tool", "priority", F.lit(False).alias("ran"), F.lit(None).cast("string").alias("warning")).limit(0)
     empty = spark.createDataFrame([], "tool string, rank int, score double, chunk_id string, doc_name string, point_number string, text string, query_no int").join(planned.select("qid").limit(0))
     merged = retrieval.merge_query_results(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), hits)) if hits else empty
     return merged.drop("query_no"), reduce(DataFrame.unionByName, runs, nothing)
 
 
+def isolated(tool: Callable[[DataFrame], DataFrame], key: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Hits of all questions that a tool can answer, and (qid, error) of the others.
+
+    All questions run at once. If that fails, they are halved by a hash of their qid, again and again, until what fails
+    is one question: the others keep their hits. A few bad questions among n take some 2 log2 n runs each. After
+    RUNS * log2 n runs the tool itself is taken to be broken, and what has not run yet has its error.
+    """
+
+    def run(part: DataFrame) -> DataFrame:
+        return staged(retrieval.with_item_fields(tool(part)))
+
+    half = lambda level, rest: F.pmod(F.xxhash64("qid.qid"), F.lit(1 << level)) == rest
+    found, failed, waiting, left, error = [], [], [(0, 0)], 1, ""
+    while waiting:
+        level, rest = waiting.pop(0)
+        part = key.where(half(level, rest)) if level else key
+        if left:
+            try:
+                found.append(run(part))
+                left -= 1 if level else 0
+                continue
+            except Exception as e:  # a tool's own error, whatever it is, must not end the others
+                error = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+            ids = part.select(F.col("qid.qid").alias("qid")).distinct()
+            n = len(ids.limit(2).collect()) if level else ids.count()
+            left = left - 1 if level else RUNS * max(1, n.bit_length())
+            if n > 1 and level < 62:
+                waiting += [(level + 1, rest), (level + 1, rest + (1 << level))]
+                continue
+        failed.append(part.select(F.col("qid.qid").alias("qid"), F.lit(error).alias("error")).distinct())
+    return found, failed
+
+
 def run_runtime(asked: DataFrame, tools: Mapping[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """(items, report) of requests.
 

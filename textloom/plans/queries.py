@@ -436,6 +436,18 @@ def runtime_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runtime(spark, sf_dir)[0].select("qid", "tool", "rank", "chunk_id", "doc_name")
 
 
+def runtime_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 asks for itself, and the tool fails for one in twenty: hits, and who was told of an error."""
+    c = _vector_chunks(spark, sf_dir)
+    bad = F.col("qid.qid") % 1000 == 450
+    tool = lambda a: retrieval.payload_search(a.withColumn("query", F.when(bad, F.raise_error(F.lit("no such filter"))).otherwise(F.col("query"))), c)
+    step = F.struct(F.lit("payload").alias("tool"), F.array(F.concat(F.lit("vector "), F.col("qid").cast("string"))).alias("queries"), F.lit("").alias("reason"))
+    q = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.create_map().cast("map<string,array<string>>").alias("filters"), F.lit(5).alias("limit")).withColumn("plan", F.array(step))
+    hits, runs = runtime.run_tools(q, {"payload": tool})
+    n = hits.groupBy("qid").agg(F.count("*").alias("hits"))
+    return runs.join(n, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("warning").isNotNull().alias("failed"))
+
+
 def runtime_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _runtime(spark, sf_dir)[1]
     return r.select("qid", "profile", F.array_join("selected_tools", ",").alias("tools"), "tools_planned", "tools_succeeded", "items_returned", "fusion", "empty_reason", F.array_join("warnings", "|").alias("warnings"))
@@ -452,6 +464,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, payload_search_indexed, point_lookup, vector_topk, vector_topk_filtered, rrf_fusion,
         hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
         comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_upsert_committed, index_schema_diff, index_verify, index_defects,
-        knowledge_candidates, knowledge_candidates_alike, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
+        knowledge_candidates, knowledge_candidates_alike, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_isolated, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
     )
 }
