@@ -23,7 +23,7 @@ from . import predicates as P
 from .retrieval import ITEM_FIELDS
 
 #: Records that a bucket should have, and the most buckets; a first build or a rebuild chooses their number by it.
-BUCKET_ROWS, MOST_BUCKETS = 16_384, 4_096
+BUCKET_ROWS, MOST_BUCKETS = 8_192, 4_096
 #: Records of a bucket for each part of its postings, and the most parts of a bucket.
 PART_ROWS, PARTS = 4_096, 64
 #: Places of one block of postings.
@@ -136,7 +136,7 @@ def write_version(records: DataFrame, path: str, *, rebuild: bool = False, remov
     before = None if rebuild else manifest(spark, path)
     version = 1 + max([0, *(n for kind in ("manifests", "records", "postings", "incoming") for n in _numbers(spark, f"{path}/{kind}"))])
     # Encoded once: both the choice of buckets and the records read this table.
-    records.select("id", "vector", "payload").write.parquet(f"{path}/incoming/version={version}")
+    records.select("id", "vector", "payload").write.option("compression", "zstd").parquet(f"{path}/incoming/version={version}")
     new = spark.read.parquet(f"{path}/incoming/version={version}")
     if before:
         buckets, parts = before["buckets"], before["parts"]
@@ -155,7 +155,7 @@ def write_version(records: DataFrame, path: str, *, rebuild: bool = False, remov
     order = Window.partitionBy("bucket").orderBy("id")
     # Dealt out by bucket once: that is enough for both windows and for the files.
     once = own.repartition("bucket").withColumn("__n", F.row_number().over(Window.partitionBy("bucket", "id").orderBy(F.xxhash64("payload")))).where("__n = 1").drop("__n")
-    once.withColumn("place", (F.row_number().over(order) - 1).cast("int")).write.partitionBy("bucket").parquet(f"{path}/records/version={version}")
+    once.withColumn("place", (F.row_number().over(order) - 1).cast("int")).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/records/version={version}")
     fs, p = _fs(spark, f"{path}/incoming/version={version}")
     fs.delete(p, True)
     _write_postings(spark, path, version, parts, expected)
@@ -174,12 +174,13 @@ def _write_postings(spark: SparkSession, path: str, version: int, parts: int, ex
         if _numbers(spark, f"{path}/records/version={version}"):
             raise
         return  # nothing is left in the buckets that were touched
-    each = rows.select("bucket", "place", F.explode(payload_terms(rows, expected)).alias("t")).select("bucket", part_of(F.col("t.field"), F.col("t.value"), parts).alias("part"), "t.field", "t.value", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "place")
-    # A task brings together the places that it has of a value before anything moves. A block has at most BLOCK places.
+    # Dealt out by bucket, a record's terms in one row: that is enough for the groups and for the files. A block has at most BLOCK places.
+    each = rows.select("bucket", "place", payload_terms(rows, expected).alias("terms")).repartition("bucket").select("bucket", "place", F.explode("terms").alias("t"))
+    each = each.select("bucket", part_of(F.col("t.field"), F.col("t.value"), parts).alias("part"), "t.field", "t.value", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "place")
     blocks = each.groupBy("bucket", "part", "field", "value", "block").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    blocks = blocks.select("bucket", "part", "field", "value", "block", F.size("places").alias("n"), F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last"), "places").repartition("bucket", "part")
+    blocks = blocks.select("bucket", "part", "field", "value", "block", F.size("places").alias("n"), F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last"), "places")
     out = blocks.sortWithinPartitions("bucket", "part", "field", "value", "block").write.partitionBy("bucket", "part")
-    out.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#places.list.element", "false").parquet(f"{path}/postings/version={version}")
+    out.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#places.list.element", "false").parquet(f"{path}/postings/version={version}")
 
 
 # ---- Reading

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, ids
 from ..functions import text as T
-from ..operators import answers, chunking, evaluation, fusion, index_store, indexing, knowledge, metadata, planning, predicates, quality, retrieval, runtime, structure, understanding
+from ..operators import answers, chunking, evaluation, fusion, index_store, indexing, knowledge, metadata, planning, predicates, quality, retrieval, runtime, structure, understanding, vector_cells
 from ..sources import tables
 from ..streaming import upsert
 
@@ -158,6 +158,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_hits(spark, sf_dir).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``vector_topk``, from vectors stored by cell."""
+    v, path = read(spark, sf_dir, "embeddings"), tables.scratch_path(spark, "cells")
+    vector_cells.store_cells(v, path, id_col="vec_id")
+    found = vector_cells.search_cells(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), path)
+    return found.select("qid", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_hits(spark, sf_dir, same=True, limit=5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -461,7 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         paragraphs_clean, heading_paths, point_units, marked_text, html_paragraphs, split_chunks, index_point_ids, token_estimate_stats, chunk_penalties, worst_chunks, quality_report,
-        blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, payload_search_indexed, point_lookup, vector_topk, vector_topk_filtered, rrf_fusion,
+        blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, payload_search_indexed, point_lookup, vector_topk, vector_topk_cells, vector_topk_filtered, rrf_fusion,
         hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
         comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_upsert_committed, index_schema_diff, index_verify, index_defects,
         knowledge_candidates, knowledge_candidates_alike, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_isolated, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,

@@ -337,5 +337,5 @@ SELECT qid, n AS candidates, CASE WHEN n > 0 THEN '' WHEN odd OR asked OR pointe
 }
 assert fixed.RRF_K == 60  # the SQL above has it written out
 # Other ways to the same rows.
-ORACLES |= {"payload_search_indexed": ORACLES["payload_search"], "index_upsert_committed": ORACLES["index_upsert"]}
+ORACLES |= {"payload_search_indexed": ORACLES["payload_search"], "index_upsert_committed": ORACLES["index_upsert"], "vector_topk_cells": ORACLES["vector_topk"]}
 ORACLES["runtime_isolated"] = "SELECT vec_id AS qid, (vec_id % 1000 <> 450)::BIGINT AS hits, vec_id % 1000 = 450 AS failed FROM embeddings WHERE vec_id % 50 = 0"
