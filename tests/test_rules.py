@@ -202,3 +202,49 @@ def test_streaming_upsert_keeps_the_newest_version(spark, tmp_path):
     spark.createDataFrame([(1, "new text", "s"), (3, "more", "s")], schema).write.mode("append").parquet(source)
     run()
     assert {r["doc_key"]: r["text"] for r in upsert.latest(spark, store).collect()} == {1: "new text", 2: "stays", 3: "more"}
+
+
+def test_streams_of_emptied_late_and_repeated_documents(spark, tmp_path):
+    schema = "doc_id long, text string, source string, at long"
+    source, store = str(tmp_path / "src"), str(tmp_path / "store")
+    batches = [
+        [(1, "old secret text", "s", 1), (2, "x", "s", 5), (3, "stays", "s", 1)],
+        [(1, "", "s", 2), (2, "late and older", "s", 4), (2, "y", "s", 6), (2, "z", "s", 5), (4, None, "s", 1)],
+        [(3, "stays", "s", 1), (5, "a", "s", None), (5, "b", "s", 0), (1, "late", "s", 1)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(source)
+        upsert.ingest(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "cp"), version="at").awaitTermination(120)
+    got = {r["doc_key"]: r["text"] for r in upsert.latest(spark, store).collect()}
+    assert got == {2: "y", 3: "stays", 5: "b"}
+    all_ = upsert.newest_documents(spark.createDataFrame([r for b in batches for r in b], schema), "at")
+    assert got == {r["doc_id"]: r["text"] for r in all_.where("text <> ''").collect()}
+
+
+def test_sinks_keep_the_old_table_when_a_write_fails(spark, tmp_path):
+    path = str(tmp_path / "report")
+    old = spark.createDataFrame([(1,)], "a long")
+    tables.replace_json(old, path)
+    with pytest.raises(Exception, match="odd"):
+        tables.replace_json(old.select(F.when(F.col("a") == 1, F.raise_error(F.lit("odd"))).alias("a")), path)
+    assert [r["a"] for r in spark.read.json(path).collect()] == [1]
+    tables.replace_json(spark.read.json(path).select((F.col("a") + 1).alias("a")), path)  # may read what it replaces
+    assert [r["a"] for r in spark.read.json(path).collect()] == [2]
+
+
+def test_chunk_files_of_other_shapes(spark, tmp_path):
+    chunk = {"chunk_id": "c", "text": "t", "payload": {"doc_name": "D", "text": "own"}}
+    for name, body in (("array", [chunk]), ("object", {"chunks": [chunk], "n": 1})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
+        r = tables.read_chunks(spark, str(tmp_path / f"{name}.json")).first().asDict()
+        assert (r["chunk_id"], r["doc_name"], r["text"]) == ("c", "D", "own")
+    for name, body in (("other", {"rows": [1]}), ("scalar", {"chunks": "none"})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body))
+        with pytest.raises(ValueError, match="no chunks"):
+            tables.read_chunks(spark, str(tmp_path / f"{name}.json"))
+
+
+def test_catalog_by_the_first_row(spark):
+    rows = [(3, "A", "late.txt", "x"), (1, " A ", "first 9.txt", None), (0, "B", "b.txt", " b1 "), (5, " ", "c.txt", "c")]
+    got = {r["doc_name"]: (r["catalog_id"], r["filename"], r["doc_id"]) for r in understanding.catalog(spark.createDataFrame(rows, "n int, doc_name string, filename string, doc_id string"), doc_id="doc_id", order="n").collect()}
+    assert got == {"A": ("doc_2", "first 9.txt", ""), "B": ("b1", "b.txt", "b1")}

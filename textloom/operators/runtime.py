@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..sources.tables import staged
+from ..sources.tables import replace_json, staged
 from . import answers, fusion, retrieval, understanding
 from . import predicates as P
 
@@ -228,5 +228,5 @@ def ingest_summary(docs: DataFrame) -> DataFrame:
 
 
 def save_report(report: DataFrame, path: str) -> None:
-    """A report as JSON lines; a failed write leaves no half of one behind, as Spark's commit moves it into place."""
-    report.write.mode("overwrite").json(path)
+    """A report as JSON lines in place of the one before, which stays if the write fails."""
+    replace_json(report, path)

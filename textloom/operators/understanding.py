@@ -17,10 +17,24 @@ from .matching import containing, sharing_tokens
 LEAST_CONFIDENCE, LEAST_GAP = 0.55, 0.08
 
 
-def catalog(docs: DataFrame, name: str = "doc_name", filename: str = "filename") -> DataFrame:
-    """One row for each document name: doc_name, filename, aliases, order_numbers and doc_norm."""
-    first = docs.where(F.coalesce(name, F.lit("")) != "").groupBy(F.col(name).alias("doc_name")).agg(F.min(F.coalesce(filename, F.lit(""))).alias("filename"))
-    return first.select("doc_name", "filename", T.aliases(F.col("doc_name"), F.col("filename")).alias("aliases"), T.extract_order_numbers(F.col("doc_name"), F.col("filename")).alias("order_numbers"), T.normalize_catalog_text(F.col("doc_name")).alias("doc_norm"))
+def catalog(docs: DataFrame, name: str = "doc_name", filename: str = "filename", *, doc_id: str | None = None, order: str | None = None) -> DataFrame:
+    """One row for each document name: doc_name, filename, aliases, order_numbers and doc_norm.
+
+    With ``order``, a column that says which row comes first, names, files and ids are stripped, each name has the file
+    and ``doc_id`` of its first row, and a catalog_id: its id, or doc_ and the number of the name in the order of first
+    rows. Without it, a name has its smallest file. Only names are numbered in one place, not rows.
+    """
+    clean = (lambda c: T.strip(F.coalesce(F.col(c).cast("string"), F.lit("")))) if order else (lambda c: F.coalesce(c, F.lit("")))
+    rows = docs.where(clean(name) != "").select((clean(name) if order else F.col(name)).alias("doc_name"), clean(filename).alias("filename"), (clean(doc_id) if doc_id else F.lit("")).alias("doc_id"), *([F.col(order).alias("__order")] if order else []))
+    more = []
+    if order:
+        first = rows.groupBy("doc_name").agg(F.min(F.struct("__order", "filename", "doc_id")).alias("f")).select("doc_name", "f.*")
+        number = F.row_number().over(Window.orderBy("__order", "doc_name")).cast("string")
+        first = first.withColumn("catalog_id", F.coalesce(F.nullif("doc_id", F.lit("")), F.concat(F.lit("doc_"), number)))
+        more = ["catalog_id", "doc_id"]
+    else:
+        first = rows.groupBy("doc_name").agg(F.min("filename").alias("filename"))
+    return first.select("doc_name", "filename", T.aliases(F.col("doc_name"), F.col("filename")).alias("aliases"), T.extract_order_numbers(F.col("doc_name"), F.col("filename")).alias("order_numbers"), T.normalize_catalog_text(F.col("doc_name")).alias("doc_norm"), *more)
 
 
 def _alias_score(query: Column, aliases: Column, ratios: Column | None) -> Column:

@@ -223,6 +223,13 @@ def catalog_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_questions(spark, sf_dir)[1].select("doc_name", F.array_join("aliases", "|").alias("aliases"), F.array_join("order_numbers", "|").alias("order_numbers"))
 
 
+def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of all documents by source and language, each with the file and id of its first document; every other has no id."""
+    d = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    named = d.select("doc_id", F.concat_ws(" ", F.lit(" N 7"), "source", F.lit("in"), "lang").alias("doc_name"), F.concat("doc_id", F.lit(".txt")).alias("filename"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), "doc_id")).alias("own"))
+    return understanding.catalog(named, doc_id="own", order="doc_id").select("catalog_id", "doc_name", "filename", "doc_id", F.array_join("order_numbers", "|").alias("order_numbers"))
+
+
 def catalog_score_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.catalog_candidates(*_part_questions(spark, sf_dir), alike=False)
 
@@ -470,7 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         paragraphs_clean, heading_paths, point_units, marked_text, html_paragraphs, split_chunks, index_point_ids, token_estimate_stats, chunk_penalties, worst_chunks, quality_report,
         blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, payload_search_indexed, point_lookup, vector_topk, vector_topk_cells, vector_topk_filtered, rrf_fusion,
-        hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
+        hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_entries, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
         comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_upsert_committed, index_schema_diff, index_verify, index_defects,
         knowledge_candidates, knowledge_candidates_alike, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_isolated, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
     )

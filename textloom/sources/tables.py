@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 _NOISE = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 _BLOCK = r"(?s)<h[1-6](?: [^>]*)?>.*?</h[1-6]>|<p(?: [^>]*)?>.*?</p>"
@@ -96,16 +97,46 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replace_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines at ``path``, in place of what is there.
+
+    They are written beside it, whole, before the old table moves away and goes: a failed write leaves the old one, and
+    what ``rows`` reads may be the old one itself.
+    """
+    spark, beside = rows.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows.write.json(f"{beside}.new")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place(path)) and not fs.rename(place(path), place(f"{beside}.old")):
+        raise OSError(f"cannot move {path} away; the new table is at {beside}.new")
+    if not fs.rename(place(f"{beside}.new"), place(path)):
+        raise OSError(f"cannot move {beside}.new to {path}; the old table is at {beside}.old")
+    fs.delete(place(f"{beside}.old"), True)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunks as JSON lines: schema_version, chunk_id, text and all other columns as payload."""
     rest = [c for c in chunks.columns if c not in ("schema_version", "chunk_id", "text")]
     version = F.col("schema_version") if "schema_version" in chunks.columns else F.lit("chunks_v1")
-    chunks.select(version.alias("schema_version"), "chunk_id", "text", F.struct(*rest).alias("payload")).write.mode("overwrite").json(path)
+    replace_json(chunks.select(version.alias("schema_version"), "chunk_id", "text", F.struct(*rest).alias("payload")), path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_chunks`` wrote, with flat columns again."""
-    return spark.read.json(path).select("schema_version", "chunk_id", "text", "payload.*")
+    """Chunks with flat columns: what ``write_chunks`` wrote, or files that end in .json with an array of chunks or an object with ``chunks``.
+
+    A file of another shape is an error. Payload columns win over columns of the chunk itself, as do those of a chunk
+    without payload.
+    """
+    rows = spark.read.option("multiLine", path.endswith(".json")).option("mode", "FAILFAST").json(path)
+    if "chunks" in rows.columns:
+        if not isinstance(rows.schema["chunks"].dataType, ArrayType):
+            raise ValueError(f"no chunks in {path}")
+        rows = rows.select(F.explode("chunks").alias("c")).select("c.*")
+    if not {"chunk_id", "text"} & set(rows.columns):
+        raise ValueError(f"no chunks in {path}")
+    inner = rows.schema["payload"].dataType.fieldNames() if "payload" in rows.columns else []
+    outer = [c for c in rows.columns if c != "payload" and c not in inner]
+    return rows.select(*(F.col(f"`{c}`") for c in outer), *(F.col(f"payload.`{c}`") for c in inner))
 
 
 ENTRY = "catalog_id string, doc_name string, filename string, doc_id string, aliases array<string>, order_numbers array<string>"
@@ -122,7 +153,7 @@ def there(spark: SparkSession, path: str) -> bool:
 def write_catalog(entries: DataFrame, path: str) -> None:
     """Catalog entries as JSON lines."""
     kinds = dict(x.strip().split(" ") for x in ENTRY.split(","))
-    entries.select(*((F.col(c) if c in entries.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())).write.mode("overwrite").json(path)
+    replace_json(entries.select(*((F.col(c) if c in entries.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())), path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
