@@ -122,3 +122,30 @@ def test_two_writers_of_one_version(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         index_store._commit(spark, path, found)
     assert index_store.manifest(spark, path) == found
+
+
+def test_a_text_is_encoded_once(spark, tmp_path):
+    from textloom.functions import fixed
+
+    path, count = str(tmp_path / "index"), spark.sparkContext.accumulator(0)
+
+    def load():
+        encode = indexing.word_encoder()
+
+        def counted(texts):
+            count.add(len(texts))
+            return encode(texts)
+
+        return counted
+
+    keys = F.array(*map(F.lit, fixed.REQUIRED_PAYLOAD))
+    c = chunks(spark, 60).withColumn("text", F.concat(F.lit("text "), F.conv(F.right("chunk_id", F.lit(1)), 36, 10))).withColumn("payload_keys", keys)
+    assert indexing.build_index(c, load, path, encoder="words 1").isEmpty() and count.value == 10
+    plain = str(tmp_path / "plain")
+    indexing.build_index(c, indexing.word_encoder, plain)
+    vectors = lambda p: sorted((r["id"], r["vector"]) for r in indexing.read_index(spark, p).collect())
+    assert vectors(path) == vectors(plain)
+    changed = c.withColumn("text", F.when(F.col("chunk_id") == "c7", "another text").otherwise(F.col("text")))
+    assert indexing.build_index(changed, load, path, encoder="words 1").isEmpty() and count.value == 11
+    assert indexing.build_index(changed, load, path, encoder="words 2").isEmpty() and count.value == 22
+    assert state(spark, path)["c7"] == "another text" and indexing.read_index(spark, path).count() == 60

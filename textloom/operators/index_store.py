@@ -49,6 +49,11 @@ def _numbers(spark: SparkSession, folder: str) -> list[int]:
     return [int(x) for x in ends if x.isdigit()]
 
 
+def complete(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the versions in a folder that were written to their end."""
+    return [v for v in sorted(_numbers(spark, folder)) if (lambda fs, p: fs.exists(p))(*_fs(spark, f"{folder}/version={v}/_SUCCESS"))]
+
+
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
     """The manifest of ``version``, or the newest one: version, buckets, parts, and by bucket the version that holds it. None if nothing was committed."""
     done = _numbers(spark, f"{path}/manifests")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -51,6 +52,33 @@ def embedded(chunks: DataFrame, load: Callable[[], Encoder], *, text_col: str =
     return chunks.withColumn(out, encode(F.col(text_col))).withColumn(out, normalized(F.col(out)))
 
 
+#: Chunks of one text are joined to its vector in so many parts, so that a text that many chunks have is no hot key.
+TEXT_PARTS = 64
+
+
+def embedded_once(chunks: DataFrame, load: Callable[[], Encoder], path: str, encoder: str, *, text_col: str = "text", out: str = "embedding", batch: int = 32) -> DataFrame:
+    """As ``embedded``, where a text that ``encoder`` has seen before, in this table or an earlier one, is not encoded again.
+
+    Vectors are kept at ``path`` by the name of the encoder and the SHA-256 of the text; what is new is written there
+    before it is used, so a build that fails later need not encode it again. Another name, or version, is another encoder. Texts
+    of like length are encoded together.
+    """
+    spark, folder = chunks.sparkSession, f"{path}/encoder={hashlib.sha256(encoder.encode()).hexdigest()[:16]}"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key, part = F.sha2(text, 256).alias("__text"), F.pmod(F.xxhash64("chunk_id"), F.lit(TEXT_PARTS)).alias("__part")
+    texts = chunks.select(key, text.alias("__own")).groupBy("__text").agg(F.first("__own").alias("__own"))
+    done = index_store.complete(spark, folder)
+    known = spark.read.parquet(*(f"{folder}/version={v}" for v in done)) if done else None
+    new = texts if known is None else texts.join(known.select("__text"), "__text", "left_anti")
+    new = embedded(new.sortWithinPartitions(F.length("__own")), load, text_col="__own", out="__vector", batch=batch).select("__text", "__vector")
+    version = 1 + max([0, *index_store._numbers(spark, folder)])
+    new.write.parquet(f"{folder}/version={version}")
+    vectors = spark.read.parquet(*(f"{folder}/version={v}" for v in [*done, version]))
+    own = chunks.withColumns({"__text": key, "__part": part})
+    parts = own.select("__text", "__part").distinct().join(vectors, "__text")
+    return own.join(parts, ["__text", "__part"]).withColumn(out, F.col("__vector")).drop("__text", "__part", "__vector")
+
+
 def index_payload(chunks: DataFrame) -> DataFrame:
     """Chunks with text, chunk_id and schema_version filled in; reading one without chunk_id is an error."""
     version = F.coalesce(F.col("schema_version"), F.lit("")) if "schema_version" in chunks.columns else F.lit("")
@@ -134,18 +162,19 @@ def index_defects(report: DataFrame) -> DataFrame:
     return report.join(rules, "metric").where(bad).select("position", "code", "stage", F.col("value").cast("long").alias("count"))
 
 
-def build_index(chunks: DataFrame, load: Callable[[], Encoder], path: str, *, rebuild: bool = False) -> DataFrame:
+def build_index(chunks: DataFrame, load: Callable[[], Encoder], path: str, *, rebuild: bool = False, encoder: str | None = None) -> DataFrame:
     """Verifies, embeds and commits chunks as the next version of the index at ``path``; returns what forbade it, if anything.
 
     Without ``rebuild``, records that are there stay unless a chunk has their id. Readers of the version before are not
-    disturbed, and a build that fails changes nothing and can be repeated (see ``index_store``).
+    disturbed, and a build that fails changes nothing and can be repeated (see ``index_store``). With the name of an
+    ``encoder``, texts that it has encoded for this index before are not encoded again.
     """
     defects = index_defects(verify_index(chunks))
     if not defects.isEmpty():
         return defects
-    # A chunk's vector comes from the same row, so no join is needed here.
     own = index_payload(chunks)
-    new = embedded(own, load).select(ids.index_point_id(F.col("chunk_id")).alias("id"), F.col("embedding").alias("vector"), F.struct(*(f"`{c}`" for c in own.columns)).alias("payload"))
+    both = embedded(own, load) if encoder is None else embedded_once(own, load, f"{path}/texts", encoder)
+    new = both.select(ids.index_point_id(F.col("chunk_id")).alias("id"), F.col("embedding").alias("vector"), F.struct(*(f"`{c}`" for c in own.columns)).alias("payload"))
     index_store.write_version(new, path, rebuild=rebuild)
     return defects
 
