@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, ids
 from ..functions import text as T
-from ..operators import answers, chunking, evaluation, fusion, index_store, indexing, knowledge, metadata, planning, predicates, quality, retrieval, runtime, structure, understanding, vector_cells
+from ..operators import answers, chunking, evaluation, fusion, index_store, indexing, knowledge, metadata, planning, predicates, quality, replies, retrieval, runtime, structure, understanding, vector_cells
 from ..sources import tables
 from ..streaming import upsert
 
@@ -192,6 +192,30 @@ def score_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.score_rerank(tool_hits(spark, sf_dir), 8).select("qid", "tool", "chunk_id", "rerank")
 
 
+def _replies(spark: SparkSession, sf_dir: str, shapes: list[str]) -> DataFrame:
+    """A reply for each question of ``vector_hits``, in turn of one of ``shapes``, where {1} to {3} stand for its best vectors."""
+    top = vector_hits(spark, sf_dir, limit=3).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("id")))).alias("t"))
+    text = F.get(F.array(*map(F.lit, shapes)), (F.col("qid") / 50 % len(shapes)).cast("int"))
+    for k in (1, 2, 3):
+        text = F.replace(text, F.lit(f"{{{k}}}"), F.get("t", F.lit(k - 1))["id"])
+    return top.select("qid", text.alias("reply"))
+
+
+def reply_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence in the order of replies, which hold it in fences, prose, arrays, strings and items; what is no evidence is skipped."""
+    r = _replies(spark, sf_dir, ['```json\n{"ranked_chunk_ids": ["{3}", "none", "{1}", "{3}"]}\n```', "So: [\"{2}\", {1}] it is", '{"chunk_ids": "{3}, {2};{1}"}', '{"ranking": null, "items": [{"chunk_id": "{2}"}, "{3}", {}]}', "none at all"])
+    ranked = replies.ranked_replies(r)
+    evidence = tool_hits(spark, sf_dir).where("tool = 'vector' AND rank <= 3")
+    return fusion.order_by_ids(evidence, ranked.where("error IS NULL")).select("qid", "chunk_id", "rerank")
+
+
+def reply_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers, citations and warnings of replies of several shapes."""
+    r = _replies(spark, sf_dir, ['```\n{"answer": "A", "citations": ["{1}", "{2}"]}\n```', 'Sure! {"response": {"answer": " B "}, "sources": "{1}; {2},,{3}"} done', '{"result": {"answer": "C"}, "references": [{"id": "{1}", "doc_name": " D "}, {"doc_name": "x"}, 5, " "]}', '{"answer": "", "citations": []}', "no JSON", '["{1}"]', '{"answer": "E", "citations": 7}'])
+    out = replies.answered_replies(r)
+    return out.select("qid", "answer", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["chunk_id"], c["doc_name"])), "|").alias("citations"), F.array_join("warnings", "|").alias("warnings"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def validate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tool_hits(spark, sf_dir).where("tool = 'vector'")
     pos = F.col("rank")
@@ -477,7 +501,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         paragraphs_clean, heading_paths, point_units, marked_text, html_paragraphs, split_chunks, index_point_ids, token_estimate_stats, chunk_penalties, worst_chunks, quality_report,
         blocking_defects, duplicate_text, metadata_quality, baseline_compare, size_diverse_sample, filter_must, payload_search, payload_search_indexed, point_lookup, vector_topk, vector_topk_cells, vector_topk_filtered, rrf_fusion,
-        hybrid_eval, multi_query_merge, score_rerank, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_entries, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
+        hybrid_eval, multi_query_merge, score_rerank, reply_rerank, reply_answers, validate_citations, evidence_summary, answer_eval, catalog_aliases, catalog_entries, catalog_score_exact, catalog_score_fuzzy, resolve_document, route_plan, windowed_events,
         comparison_defects, baseline_scope, registrations, document_metadata, metadata_manifest, structured_chunks, structured_headings, point_records, index_postings, index_upsert, index_upsert_committed, index_schema_diff, index_verify, index_defects,
         knowledge_candidates, knowledge_candidates_alike, matched_terms, merged_candidates, query_plans, runtime_batch, runtime_isolated, runtime_report, retrieval_compare, answer_pipeline, empty_reasons,
     )

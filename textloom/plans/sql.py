@@ -342,3 +342,10 @@ ORACLES["runtime_isolated"] = "SELECT vec_id AS qid, (vec_id % 1000 <> 450)::BIG
 ORACLES["catalog_entries"] = """WITH d AS (SELECT doc_id, trim(concat_ws(' ', 'N 7', source, 'in', lang)) AS doc_name, CASE WHEN doc_id % 2 = 0 THEN 'd' || doc_id ELSE '' END AS own FROM documents WHERE doc_id IS NOT NULL),
 f AS (SELECT doc_name, min(doc_id) AS first, arg_min(own, doc_id) AS own FROM d GROUP BY doc_name)
 SELECT CASE WHEN own <> '' THEN own ELSE 'doc_' || row_number() OVER (ORDER BY first, doc_name) END AS catalog_id, doc_name, first || '.txt' AS filename, own AS doc_id, '7' AS order_numbers FROM f"""
+_TOP3 = f"{_NEAR}, t AS (SELECT qid, list(cid::VARCHAR ORDER BY rank)[1:3] AS t FROM top GROUP BY qid)"
+ORACLES["reply_rerank"] = f"""WITH {_TOP3}, o AS (SELECT qid, CASE qid // 50 % 5 WHEN 0 THEN [t[3], t[1]] WHEN 1 THEN [t[2], t[1]] WHEN 2 THEN [t[3], t[2], t[1]] WHEN 3 THEN [t[2], t[3]] ELSE [] END AS ids FROM t)
+SELECT qid, unnest(ids) AS chunk_id, generate_subscripts(ids, 1)::INTEGER AS rerank FROM o"""
+ORACLES["reply_answers"] = f"""WITH {_TOP3}, k AS (SELECT *, qid // 50 % 7 AS k FROM t)
+SELECT qid, CASE k WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE '' END AS answer, CASE k WHEN 0 THEN t[1] || ':|' || t[2] || ':' WHEN 1 THEN t[1] || ':|' || t[2] || ':|' || t[3] || ':' WHEN 2 THEN t[1] || ':D' ELSE '' END AS citations,
+ CASE k WHEN 2 THEN 'citation[1]: missing chunk_id|citation[2]: unsupported citation type|citation[3]: empty chunk_id string' ELSE '' END AS warnings,
+ CASE k WHEN 3 THEN 'answer must be a non-empty string' WHEN 4 THEN 'reply is not JSON' WHEN 5 THEN 'answer must be a non-empty string' WHEN 6 THEN 'citations must be a list or string' ELSE '' END AS error FROM k"""
