@@ -179,8 +179,10 @@ def _write_postings(spark: SparkSession, path: str, version: int, parts: int, ex
         if _numbers(spark, f"{path}/records/version={version}"):
             raise
         return  # nothing is left in the buckets that were touched
-    # Dealt out by bucket, a record's terms in one row: that is enough for the groups and for the files. A block has at most BLOCK places.
-    each = rows.select("bucket", "place", payload_terms(rows, expected).alias("terms")).repartition("bucket").select("bucket", "place", F.explode("terms").alias("t"))
+    # Dealt out by bucket before texts are cut into words: that is enough for the groups and for the files. A block has at most BLOCK places.
+    fields = [f for f in (fixed.EXPECTED_PAYLOAD_INDEXES if expected is None else expected) if f in rows.schema["payload"].dataType.fieldNames()]
+    own = rows.select("bucket", "place", F.struct(*(F.col(f"payload.`{f}`") for f in fields)).alias("payload")).repartition("bucket")
+    each = own.select("bucket", "place", F.explode(payload_terms(own, expected)).alias("t"))
     each = each.select("bucket", part_of(F.col("t.field"), F.col("t.value"), parts).alias("part"), "t.field", "t.value", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "place")
     blocks = each.groupBy("bucket", "part", "field", "value", "block").agg(F.array_sort(F.collect_set("place")).alias("places"))
     blocks = blocks.select("bucket", "part", "field", "value", "block", F.size("places").alias("n"), F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last"), "places")
