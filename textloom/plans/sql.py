@@ -338,7 +338,7 @@ SELECT qid, n AS candidates, CASE WHEN n > 0 THEN '' WHEN odd OR asked OR pointe
 assert fixed.RRF_K == 60  # the SQL above has it written out
 # Other ways to the same rows.
 ORACLES |= {"payload_search_indexed": ORACLES["payload_search"], "index_upsert_committed": ORACLES["index_upsert"], "vector_topk_cells": ORACLES["vector_topk"]}
-ORACLES["runtime_isolated"] = "SELECT vec_id AS qid, (vec_id % 1000 <> 450)::BIGINT AS hits, vec_id % 1000 = 450 AS failed FROM embeddings WHERE vec_id % 50 = 0"
+ORACLES["runtime_isolated"] = "SELECT vec_id AS qid, (vec_id <> 450)::BIGINT AS hits, vec_id = 450 AS failed FROM embeddings WHERE vec_id % 50 = 0"
 ORACLES["catalog_entries"] = """WITH d AS (SELECT doc_id, trim(concat_ws(' ', 'N 7', source, 'in', lang)) AS doc_name, CASE WHEN doc_id % 2 = 0 THEN 'd' || doc_id ELSE '' END AS own FROM documents WHERE doc_id IS NOT NULL),
 f AS (SELECT doc_name, min(doc_id) AS first, arg_min(own, doc_id) AS own FROM d GROUP BY doc_name)
 SELECT CASE WHEN own <> '' THEN own ELSE 'doc_' || row_number() OVER (ORDER BY first, doc_name) END AS catalog_id, doc_name, first || '.txt' AS filename, own AS doc_id, '7' AS order_numbers FROM f"""
