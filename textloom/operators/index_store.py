@@ -181,6 +181,8 @@ def _write_postings(spark: SparkSession, path: str, version: int, parts: int, ex
         return  # nothing is left in the buckets that were touched
     # Dealt out by bucket before texts are cut into words: that is enough for the groups and for the files. A block has at most BLOCK places.
     fields = [f for f in (fixed.EXPECTED_PAYLOAD_INDEXES if expected is None else expected) if f in rows.schema["payload"].dataType.fieldNames()]
+    if not fields:
+        raise ValueError("the payload has no field that can be searched")
     own = rows.select("bucket", "place", F.struct(*(F.col(f"payload.`{f}`") for f in fields)).alias("payload")).repartition("bucket")
     each = own.select("bucket", "place", F.explode(payload_terms(own, expected)).alias("t"))
     each = each.select("bucket", part_of(F.col("t.field"), F.col("t.value"), parts).alias("part"), "t.field", "t.value", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "place")
