@@ -267,6 +267,35 @@ def test_count_bound_loses_no_alignment():
     assert seen > 100
 
 
+def test_decontamination_of_frequent_pairs_and_a_filter_too_small(spark):
+    """Items of which all or most word pairs are everywhere, and one of words that repeat: what an alignment over whole texts finds."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(5)]
+    say = lambda k, of: [rng.choice(of) for _ in range(k)]
+    items = {1: say(12, common), 2: [*say(9, common), "one", "two", "three"], 3: ["ha"] * 8, 4: [f"x{i}" for i in range(30)], 5: say(3, common)}
+    texts = [say(rng.randint(0, 60), common) for _ in range(60)]
+    texts += [[*say(5, common), *(w for w in x if rng.random() > 0.2), *say(5, common)] for x in items.values() for _ in range(4)]
+    texts += [["ha"] * k for k in (1, 3, 4, 5000)] + [items[4][:15], items[4][:14], items[4][::-1]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    want = {(d, k): s for d, t in enumerate(texts) for k, w in items.items() if (s := brute.alignment(w, t) / len(w)) >= 0.5}
+    for size in (1, 1 << 20):
+        got = decontam.find_leaks(frame(spark, rows), bench, block_bytes=size).collect()
+        assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want and len(got) == len(want)
+        for r in got:  # the span alone has the score
+            assert brute.alignment(items[r["item_id"]], texts[r["doc_id"]][r["start_word"] : r["end_word"]]) / len(items[r["item_id"]]) == r["score"]
+    left = {r["doc_id"] for r in decontam.without_leaks(frame(spark, rows), bench).collect()}
+    assert left == set(range(len(rows))) - {d for d, _ in want}
+
+
+def test_decontamination_of_one_word_over_and_over(spark):
+    """10 MB of a repeated word against an item that repeats it, too: places don't multiply, and what ends the text is found."""
+    n = 10_000_000 // 3
+    bench = spark.createDataFrame([(1, "ha ha ha ha ho ho he"), (2, "ha ha ha")], "item_id long, text string")
+    got = {r["item_id"]: tuple(r)[2:] for r in decontam.find_leaks(frame(spark, [(1, "ha " * n + "ho ho he"), (2, "")]), bench).collect()}
+    assert got == {1: (1.0, n - 4, n + 3), 2: (1.0, 0, 3)}
+
+
 def test_line_dedup(spark):
     rows = [(i, t) for i, (_, t) in enumerate(pool())]
     log = "user %d logged in from host%d with the session id s%d at the given time of day"

@@ -134,12 +134,37 @@ def word_hashes(data: bytes, known: WordHashes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+class Filter:
+    """Which n-grams of a text may be known ones, and how far these reach: by the leading bits of their hashes.
+
+    With all bits, what it lets through is wrong only where hashes are equal; with fewer, more often.
+    """
+
+    #: Of each n-gram: 8 for its bits, 4 for its reach, 16 for a table that most others end at.
+    BYTES = 28
+
+    def __init__(self, keys: np.ndarray, reach: np.ndarray, shift: int):
+        order = np.argsort(keys)
+        self.keys, self.reach, self.shift = keys[order], np.minimum(reach[order], 0xFFFFFFFF).astype(np.uint32), np.uint64(shift)
+        self.quick = np.zeros(1 << ((16 * len(keys)).bit_length() - 1), bool)
+        self.mask = np.uint64(len(self.quick) - 1)
+        self.quick[self.keys & self.mask] = True
+
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the n-grams that are let through, and how far each reaches."""
+        key = grams >> self.shift
+        at = np.flatnonzero(self.quick[key & self.mask])
+        i = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+        same = self.keys[i] == key[at]
+        return at[same], self.reach[i[same]].astype(np.int64)
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash for each n-gram of words, n being 1 or 2."""
     return mixed(h) if n == 1 else mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least: float = 0.5, block_bytes: int = BROADCAST_BYTES // 2) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least: float = 0.5, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word of every document and item whose alignment scores ``least`` or more.
 
     The score is the alignment's, divided by the item's number of words. However many items there are, the documents are
@@ -150,13 +175,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     null or empty texts. Items that share an id are judged each for itself, and the best score of the id counts. Rows
     with the same or a null ``doc_id`` are each reported. No items or no documents give an empty result. Of equal
     scores in a text, the one that ends first counts, then the shortest. Texts of any length are searched whole, in
-    passages of bounded length: a task needs some twenty times the memory of its longest text.
+    passages of bounded length: a task needs some thirty times the memory of its longest text.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return _search(text, benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")), n, least, block_bytes)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least: float = 0.5, block_bytes: int = BROADCAST_BYTES // 2) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least: float = 0.5, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which ``find_leaks`` would find nothing.
 
     Texts are judged, so ids, repeated or null, play no part, and a text goes with all its copies. Null and empty texts stay.
@@ -183,19 +208,19 @@ def _search(text: DataFrame, benchmark: DataFrame, n: int, least: float, block_b
     if not size["n"]:
         scratch.drop(grams, items)
         return nothing
-    cells = _cells(grams, size["n"], block_bytes)
-    count = _counts(text, cells, size["orders"]).groupBy("gram").agg(F.sum("n").alias("n"))
+    known = _filter(grams, size["n"], block_bytes)
+    count = _counts(text, known, size["orders"]).groupBy("gram").agg(F.sum("n").alias("n"))
     rarest = Window.partitionBy("item_no").orderBy("n", "gram", "place")
     ranked = grams.join(count, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", F.row_number().over(rarest))
     # What the corpus does not have can be no seed of a match.
     seeds = scratch.write(ranked.where("r <= seeds AND n > 0").groupBy("gram", "item_no").agg(F.first("reach").alias("reach")))
-    cells.unpersist()
+    known.unpersist()
     size_of_seeds = seeds.count()
     if not size_of_seeds:
         scratch.drop(seeds, grams, items)
         return nothing
-    cells = _cells(seeds, size_of_seeds, block_bytes)
-    passages = scratch.write(_passages(text.withColumn("row", F.monotonically_increasing_id()), kind, cells, size["orders"]))
+    known = _filter(seeds, size_of_seeds, block_bytes)
+    passages = scratch.write(_passages(text.withColumn("row", F.monotonically_increasing_id()), kind, known, size["orders"]))
     near = passages.select("row", "start", F.explode("grams").alias("gram")).join(seeds, "gram").select("row", "start", "item_no").distinct()
     each = _aligned(near.join(passages.drop("grams"), ["row", "start"]).join(items, "item_no"), kind, n, least)
     best = F.min(F.struct((-F.col("score")).alias("less"), "end_word", (-F.col("start_word")).alias("later"))).alias("best")
@@ -203,7 +228,7 @@ def _search(text: DataFrame, benchmark: DataFrame, n: int, least: float, block_b
         each.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), best)
         .select("doc_id", "item_id", (-F.col("best.less")).alias("score"), (-F.col("best.later")).alias("start_word"), F.col("best.end_word").alias("end_word"))
     )
-    cells.unpersist()
+    known.unpersist()
     scratch.drop(passages, seeds, grams, items)
     return found
 
@@ -228,21 +253,19 @@ def _item_grams(items: DataFrame, n: int, least: float) -> DataFrame:
     return items.select("item_no", "item_text").mapInArrow(cut, "item_no long, place long, gram long, seeds long, reach long, order int")
 
 
-def _cells(grams: DataFrame, n: int, most_bytes: int) -> Broadcast:
-    """For each value of the low bits of n-grams, how far one of them reaches; 0 where there is none. A power of two of cells, bounded by ``most_bytes``."""
-    size = 1 << max(0, min((16 * n).bit_length(), (most_bytes // 4).bit_length() - 1))
-    rows = grams.groupBy(F.col("gram").bitwiseAND(F.lit(size - 1)).alias("cell")).agg(F.max("reach").alias("reach")).toArrow()
-    cells = np.zeros(size, np.uint32)
-    cells[rows["cell"].to_numpy()] = np.minimum(rows["reach"].to_numpy(), 0xFFFFFFFF)
-    return grams.sparkSession.sparkContext.broadcast(cells)
+def _filter(grams: DataFrame, n: int, most_bytes: int) -> Broadcast:
+    """The filter of ``n`` n-grams for the tasks: their hashes, or as many leading bits of them as keep it below ``most_bytes``."""
+    most = max(1, most_bytes // Filter.BYTES)
+    shift = 0 if n <= most else min(63, 65 - most.bit_length())
+    rows = grams.groupBy(F.shiftrightunsigned("gram", shift).alias("key") if shift else F.col("gram").alias("key")).agg(F.max("reach").alias("reach")).toArrow()
+    return grams.sparkSession.sparkContext.broadcast(Filter(rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows["reach"].to_numpy(), shift))
 
 
-def _counts(text: DataFrame, cells: Broadcast, orders: list[int]) -> DataFrame:
+def _counts(text: DataFrame, known: Broadcast, orders: list[int]) -> DataFrame:
     """(gram, n): how often the texts have the n-grams that the filter lets through, added up in the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, grams, n, fresh, waiting = cells.value, WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        mask = np.uint64(len(table) - 1)
+        wanted, seen, grams, n, fresh, waiting = known.value, WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def added() -> tuple[np.ndarray, np.ndarray]:
             each, inverse = np.unique(np.concatenate([grams, *fresh]), return_inverse=True)
@@ -254,10 +277,10 @@ def _counts(text: DataFrame, cells: Broadcast, orders: list[int]) -> DataFrame:
         for batch in batches:
             for x in batch.column("text"):
                 if x.is_valid:
-                    h = word_hashes(cleaned(x.as_py()), known)
+                    h = word_hashes(cleaned(x.as_py()), seen)
                     for order in orders:
                         g = gram_hashes(h, order)
-                        g = g[table[g & mask] > 0]
+                        g = g[wanted.hits(g)[0]]
                         fresh.append(g)
                         waiting += len(g)
                 if waiting >= _HELD:
@@ -273,13 +296,13 @@ def _counts(text: DataFrame, cells: Broadcast, orders: list[int]) -> DataFrame:
     return text.select("text").mapInArrow(count, "gram long, n long")
 
 
-def _passages(text: DataFrame, kind: str, cells: Broadcast, orders: list[int]) -> DataFrame:
+def _passages(text: DataFrame, kind: str, known: Broadcast, orders: list[int]) -> DataFrame:
     """(row, doc_id, start, words, grams): what lies around seeds, as far as an alignment can reach; ``grams`` are the seeds of the passage."""
     doc_id = text.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = cells.value, WordHashes()
-        mask, core = np.uint64(len(table) - 1), max(_PASSAGE_WORDS, int(table.max()))
+        wanted, seen = known.value, WordHashes()
+        core = max(_PASSAGE_WORDS, int(wanted.reach.max()))
         for batch in batches:
             out, held, type_ = [], 0, batch.schema.field("doc_id").type
 
@@ -289,24 +312,27 @@ def _passages(text: DataFrame, kind: str, cells: Broadcast, orders: list[int]) -
 
             for row, doc, x in zip(batch.column("row"), batch.column("doc_id"), batch.column("text"), strict=True):
                 data = cleaned(x.as_py() or "")
-                h = word_hashes(data, known)
-                at, keys = [], []
+                h = word_hashes(data, seen)
+                at, keys, reach = [], [], []
                 for order in orders:
                     g = gram_hashes(h, order)
-                    p = np.flatnonzero(table[g & mask])
+                    p, r = wanted.hits(g)
                     at.append(p)
                     keys.append(g[p])
-                at, keys = np.concatenate(at), np.concatenate(keys)
+                    reach.append(r)
+                del g, p, r
+                at, keys, reach = (x[0] if len(orders) == 1 else np.concatenate(x) for x in (at, keys, reach))
                 if not len(at):
                     continue
-                by = np.argsort(at, kind="stable")
-                at, keys = at[by], keys[by]
-                reach = table[keys & mask].astype(np.int64)
+                if len(orders) > 1:
+                    by = np.argsort(at, kind="stable")
+                    at, keys, reach = at[by], keys[by], reach[by]
                 begin, end = np.maximum(at - reach, 0), np.minimum(at + reach + 2, len(h))
                 # Seeds can reach back in front of one before: sorted by begin only from there on.
                 begin = np.minimum.accumulate(begin[::-1])[::-1]
                 runs = _merged(begin, end, np.diff(at // core, prepend=-1) != 0)
                 first, last = np.minimum.reduceat(begin, runs), np.maximum.reduceat(end, runs)
+                del reach, begin, end, h
                 filled = np.frombuffer(data, np.uint8) != 32
                 edge = np.diff(filled.view(np.int8), prepend=0, append=0)
                 starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
