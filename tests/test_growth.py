@@ -1,5 +1,10 @@
 """What moves and what is held while queries run, which must not grow faster than their input."""
 
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.operators import retrieval
@@ -39,3 +44,23 @@ def test_lookup_beyond_the_bound_on_combinations_compares_the_values(spark, monk
         for r in retrieval.payload_search(asked, chunks).collect():
             found.setdefault(r["qid"], set()).add(r["chunk_id"])
         assert found == want
+
+
+def test_vector_search_holds_little_in_a_task():
+    rng = np.random.default_rng(1)
+    queries = rng.normal(size=(2000, 16))
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    x = rng.normal(size=(6000, 16))
+    x[3000:3010] = x[:10]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"v{i}" for i in range(len(x))]), pa.array(list(x)), pa.array(["0"] * len(x))], ["id", "v", "same"])
+    out = pa.schema([("qid", pa.int64()), ("id", pa.string()), ("score", pa.float64())])
+    shared = SimpleNamespace(value=(pa.array(range(len(queries)), pa.int64()), queries, ["0"] * len(queries)))
+    tracemalloc.start()
+    found = [r for b in retrieval._best_of(shared, 10, out, False)([batch]) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = np.round(x @ queries.T / np.linalg.norm(x, axis=1)[:, None], 12)
+    want = {q: [f"v{i}" for i in sorted(range(len(x)), key=lambda i: (-score[i, q], f"v{i}"))[:10]] for q in range(0, 2000, 500)}
+    got = {q: [r["id"] for r in sorted((r for r in found if r["qid"] == q), key=lambda r: (-r["score"], r["id"]))] for q in want}
+    assert got == want and len(found) == 20000
+    assert peak < 64 << 20
