@@ -135,16 +135,17 @@ def schema_differences(actual: DataFrame, expected: dict[str, str] | None = None
 
 def verify_index(chunks: DataFrame) -> DataFrame:
     """(section, metric, value) of chunks that are to be indexed. ``payload_keys`` are the keys that a chunk's payload has."""
-    filled = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "") if c in chunks.columns else F.lit(0).cast("long")
-    n = F.count("*")
-    missing = F.count_if(F.size(F.array_except(F.array(*map(F.lit, fixed.REQUIRED_PAYLOAD)), "payload_keys")) > 0)
-    empty = F.count_if(T.strip(F.coalesce("text", F.lit(""))) == "")
-    # An id that occurs n times is n - 1 times too many; counting by id first keeps one row a task for a hot one.
-    repeated = chunks.where(F.coalesce("chunk_id", F.lit("")) != "").groupBy("chunk_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
-    one = chunks.agg(
-        n.alias("chunks_total"), missing.alias("missing"), F.when(n == 0, 1.0).otherwise((n - missing) / n).alias("required_payload_keys_coverage"), (n - filled("chunk_id")).alias("payload_errors"), (n - empty).alias("chunks_with_text"), empty.alias("empty_text_chunks"),
-        *(filled(c).alias(f"chunks_with_{c}") for c in ("filename", "doc_name", "heading_path_text", "chunk_id", "point_identity_key", "point_number")),
-    ).join(repeated)
+    filled = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "") if c in chunks.columns else F.count_if(F.lit(False))
+    counted = {
+        "chunks_total": F.count("*"), "missing": F.count_if(F.size(F.array_except(F.array(*map(F.lit, fixed.REQUIRED_PAYLOAD)), "payload_keys")) > 0), "empty_text_chunks": F.count_if(T.strip(F.coalesce("text", F.lit(""))) == ""),
+        **{f"chunks_with_{c}": filled(c) for c in ("filename", "doc_name", "heading_path_text", "chunk_id", "point_identity_key", "point_number")},
+    }
+    # Counted by id first, so that one pass over the chunks, which may be costly, gives all: an id that occurs n times is n - 1 times too many.
+    by_id = chunks.groupBy(F.coalesce("chunk_id", F.lit("")).alias("__id")).agg(*(v.alias(k) for k, v in counted.items()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = by_id.agg(*(total(c).alias(c) for c in counted), total(F.when(F.col("__id") != "", F.col("chunks_total") - 1)).alias("repeated"))
+    n = F.col("chunks_total")
+    one = sums.withColumns({"required_payload_keys_coverage": F.when(n == 0, 1.0).otherwise((n - F.col("missing")) / n), "payload_errors": n - F.col("chunks_with_chunk_id"), "chunks_with_text": n - F.col("empty_text_chunks")})
     values = [
         ("chunks", "chunks_total", "chunks_total"), ("chunks", "chunks_missing_required_payload_keys", "missing"), ("chunks", "required_payload_keys_coverage", "required_payload_keys_coverage"), ("chunks", "payload_errors", "payload_errors"), ("chunks", "duplicate_index_ids", "repeated"),
         ("vector_readiness", "chunks_with_text", "chunks_with_text"), ("vector_readiness", "empty_text_chunks", "empty_text_chunks"),
