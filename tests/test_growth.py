@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.operators import retrieval
+from textloom.operators import indexing, quality, retrieval
+from textloom.plans import queries
+from textloom.sources.tables import staged
 
 
 def shuffled(spark):
@@ -64,3 +66,23 @@ def test_vector_search_holds_little_in_a_task():
     got = {q: [r["id"] for r in sorted((r for r in found if r["qid"] == q), key=lambda r: (-r["score"], r["id"]))] for q in want}
     assert got == want and len(found) == 20000
     assert peak < 64 << 20
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_text_is_split_once(spark, sf):
+    chunks = queries.document_chunks(spark, sf)
+    assert plan(chunks).count("(?<=[.!?])") == 1 and plan(chunks.select("filename").distinct()).count("(?<=[.!?])") == 1
+
+
+def test_verification_passes_over_the_chunks_once(spark, sf):
+    assert plan(indexing.verify_index(queries.document_chunks(spark, sf))).count("FileScan") == 1
+
+
+def test_baseline_is_restricted_once(spark, sf):
+    new, old = (staged(queries.document_chunks(spark, sf, most)) for most in (800, 1600))
+    p = plan(quality.compare_quality(new, old))
+    # What the report of the baseline reads is a table that is there, without the join with the new files.
+    assert "__new" not in p and "__some" not in p

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, ids
 from ..functions import text as T
+from ..sources.tables import staged
 
 METADATA_FIELDS = ("doc_name", "doc_title_full", "doc_kind", "doc_number", "doc_date", "authority", "approving_act")
 
@@ -216,7 +217,8 @@ def compare_quality(new: DataFrame, baseline: DataFrame) -> DataFrame:
     """(metric, new, baseline, delta_in_better_direction, passes, gate) of twelve metrics."""
     rules = new.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(_COMPARED)], "position int, name string, metric string, higher boolean, gate boolean")
     a = quality_counters(new).where("section <> 'metadata_confidence'").select("metric", F.col("value").alias("new"))
-    b = quality_counters(normalize_baseline(restrict_baseline(new, baseline))).where("section <> 'metadata_confidence'").select("metric", F.col("value").alias("baseline"))
+    # Joined and filled once, not by each of the report's counts.
+    b = quality_counters(staged(normalize_baseline(restrict_baseline(new, baseline)))).where("section <> 'metadata_confidence'").select("metric", F.col("value").alias("baseline"))
     both = a.join(b, "metric").join(F.broadcast(rules), "metric")
     better = F.when(F.col("higher"), F.col("new") - F.col("baseline")).otherwise(F.col("baseline") - F.col("new"))
     return both.select("position", F.col("name").alias("metric"), "new", "baseline", better.alias("delta_in_better_direction"), (better >= 0).alias("passes"), "gate")
