@@ -1,5 +1,6 @@
 """What moves and what is held while queries run, which must not grow faster than their input."""
 
+import random
 import tracemalloc
 from types import SimpleNamespace
 
@@ -7,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.operators import indexing, quality, retrieval
+from textloom.functions import text as T
+from textloom.operators import index_store, indexing, quality, retrieval
 from textloom.plans import queries
 from textloom.sources.tables import staged
 
@@ -86,3 +88,66 @@ def test_baseline_is_restricted_once(spark, sf):
     p = plan(quality.compare_quality(new, old))
     # What the report of the baseline reads is a table that is there, without the join with the new files.
     assert "__new" not in p and "__some" not in p
+
+
+def frequent_words(spark, n=6000, asked=40):
+    """Chunks that have all of twelve words and one of their own, and questions for all of these thirteen."""
+    often = " ".join(f"often{i}" for i in range(12))
+    c = spark.range(n).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("d").alias("doc_name"), F.lit("f").alias("filename"), F.lit("").alias("heading_path_text"), F.concat(F.lit(f"{often} own"), "id").alias("text"))
+    q = spark.range(asked).select(F.col("id").alias("qid"), F.concat(F.lit(f"{often} own"), "id").alias("query"), F.create_map().cast("map<string,array<string>>").alias("filters"), F.lit(5).alias("limit"))
+    return c, q
+
+
+def test_postings_are_written_and_searched_without_moving_the_lists_of_frequent_words(spark, tmp_path, monkeypatch):
+    c, q = frequent_words(spark)
+    path = str(tmp_path / "index")
+    moved = []
+    write = index_store._write_postings
+
+    def measured(*a):
+        before = shuffled(spark)
+        write(*a)
+        moved.append(shuffled(spark) - before)
+
+    monkeypatch.setattr(index_store, "_write_postings", measured)
+    index_store.write_version(index_store.chunk_records(c), path, bucket_rows=1000)
+    assert moved == [0]
+    before = shuffled(spark)
+    found = index_store.indexed_search(q, path).select("qid", "chunk_id").collect()
+    assert sorted(map(tuple, found)) == [(i, f"c{i}") for i in range(40)]
+    assert shuffled(spark) - before < 1 << 20
+
+
+def test_blocks_that_come_apart_have_the_same_hits(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"c{i}", " ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(rng.randint(0, 4))), f"f{i % 3}") for i in range(400)]
+    c = spark.createDataFrame(rows, "chunk_id string, text string, filename string").withColumns({k: F.lit("") for k in ("doc_name", "heading_path_text")})
+    q = spark.createDataFrame([(i, x, 100) for i, x in enumerate(["a", "b", "a b", "c d e", "f1", "a b c d", "zz", ""])], "qid int, query string, limit int").withColumn("filters", F.lit(None).cast("map<string,array<string>>"))
+    monkeypatch.setattr(index_store, "HELD", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    path = str(tmp_path / "index")
+    try:
+        found = index_store.write_version(index_store.chunk_records(c), path, bucket_rows=100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = ["bucket", "field", "value", "block"]
+    blocks = index_store.read_postings(spark, path, found)
+    assert blocks.count() > blocks.select(*key).distinct().count()
+    assert blocks.where("n <> size(places) OR first <> places[0] OR last <> places[n - 1]").isEmpty()
+    want = sorted((r["qid"], r["rank"], r["chunk_id"]) for r in retrieval.payload_search(q, c).collect())
+    assert sorted((r["qid"], r["rank"], r["chunk_id"]) for r in index_store.indexed_search(q, path).collect()) == want and len(want) > 300
+
+
+def test_cleaning_without_patterns_where_nothing_is_marked_gives_the_same(spark):
+    white = spark.range(0x110000).where("id < 55296 OR id > 57343").where(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").rlike(r"(?U)^[\s\x1c-\x1f]$"))
+    assert {chr(r[0]) for r in white.collect()} == set(T.WHITE)
+    rng = random.Random(5)
+    pieces = ["#", "##########", "*", "**", "***", "/", "//", "\\", " ", "  ", "\n", "\t", "\x1c", "\u2003", "\u2028", "\r\n", "a", "été", "b c"]
+    rows = [("".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))),) for _ in range(4000)] + [(None,)]
+    t = F.coalesce("t", F.lit(""))
+    old_strip = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    old_squeeze = lambda c: old_strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    old = F.regexp_replace(F.regexp_replace(t, r"(?U)^\s*(#{1,9}|\*{3}|//)\s*", ""), r"(?U)\s*(#{1,9}|\*{3}|\\)\s*$", "")
+    old = old_squeeze(F.regexp_replace(old, r"\*{2,}", ""))
+    out = spark.createDataFrame(rows, "t string").select(old.alias("a"), T.clean_marker_text(F.col("t")).alias("b"), old_squeeze(t).alias("c"), T.squeeze(t).alias("d"), old_strip(t).alias("e"), T.strip(t).alias("f"))
+    assert [r for r in out.collect() if r["a"] != r["b"] or r["c"] != r["d"] or r["e"] != r["f"]] == []

@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, ids
 from ..functions import text as T
+from ..shipping import ship
 from ..sources.tables import checkpoint_folder
 from . import predicates as P
 from .retrieval import ITEM_FIELDS
@@ -28,6 +32,8 @@ BUCKET_ROWS, MOST_BUCKETS = 8_192, 4_096
 PART_ROWS, PARTS = 4_096, 64
 #: Places of one block of postings.
 BLOCK = 1 << 15
+#: Values that a task holds while it makes blocks of them.
+HELD = 1 << 21
 #: So many words are handed to the Parquet reader by name; more are joined, up to WORDS_SENT of them as a broadcast.
 WORDS_NAMED, WORDS_SENT = 1_000, 100_000
 _TERM = "struct<field:string,value:string>"
@@ -114,19 +120,16 @@ def _term(field: str) -> Callable[[Column], Column]:
     return lambda value: F.struct(F.lit(field).alias("field"), value.alias("value"))
 
 
-def payload_terms(records: DataFrame, expected: dict[str, str] | None = None) -> Column:
-    """All (field, value) that a record is found by: keywords, words of texts, and for texts, as field "=name", the SHA-256 of the whole."""
+def payload_values(records: DataFrame, expected: dict[str, str] | None = None) -> dict[str, Column]:
+    """By field, all values that a record is found by: keywords, words of texts, and for texts, as field "=name", the SHA-256 of the whole."""
     kinds = fixed.EXPECTED_PAYLOAD_INDEXES if expected is None else expected
     fields = set(records.schema["payload"].dataType.fieldNames())
-    out = []
+    out = {}
     for field, kind in kinds.items():
         if field in fields:
-            value = F.coalesce(F.col(f"payload.{field}").cast("string"), F.lit(""))
-            if kind == "text":
-                out += [F.transform(T.search_tokens(value), _term(field)), F.array(_term(f"={field}")(F.sha2(value, 256)))]
-            else:
-                out.append(F.array(_term(field)(value)))
-    return F.concat(F.array().cast(f"array<{_TERM}>"), *out)
+            value = F.coalesce(F.col(f"payload.`{field}`").cast("string"), F.lit(""))
+            out |= {field: T.search_tokens(value), f"={field}": F.array(F.sha2(value, 256))} if kind == "text" else {field: F.array(value)}
+    return out
 
 
 def write_version(records: DataFrame, path: str, *, rebuild: bool = False, removed: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS, parts: int | None = None, expected: dict[str, str] | None = None) -> dict:
@@ -179,19 +182,67 @@ def _write_postings(spark: SparkSession, path: str, version: int, parts: int, ex
         if _numbers(spark, f"{path}/records/version={version}"):
             raise
         return  # nothing is left in the buckets that were touched
-    # Dealt out by bucket before texts are cut into words: that is enough for the groups and for the files. A block has at most BLOCK places.
-    fields = [f for f in (fixed.EXPECTED_PAYLOAD_INDEXES if expected is None else expected) if f in rows.schema["payload"].dataType.fieldNames()]
-    if not fields:
+    values = payload_values(rows, expected)
+    if not values:
         raise ValueError("the payload has no field that can be searched")
-    own = rows.select("bucket", "place", F.struct(*(F.col(f"payload.`{f}`") for f in fields)).alias("payload")).repartition("bucket")
-    each = own.select("bucket", "place", F.explode(payload_terms(own, expected)).alias("t"))
-    each = each.select("bucket", part_of(F.col("t.field"), F.col("t.value"), parts).alias("part"), "t.field", "t.value", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "place")
-    blocks = each.groupBy("bucket", "part", "field", "value", "block").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    blocks = blocks.select("bucket", "part", "field", "value", "block", F.size("places").alias("n"), F.element_at("places", 1).alias("first"), F.element_at("places", -1).alias("last"), "places")
-    out = blocks.sortWithinPartitions("bucket", "part", "field", "value", "block").write.partitionBy("bucket", "part")
+    ship(spark)
+    # Records are read as they lie, by bucket and place, so nothing is shuffled; words become blocks within the task.
+    names = list(values)
+    own = rows.select("bucket", "place", *(c.alias(f"v{i}") for i, c in enumerate(values.values())))
+    blocks = own.mapInArrow(_blocks(names, BLOCK, HELD), "bucket int, field string, value string, block int, n int, first int, last int, places array<int>")
+    out = blocks.withColumn("part", part_of(F.col("field"), F.col("value"), parts)).sortWithinPartitions("bucket", "part", "field", "value", "block").write.partitionBy("bucket", "part")
     out.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#places.list.element", "false").parquet(f"{path}/postings/version={version}")
 
 
+def _blocks(names: list[str], size: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (bucket, place, an array of values for each name) to blocks (bucket, field, value, block, n, first, last, places).
+
+    About ``most`` values are held; then all rows go but those of the bucket that is not over. The rows of one block may
+    come apart, if they are more than that or another task reads the rest, so a block is the sum of its rows.
+    """
+
+    def inverted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, place = (rows.column(c).to_numpy().astype(np.int64) for c in ("bucket", "place"))
+        at, group = np.unique((bucket << 32) + place // size, return_inverse=True)
+        for i, name in enumerate(names):
+            lists = rows.column(f"v{i}").combine_chunks()
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            if not len(row):
+                continue
+            coded = lists.flatten().dictionary_encode()
+            n_values = len(coded.dictionary)
+            # Group, value and place in one number each: sorted, they are the postings.
+            marks = np.sort((group[row] * n_values + coded.indices.to_numpy()) * size + place[row] % size)
+            key = marks // size
+            start = np.flatnonzero(np.diff(key, prepend=-1))
+            end = np.append(start[1:], len(key))
+            of, value = at[key[start] // n_values], key[start] % n_values
+            block = of & 0xFFFFFFFF
+            places = (np.repeat(block * size, end - start) + marks % size).astype(np.int32)
+            offsets = pa.array(np.append(start, len(key)), pa.int32())
+            columns = [pa.array(of >> 32, pa.int32()), pa.repeat(name, len(start)), coded.dictionary.take(pa.array(value)), pa.array(block, pa.int32()), pa.array(end - start, pa.int32()), pa.array(places[start]), pa.array(places[end - 1]), pa.ListArray.from_arrays(offsets, pa.array(places))]
+            out = pa.RecordBatch.from_arrays(columns, ["bucket", "field", "value", "block", "n", "first", "last", "places"])
+            yield from (out.slice(at, 1 << 16) for at in range(0, out.num_rows, 1 << 16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += sum(len(batch.column(f"v{i}").flatten()) for i in range(len(names)))
+            if n >= most:
+                rows = pa.Table.from_batches(waiting)
+                bucket = rows.column("bucket").to_numpy()
+                cut = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if (bucket != bucket[-1]).any() else len(bucket)
+                yield from inverted(rows.slice(0, cut))
+                waiting = rows.slice(cut).to_batches()
+                n = sum(len(b.column(f"v{i}").flatten()) for b in waiting for i in range(len(names)))
+        if waiting:
+            yield from inverted(pa.Table.from_batches(waiting))
+
+    return run
+
+
 # ---- Reading
 
 
@@ -272,8 +323,9 @@ def indexed_hits(spark: SparkSession, path: str, questions: DataFrame, found: di
 
     The rarest clause names the blocks that can have hits. The other clauses are looked up in these blocks alone, first
     by their heads (which values a block has, and between which places), and only blocks that have all of them, in ranges
-    that overlap, give up their places, which are then intersected. Where one clause is all, blocks behind the first
-    ``limit`` hits are left. No record is read.
+    that overlap, give up their places: those of the rarest clause first, and of the others what these have, too, so no
+    question gets the whole lists of its frequent words. Where one clause is all, blocks behind the first ``limit`` hits
+    are left. No record is read.
     """
     found = found or manifest(spark, path)
     if not found or not found["at"]:
@@ -282,7 +334,7 @@ def indexed_hits(spark: SparkSession, path: str, questions: DataFrame, found: di
     kept = lambda df, name: (df.write.parquet(f"{folder}/{name}"), spark.read.schema(df.schema).parquet(f"{folder}/{name}"))[1]
     asked = kept(search_clauses(questions), "asked")
     blocks = _asked_blocks(spark, path, found, asked)
-    heads = blocks.select("field", "value", "bucket", "block", "n", "first", "last")
+    heads = kept(blocks.select("field", "value", "bucket", "block", "n", "first", "last"), "heads")
     of, term = ["qid", "variant"], ["field", "value"]
     sizes = asked.join(heads.groupBy(*term).agg(F.sum("n").alias("size")), term, "left").groupBy(*of, "clause").agg(F.sum(F.coalesce("size", F.lit(0))).alias("size"))
     rarest = sizes.groupBy(*of).agg(F.min(F.struct("size", "clause")).alias("m")).where("m.size > 0").select(*of, F.col("m.clause").alias("seed"))
@@ -298,16 +350,20 @@ def indexed_hits(spark: SparkSession, path: str, questions: DataFrame, found: di
     full = spans.groupBy(*at, "n_clauses", "low", "high").agg(F.count("*").alias("there"), F.max("first").alias("first"), F.min("last").alias("last"))
     full = full.where("there = n_clauses - 1 AND greatest(first, low) <= least(last, high)").select(*at)
     wanted = seeds.where("n_clauses = 1").select(*at).union(full)
-    places = wanted.join(live.select(*of, "clause", "limit", *term), of).join(blocks.select(*term, "bucket", "block", "places"), [*term, "bucket", "block"])
-    clauses = places.groupBy(*at, "limit", "clause").agg(F.collect_list("places").alias("p")).withColumn("p", F.when(F.size("p") == 1, F.col("p")[0]).otherwise(F.array_distinct(F.flatten("p"))))
-    # The shortest list first: what is intersected only gets shorter.
-    lists = clauses.groupBy(*at, "limit").agg(F.array_sort(F.collect_list(F.struct(F.size("p").alias("n"), "p"))).alias("l"))
-    both = F.aggregate(F.slice("l", 2, F.size("l")), F.col("l")[0]["p"], lambda a, x: F.array_intersect(a, x["p"]))
-    hits = lists.select("qid", "limit", "bucket", F.explode(both).alias("place")).distinct()
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    lists = blocks.select(*term, "bucket", "block", "places")
+    own = wanted.join(live.where("clause = seed").select(*of, "limit", "n_clauses", *term), of).join(lists, [*term, "bucket", "block"])
+    own = kept(own.groupBy(*at, "limit", "n_clauses").agg(all_of("places").alias("own")), "own")
+    more = kept(own.where("n_clauses > 1").join(rest, of), "more")
+    both = more.join(lists, [*term, "bucket", "block"]).select(*at, "limit", "n_clauses", "clause", F.array_intersect("own", "places").alias("p")).where(F.size("p") > 0)
+    clauses = both.groupBy(*at, "limit", "n_clauses", "clause").agg(all_of("p").alias("p"))
+    full = clauses.groupBy(*at, "limit", "n_clauses").agg(F.collect_list("p").alias("l")).where(F.size("l") == F.col("n_clauses") - 1)
+    left = F.aggregate(F.slice("l", 2, F.size("l")), F.col("l")[0], lambda a, x: F.array_intersect(a, x))
+    hits = own.where("n_clauses = 1").select("qid", "limit", "bucket", F.explode("own").alias("place")).union(full.select("qid", "limit", "bucket", F.explode(left).alias("place"))).distinct()
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("bucket", "place"))
     ranked = hits.withColumn("rank", rank).where((F.col("rank") <= 100) & (F.col("rank") <= F.col("limit"))).select("qid", "bucket", "place", "rank")
     out = kept(ranked, "hits")
-    for name in ("asked", "live", "seeds"):
+    for name in ("asked", "heads", "live", "seeds", "own", "more"):
         fs, p = _fs(spark, f"{folder}/{name}")
         fs.delete(p, True)
     return out
