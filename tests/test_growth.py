@@ -151,3 +151,21 @@ def test_cleaning_without_patterns_where_nothing_is_marked_gives_the_same(spark)
     old = old_squeeze(F.regexp_replace(old, r"\*{2,}", ""))
     out = spark.createDataFrame(rows, "t string").select(old.alias("a"), T.clean_marker_text(F.col("t")).alias("b"), old_squeeze(t).alias("c"), T.squeeze(t).alias("d"), old_strip(t).alias("e"), T.strip(t).alias("f"))
     assert [r for r in out.collect() if r["a"] != r["b"] or r["c"] != r["d"] or r["e"] != r["f"]] == []
+
+
+def test_payload_search_moves_no_words(spark, monkeypatch):
+    c, q = frequent_words(spark)
+    c = staged(c)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most, blocks in ((1 << 20, 1), (100, 6)):
+            monkeypatch.setattr(retrieval, "WORD_BLOCK", most, raising=False)
+            before = shuffled(spark)
+            found = retrieval.token_hits(q.select("qid", F.lit("text").alias("field"), "query"), c)
+            p = plan(found)
+            assert "Exchange hashpartitioning" not in p and p.count("(?U)[^\\w]+") == 2 * blocks
+            assert sorted(map(tuple, found.collect())) == [(i, f"c{i}") for i in range(40)]
+            assert shuffled(spark) - before < blocks * 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
